@@ -30,8 +30,7 @@ MIN_EFFECT = 0.5
 MAD_TO_STD = 1.4826
 # ----------------------------------------------------------------------------
 # The grid that returns to the driver has at most this many cells, at any scale.
-BOUNDARIES, EDGES, STRETCHES = 2048, 512, 24
-_SKETCH = 20_000
+BOUNDARIES, EDGES = 2048, 1024
 
 
 def ordered_series(table: Table, date_column: str, target: str) -> DataFrame:
@@ -107,32 +106,41 @@ def _count_grid(series: DataFrame, bounds: np.ndarray, edges: np.ndarray, ends:
     return _Grid(np.append(bounds, n), low, high, prefix)
 
 
-def _median_range(grid: _Grid, side: str, small_at, large_at, least, most, top: float):
-    """Where the median of a side can lie while its size runs from ``least`` to ``most``.
+def _middle_ranges(grid: _Grid, side: str, small_at, large_at, least, most, top: float):
+    """Where the two middle values of a side can lie while its size runs from ``least`` to ``most``.
 
     The side always holds the values up to one bound and is held by those up to another.
     """
     inner, outer = grid.of(side, small_at), grid.of(side, large_at)
-    low = (grid.ranked(outer, (least + 1) // 2)[0] + grid.ranked(outer, least // 2 + 1)[0]) / 2
-    ranks = ((most + 1) // 2, most // 2 + 1)
-    high = sum(np.where(r <= least, grid.ranked(inner, np.minimum(r, least))[1], top) for r in ranks) / 2
-    return np.stack([low, high], axis=1)
+    columns = []
+    for low_rank, high_rank in (((least + 1) // 2, (most + 1) // 2), (least // 2 + 1, most // 2 + 1)):
+        columns.append(grid.ranked(outer, low_rank)[0])
+        high = grid.ranked(inner, np.minimum(high_rank, least))[1]
+        columns.append(np.where(high_rank <= least, high, top))
+    return np.stack(columns, axis=1)
 
 
 def _ranges(grid: _Grid, a: np.ndarray, b: np.ndarray, n: int, top: float) -> np.ndarray:
-    """Columns: lowest and highest median before, lowest and highest median after."""
-    before = _median_range(grid, "before", a, b, a, b, top)
-    after = _median_range(grid, "after", b, a, n - b, n - a, top)
+    """Eight columns: low and high of the lower and upper middle value, before and then after."""
+    before = _middle_ranges(grid, "before", a, b, a, b, top)
+    after = _middle_ranges(grid, "after", b, a, n - b, n - a, top)
     return np.concatenate([before, after], axis=1)
 
 
+def _medians(ranges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lowest and highest median before, lowest and highest median after."""
+    return tuple((ranges[:, i] + ranges[:, i + 2]) / 2 for i in (0, 1, 4, 5))
+
+
 def _certain(ranges: np.ndarray, at: np.ndarray, n: int, scale: float) -> np.ndarray:
-    apart = np.maximum(np.maximum(ranges[:, 2] - ranges[:, 1], ranges[:, 0] - ranges[:, 3]), 0)
+    b_low, b_high, a_low, a_high = _medians(ranges)
+    apart = np.maximum(np.maximum(a_low - b_high, b_low - a_high), 0)
     return apart / scale * np.sqrt(np.minimum(at, n - at) / n)
 
 
 def _highest(ranges: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, scale: float) -> np.ndarray:
-    widest = np.maximum(np.maximum(ranges[:, 3] - ranges[:, 0], ranges[:, 1] - ranges[:, 2]), 0)
+    b_low, b_high, a_low, a_high = _medians(ranges)
+    widest = np.maximum(np.maximum(a_high - b_low, b_high - a_low), 0)
     ends = np.maximum(np.minimum(a, n - a), np.minimum(b, n - b))
     balance = np.where((a <= n // 2) & (n // 2 <= b), n // 2, ends)
     return widest / scale * np.sqrt(balance / n)
@@ -158,45 +166,53 @@ def _first_blocks(n: int, segment: int) -> np.ndarray:
     return np.stack([starts, np.append(starts[1:] - 1, last)], axis=1)
 
 
-def _open_stretches(ranges: np.ndarray) -> list[tuple[float, float]]:
-    """Disjoint value stretches where medians are still unsettled, the most promising blocks first."""
-    merged: list[tuple[float, float]] = []
-    for low, high in ranges.reshape(-1, 2):
-        if low >= high:
-            continue
-        touching = [m for m in merged if m[0] <= high and low <= m[1]]
-        if not touching and len(merged) == STRETCHES:
-            continue
-        merged = [m for m in merged if m not in touching]
-        merged.append((min([low, *(m[0] for m in touching)]), max([high, *(m[1] for m in touching)])))
-    return merged
-
-
-def _edges(series: DataFrame, stretches: list[tuple[float, float]]) -> np.ndarray:
-    """Value edges at even ranks inside each stretch, so each round cuts it many times finer."""
-    each = max(16, EDGES // max(1, len(stretches)))
-    fractions = [i / (each - 1) for i in range(each)]
-    sketches = [
-        F.percentile_approx(
-            F.when((F.col("value") >= F.lit(float(low))) & (F.col("value") <= F.lit(float(high))), F.col("value")),
-            fractions, _SKETCH).alias(f"e{i}")
-        for i, (low, high) in enumerate(stretches)
-    ]
-    found = series.agg(*sketches).first()
-    return np.unique(np.concatenate([np.array(e or [], dtype=np.float64) for e in found]))
+def _open_stretches(ranges: np.ndarray) -> np.ndarray:
+    """Disjoint open value stretches, in order, where a middle value is still unsettled."""
+    pairs = ranges.reshape(-1, 2)
+    pairs = np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
+    if not len(pairs):
+        return pairs
+    reach = np.maximum.accumulate(pairs[:, 1])
+    starts = np.concatenate([[True], pairs[1:, 0] >= reach[:-1]])
+    lasts = np.append(np.flatnonzero(starts)[1:] - 1, len(pairs) - 1)
+    return np.stack([pairs[starts, 0], reach[lasts]], axis=1)
+
+
+def _edges(series: DataFrame, stretches: np.ndarray, turn: int) -> np.ndarray:
+    """Values inside the stretches: all of them once they are few, else an even-handed sample.
+
+    Which values are sampled steers the search, never its answer.
+    """
+    lows, highs = stretches[:, 0], stretches[:, 1]
+
+    def inside(batches):
+        for batch in batches:
+            value = batch["value"].to_numpy()
+            at = np.maximum(np.searchsorted(lows, value, "left") - 1, 0)
+            yield batch[(value > lows[at]) & (value < highs[at])]
+
+    rows = series.select("value", "position")
+    if len(stretches) > 1:
+        rows = rows.mapInPandas(inside, rows.schema)
+    else:
+        rows = rows.filter((F.col("value") > F.lit(float(lows[0]))) & (F.col("value") < F.lit(float(highs[0]))))
+    sample = rows.orderBy(F.xxhash64("position", F.lit(turn))).limit(EDGES).select("value").toPandas()
+    return np.unique(sample["value"].to_numpy(dtype=np.float64))
 
 
 def find_split(series: DataFrame, n: int, scale: float, ends: tuple[float, float], segment: int = MIN_SEGMENT) -> int:
     """The earliest split with the highest score, certain among all splits."""
     blocks = _first_blocks(n, segment)
     # What is known of a block only ever narrows: its pieces inherit its median ranges.
-    known = np.tile(np.array([ends[0], ends[1]] * 2, dtype=np.float64), (len(blocks), 1))
-    best, settled = 0.0, []
+    ends = (np.nextafter(ends[0], -np.inf), np.nextafter(ends[1], np.inf))
+    known = np.tile(np.array(ends * 4, dtype=np.float64), (len(blocks), 1))
+    best, settled, turn = 0.0, [], 0
     waiting, waiting_known = blocks[:0], known[:0]
     while len(blocks):
         a, b = blocks[:, 0], blocks[:, 1]
-        stretches = _open_stretches(known) or [ends]
-        grid = _count_grid(series, np.unique(blocks), _edges(series, stretches), ends, n)
+        stretches, turn = _open_stretches(known), turn + 1
+        edges = _edges(series, stretches, turn) if len(stretches) else np.array(ends)
+        grid = _count_grid(series, np.unique(blocks), edges, ends, n)
         seen = _ranges(grid, a, b, n, ends[1])
         known[:, 0::2] = np.maximum(known[:, 0::2], seen[:, 0::2])
         known[:, 1::2] = np.minimum(known[:, 1::2], seen[:, 1::2])
@@ -204,7 +220,7 @@ def find_split(series: DataFrame, n: int, scale: float, ends: tuple[float, float
         for at in (a, b):
             certain = np.maximum(certain, _certain(_ranges(grid, at, at, n, ends[1]), at, n, scale))
         best = max(best, certain.max())
-        exact = (a == b) & (known[:, 0] == known[:, 1]) & (known[:, 2] == known[:, 3])
+        exact = (a == b) & np.all(known[:, 0::2] == known[:, 1::2], axis=1)
         settled += list(zip(_certain(known[exact], a[exact], n, scale), a[exact]))
         blocks = np.concatenate([blocks[~exact], waiting])
         known = np.concatenate([known[~exact], waiting_known])
