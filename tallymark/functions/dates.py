@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from .values import is_time_type, trimmed
+from .values import DATE_START, is_time_type, trimmed
 
 # --- fixed values -----------------------------------------------------------
 _MONTH = "(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
@@ -37,6 +37,11 @@ def to_date(c: Column, dtype: T.DataType) -> Column:
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     t = trimmed(c)
+    return F.when(t.rlike(DATE_START), date_from(t))
+
+
+def date_from(t: Column) -> Column:
+    """The wall clock in trimmed text."""
     dashed, named = t, t
     for shape, rewritten in NUMERIC_SHAPES:
         dashed = F.regexp_replace(dashed, shape, rewritten)

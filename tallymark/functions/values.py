@@ -22,6 +22,9 @@ RADIX_NUMBER = r"^0(?:[xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)$"
 _DIGITS = r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
 _MARKED = rf"(?:\p{{Sc}}\s*{_DIGITS}\s*%?|{_DIGITS}\s*%?\s*\p{{Sc}}?)"
 FORMATTED_NUMBER = rf"^(?:\(\s*{_MARKED}\s*\)|(?:[+-]\s*)?{_MARKED})$"
+# What a number or a date can start with; anything else needs no further look.
+NUMBER_START = r"^[0-9.+\-(\p{Sc}]"
+DATE_START = r"^(?:[0-9]|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))"
 NUMBER_FORMATS = ("negated parentheses", "currency", "percent", "thousands")
 MONTHS = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 KIND_DATE_SHAPES = (
@@ -51,7 +54,10 @@ def is_time_type(dtype: T.DataType) -> bool:
 
 
 def trimmed(text: Column) -> Column:
-    return F.btrim(text, F.lit(BLANKS))
+    """Trims BLANKS; text whose first and last characters are plain ASCII is passed through untouched."""
+    first, last = F.ascii(text), F.ascii(F.right(text, F.lit(1)))
+    edged = (first <= 32) | (first >= 128) | (last <= 32) | (last >= 128)
+    return F.when(edged, F.btrim(text, F.lit(BLANKS))).otherwise(text)
 
 
 def _finite(x: Column) -> Column:
@@ -67,26 +73,19 @@ def is_missing(c: Column, dtype: T.DataType) -> Column:
     return c.isNull()
 
 
-def _radix(t: Column) -> Column:
-    base = F.lower(F.substring(t, 2, 1))
-    digits = F.substring(t, 3, 1 << 30)
-    return (
-        F.when(base == "x", F.conv(digits, 16, 10))
-        .when(base == "o", F.conv(digits, 8, 10))
-        .otherwise(F.conv(digits, 2, 10))
-        .try_cast("double")
-    )
+def _bounded(x: Column) -> Column:
+    """Text past the range of a double reads as infinite, which is not an observation."""
+    inf = float("inf")
+    return F.nullif(F.nullif(x, F.lit(inf)), F.lit(-inf))
 
 
-def parse_formatted(t: Column) -> Column:
-    """``$48,000`` is 48000, ``12.5%`` is 12.5 and ``(1,200)`` is -1200; takes trimmed text."""
-    size = _finite(F.regexp_replace(t, "[^0-9.]", "").try_cast("double"))
-    return F.when(t.rlike(FORMATTED_NUMBER), F.when(t.rlike("^[(-]"), -size).otherwise(size))
+def _digits(t: Column) -> Column:
+    return F.concat(F.when(t.rlike("^[(-]"), "-").otherwise(""), F.regexp_replace(t, "[^0-9.]", ""))
 
 
-def _plain(t: Column) -> Column:
-    """Gated by pattern: a bare cast would also take ``1d``, ``Infinity`` and ``1e309``."""
-    return F.when(t.rlike(PLAIN_NUMBER), _finite(t.try_cast("double"))).when(t.rlike(RADIX_NUMBER), _radix(t))
+def parse_formatted(t: Column) -> Column:
+    """``$48,000`` is 48000, ``12.5%`` is 12.5 and ``(1,200)`` is -1200; takes trimmed text."""
+    return _bounded(F.when(t.rlike(FORMATTED_NUMBER), _digits(t)).try_cast("double"))
 
 
 def to_number(c: Column, dtype: T.DataType) -> Column:
@@ -96,18 +95,34 @@ def to_number(c: Column, dtype: T.DataType) -> Column:
         return _finite(x) if isinstance(dtype, (T.FloatType, T.DoubleType)) else x
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         t = trimmed(c)
-        return F.when(t.rlike(PLAIN_NUMBER) | t.rlike(RADIX_NUMBER), _plain(t)).otherwise(parse_formatted(t))
+        return F.when(t.rlike(NUMBER_START), number_from(t))
     return F.lit(None).cast("double")
 
 
+def number_from(t: Column) -> Column:
+    """The number in trimmed text: plain, formatted, or with a radix prefix.
+
+    Gated by pattern, as a bare cast would also take ``1d`` and ``Infinity``.
+    """
+    rest = F.substring(t, 3, 1 << 30)
+    radix = (F.when(t.rlike("^0[xX]"), F.conv(rest, 16, 10)).when(t.rlike("^0[oO]"), F.conv(rest, 8, 10))
+             .otherwise(F.conv(rest, 2, 10)))
+    plain = (F.when(t.rlike(PLAIN_NUMBER), t).when(t.rlike(FORMATTED_NUMBER), _digits(t))
+             .when(t.rlike(RADIX_NUMBER), radix))
+    return _bounded(plain.try_cast("double"))
+
+
+def format_marks(t: Column) -> list[Column]:
+    return [t.startswith("("), t.rlike(r"\p{Sc}"), t.contains("%"), t.contains(",")]
+
+
 def format_flags(c: Column, dtype: T.DataType) -> list[Column]:
     """For one cell, which notations were read through, in the order of NUMBER_FORMATS."""
     if not isinstance(dtype, T.StringType):
         return [F.lit(False)] * len(NUMBER_FORMATS)
     t = trimmed(c)
     read_through = F.coalesce(t.rlike(FORMATTED_NUMBER) & ~t.rlike(PLAIN_NUMBER), F.lit(False))
-    marks = (t.startswith("("), t.rlike(r"\p{Sc}"), t.contains("%"), t.contains(","))
-    return [read_through & mark for mark in marks]
+    return [read_through & mark for mark in format_marks(t)]
 
 
 def number_formats(c: Column, dtype: T.DataType) -> Column:

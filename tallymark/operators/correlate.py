@@ -57,7 +57,7 @@ def pair_moments(numbers: DataFrame, pairs: list[tuple[str, str]], name: str) ->
     return out
 
 
-def _attach_rank(rows: DataFrame, column: str, estimate: int, row_count: int) -> DataFrame:
+def _attach_rank(rows: DataFrame, column: str, distinct_bound: int, row_count: int) -> DataFrame:
     """Replaces a column by the average rank of its values.
 
     Few distinct values: the rank table is small and is broadcast (its size is the
@@ -65,10 +65,10 @@ def _attach_rank(rows: DataFrame, column: str, estimate: int, row_count: int) ->
     with every value holding a large share of the rows spread over several tasks.
     """
     counts = rows.groupBy(_q(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_v IS NOT NULL")
-    ranked = average_ranks(counts, [], "_v", "_n", rows_bound=2 * estimate if estimate else None)
+    ranked = average_ranks(counts, [], "_v", "_n", rows_bound=distinct_bound)
     others = [c for c in rows.columns if c != column]
     kept = [*[_q(c) for c in others], F.col("rank").alias(column)]
-    if 2 * estimate <= ONE_TASK_ROWS:
+    if distinct_bound <= ONE_TASK_ROWS:
         small = F.broadcast(ranked.select("_v", "rank"))
         return rows.join(small, _q(column) == F.col("_v"), "left").select(*kept)
     width = shuffle_width(rows.sparkSession)
@@ -99,7 +99,7 @@ def spearman(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
         columns = list(dict.fromkeys(c for pair in group for c in pair))
         rows = table.numbers(columns).dropna(subset=[V.quoted(c) for c in columns])
         for c in columns:
-            rows = _attach_rank(rows, c, facts[c].distinct_estimate, facts[c].row_count)
+            rows = _attach_rank(rows, c, table.distinct_bound(c), facts[c].row_count)
         one = pair_moments(rows, group, "spearman")
         out = one if out is None else out.unionByName(one)
     return out

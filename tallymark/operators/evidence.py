@@ -321,7 +321,7 @@ class Evidence:
             return self.none()
         place, value = F.col("position"), F.col("value")
         pairs = self.series.select("position", "value")
-        ranked = _attach_rank(pairs, "value", self.table.facts[self.target].distinct_estimate, self.row_count)
+        ranked = _attach_rank(pairs, "value", self.table.distinct_bound(self.target), self.row_count)
         found = pairs.agg(F.count(F.lit(1)).alias("n"), pearson_of(place.cast("double"), value).alias("p")).join(
             F.broadcast(ranked.agg(pearson_of(place.cast("double"), value).alias("s"))))
         p, s = F.col("p"), F.col("s")

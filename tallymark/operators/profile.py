@@ -102,7 +102,7 @@ class Profile:
         return quantiles(
             self.table.numbers(self.numeric),
             {c: facts[c].numbers for c in self.numeric},
-            {c: facts[c].distinct_estimate for c in self.numeric},
+            {c: self.table.distinct_bound(c) for c in self.numeric},
             QUANTILES,
         )
 

@@ -20,7 +20,7 @@ from .table import chunks
 # Rows one task may sort or hold; above it the sliced or narrowing form is used.
 ONE_TASK_ROWS = 200_000
 # Distinct values the in-memory exact percentile may keep per column.
-PERCENTILE_DISTINCT = 1_000_000
+PERCENTILE_DISTINCT = 250_000
 _SKETCH = 10_000
 
 
@@ -151,15 +151,23 @@ def _narrow(df: DataFrame, hunts: list[_Hunt]) -> None:
     rows drops out of the bracket as soon as it is one of its ends.
     """
     for part in chunks(hunts, 40):
-        sketch = df.agg(*[
-            F.percentile_approx(h.within(), [
-                max(0.0, (h.place / max(1, h.inside - 1)) - 2 / _SKETCH),
-                min(1.0, (h.place / max(1, h.inside - 1)) + 2 / _SKETCH),
-            ], _SKETCH).alias(f"s{i}") for i, h in enumerate(part)
-        ]).first()
+        # Places sought in the same bracket of the same column share one sketch.
+        shared: dict[tuple, list[_Hunt]] = {}
+        for h in part:
+            shared.setdefault((h.name, h.low, h.high), []).append(h)
+        sketched = []
+        for i, group in enumerate(shared.values()):
+            at = [h.place / max(1, h.inside - 1) for h in group]
+            fractions = [f for q in at for f in (max(0.0, q - 2 / _SKETCH), min(1.0, q + 2 / _SKETCH))]
+            sketched.append(F.percentile_approx(group[0].within(), fractions, _SKETCH).alias(f"s{i}"))
+        row = df.agg(*sketched).first()
+        sketch = {}
+        for i, group in enumerate(shared.values()):
+            for j, h in enumerate(group):
+                sketch[id(h)] = row[f"s{i}"][2 * j:2 * j + 2]
         counts = []
         for i, h in enumerate(part):
-            a, b = sketch[f"s{i}"]
+            a, b = sketch[id(h)]
             c = h.within()
             counts += [
                 F.count_if(c < F.lit(a)).alias(f"below{i}"), F.count_if(c == F.lit(a)).alias(f"low{i}"),
@@ -168,7 +176,7 @@ def _narrow(df: DataFrame, hunts: list[_Hunt]) -> None:
             ]
         seen = df.agg(*counts).first()
         for i, h in enumerate(part):
-            a, b = sketch[f"s{i}"]
+            a, b = sketch[id(h)]
             below, low, mid, high = (seen[f"{k}{i}"] for k in ("below", "low", "mid", "high"))
             place = h.place
             if place < below:

@@ -17,6 +17,8 @@ NUMERIC_SHARE = 0.5
 DATE_SHARE = 0.8
 # ----------------------------------------------------------------------------
 COLUMNS_PER_SCAN = 60
+SMALL_COLUMN = 200_000
+MOMENTS = ("min", "max", "mean", "std_pop", "var_samp")
 
 
 class UnknownColumn(ValueError):
@@ -40,6 +42,31 @@ def facts_by_column(df: DataFrame, structs: list[Column]) -> DataFrame:
     return out
 
 
+def read_text(cells: DataFrame, *keys: str) -> DataFrame:
+    """``text`` cells with the number, kind, moment and notations read from them.
+
+    One select per step: a later step then names an earlier result instead of holding
+    a copy of its expression, which keeps the generated code small.
+    """
+    kept = [c for c in cells.columns if c != "text"]
+    t = F.col("t")
+    steps = cells.select(*kept, V.trimmed(F.col("text")).alias("t"))
+    steps = steps.select(*kept, "t", F.coalesce(t == "", F.lit(True)).alias("blank"),
+                         t.rlike(V.NUMBER_START).alias("digits"), t.rlike(V.DATE_START).alias("dated"))
+    steps = steps.select(
+        *kept, "t", "blank", "dated", F.when(F.col("digits"), V.number_from(t)).alias("number"))
+    steps = steps.select(
+        *kept, "t", "blank", "dated", "number", F.col("number").isNotNull().alias("read"),
+        F.when(F.col("dated"), D.date_from(t)).alias("moment"))
+    by_shape = t.rlike(V.KIND_DATE_SHAPES[0]) | t.rlike(V.KIND_DATE_SHAPES[1]) | t.rlike(V.KIND_DATE_SHAPES[2])
+    kind = (F.when(F.col("blank"), "missing").when(F.col("read"), "numeric")
+            .when(F.col("dated") & by_shape, "date").otherwise("text"))
+    steps = steps.select(*kept, "t", "number", "moment", kind.alias("kind"),
+                         (F.col("read") & ~t.rlike(V.PLAIN_NUMBER)).alias("marked"))
+    return steps.select(*kept, "number", "moment", "kind", *[
+        F.coalesce(F.col("marked") & mark, F.lit(False)).alias(f"f{i}") for i, mark in enumerate(V.format_marks(t))])
+
+
 class Table:
     """``row_id`` names a unique, ordered long column; operators that speak of row
     order refuse to run without one."""
@@ -91,62 +118,102 @@ class Table:
         """The number read from each cell, under the column's own name, parsed once."""
         return self.df.select(*extra, *[self.number(c).alias(c) for c in columns])
 
-    # -- pass 1: one scan, one record per column -----------------------------
-
-    def _column_struct(self, position: int, column: str) -> Column:
-        dtype = self.types[column]
-        num, kind = F.col(V.quoted(f"{column}#n")), F.col(V.quoted(f"{column}#k"))
-        fields = [
-            F.lit(position).alias("position"),
-            F.lit(column).alias("column"),
-            F.count(F.lit(1)).alias("row_count"),
-            F.count_if(kind == "missing").alias("missing"),
-            F.count(num).alias("numbers"),
-            F.count(F.col(V.quoted(f"{column}#d"))).alias("dates"),
-            *[F.count_if(kind == k).alias(f"{k}_cells") for k in V.KINDS],
-            F.min(num).alias("min"),
-            F.max(num).alias("max"),
-            F.avg(num).alias("mean"),
-            F.stddev_pop(num).alias("std_pop"),
-            F.var_samp(num).alias("var_samp"),
-            (F.approx_count_distinct(num) if V.is_numeric_type(dtype) or isinstance(dtype, T.StringType)
-             else F.lit(0).cast("long")).alias("distinct_estimate"),
-            F.min(F.col(V.quoted(f"{column}#d"))).alias("earliest"),
-            F.max(F.col(V.quoted(f"{column}#d"))).alias("latest"),
-            V.number_formats(self.raw(column), dtype).alias("formats"),
-        ]
-        return F.struct(*fields)
+    # -- pass 1: one record per column ---------------------------------------
+
+    def _typed_struct(self, position: int, column: str) -> Column:
+        """Facts of a column whose Spark type already says what its cells are."""
+        dtype, raw = self.types[column], self.raw(column)
+        num = F.col(V.quoted(column)) if V.is_numeric_type(dtype) else F.lit(None).cast("double")
+        present = F.count(F.col(V.quoted(column)))
+        zero = F.lit(0).cast("long")
+        kind = ("numeric" if V.is_numeric_type(dtype) else "date" if V.is_time_type(dtype)
+                else "boolean" if isinstance(dtype, T.BooleanType) else "text")
+        at = raw if V.is_time_type(dtype) else F.lit(None).cast("timestamp_ntz")
+        moments = [F.min(num), F.max(num), F.avg(num), F.stddev_pop(num), F.var_samp(num)]
+        if kind != "numeric":
+            moments = [F.lit(None).cast("double")] * 5
+        ends = [F.min(at), F.max(at)] if kind == "date" else [F.lit(None).cast("timestamp_ntz")] * 2
+        return F.struct(
+            F.lit(position).alias("position"), F.lit(column).alias("column"),
+            F.count(F.lit(1)).alias("row_count"), (F.count(F.lit(1)) - present).alias("missing"),
+            (present if kind == "numeric" else zero).alias("numbers"),
+            (present if kind == "date" else zero).alias("dates"),
+            *[(present if kind == k else zero).alias(f"{k}_cells") for k in V.KINDS],
+            *[m.alias(n) for m, n in zip(moments, MOMENTS)],
+            ends[0].alias("earliest"), ends[1].alias("latest"),
+            F.array().cast("array<string>").alias("formats"))
+
+    def _typed_facts(self, columns: list[str]) -> DataFrame:
+        cells = []
+        for c in columns:
+            dtype = self.types[c]
+            if V.is_numeric_type(dtype):
+                cells.append(self.number(c).alias(c))
+            elif V.is_time_type(dtype):
+                cells.append(self.moment(c).alias(c))
+            else:
+                cells.append(self.raw(c))
+        structs = [self._typed_struct(self.columns.index(c), c) for c in columns]
+        return facts_by_column(self.df.select(*cells), structs)
+
+    def _text_facts(self, columns: list[str]) -> DataFrame:
+        """Facts of text columns: cells are read in long form, so each is parsed once by one short plan."""
+        cells = self.df.select(F.posexplode(F.array(*[self.raw(c) for c in columns])).alias("at", "text"))
+        read = read_text(cells)
+        n, k, d = F.col("number"), F.col("kind"), F.col("moment")
+        flags = [F.bool_or(F.col(f"f{i}")) for i in range(len(V.NUMBER_FORMATS))]
+        named = F.filter(
+            F.array(*[F.when(flag, F.lit(name)) for flag, name in zip(flags, V.NUMBER_FORMATS)]),
+            lambda name: name.isNotNull())
+        names = F.array(*[F.lit(c) for c in columns])
+        places = F.array(*[F.lit(self.columns.index(c)) for c in columns])
+        grouped = read.groupBy("at").agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_if(k == "missing").alias("missing"),
+            F.count(n).alias("numbers"), F.count(d).alias("dates"),
+            *[F.count_if(k == kind).alias(f"{kind}_cells") for kind in V.KINDS],
+            *[m.alias(name) for m, name in zip(
+                (F.min(n), F.max(n), F.avg(n), F.stddev_pop(n), F.var_samp(n)), MOMENTS)],
+            F.min(d).alias("earliest"), F.max(d).alias("latest"), named.alias("formats"))
+        return grouped.select(
+            F.element_at(places, F.col("at") + 1).alias("position"), F.element_at(names, F.col("at") + 1).alias("column"),
+            *[c for c in grouped.columns if c != "at"])
 
     def column_facts(self) -> DataFrame:
-        """Counts, kinds, moments and both type rules, one row per column, in one scan."""
-        parsed = self.df.select(
-            *[self.raw(c) for c in self.columns],
-            *[self.number(c).alias(f"{c}#n") for c in self.columns],
-            *[self.kind(c).alias(f"{c}#k") for c in self.columns],
-            *[self.moment(c).alias(f"{c}#d") for c in self.columns],
-        )
-        facts = facts_by_column(parsed, [self._column_struct(i, c) for i, c in enumerate(self.columns)])
-        return with_types(facts)
+        """Counts, kinds, moments and both type rules, one row per column; each column is read once."""
+        text = [c for c in self.columns if isinstance(self.types[c], T.StringType)]
+        typed = [c for c in self.columns if c not in text]
+        parts = [self._typed_facts(part) for part in chunks(typed, COLUMNS_PER_SCAN)]
+        parts += [self._text_facts(part) for part in chunks(text, COLUMNS_PER_SCAN)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return with_types(out)
 
     @cached_property
     def facts(self) -> dict[str, Row]:
-        return {row["column"]: row for row in self.column_facts().collect()}
+        rows = {row["column"]: row for row in self.column_facts().collect()}
+        if len(rows) < len(self.columns):
+            # Grouping an empty table gives no record for its text columns.
+            empty = Table(self.df.limit(0).select(*[F.lit(None).cast("double").alias(c) for c in self.columns]))
+            rows = {**{r["column"]: r for r in empty.column_facts().collect()}, **rows}
+        return {c: rows[c] for c in self.columns}
+
+    @cached_property
+    def _estimates(self) -> dict[str, int]:
+        numeric = self.of_type("numeric")
+        row = self.numbers(numeric).agg(*[
+            F.approx_count_distinct(F.col(V.quoted(c))).alias(f"d{i}") for i, c in enumerate(numeric)]).first()
+        return {c: row[f"d{i}"] for i, c in enumerate(numeric)}
+
+    def distinct_bound(self, column: str) -> int:
+        """A safe upper bound on a numeric column's distinct values; small columns need no scan."""
+        n = self.facts[column].numbers
+        return n if n <= SMALL_COLUMN else min(n, 2 * self._estimates[column])
 
     @property
     def row_count(self) -> int:
         return next(iter(self.facts.values())).row_count if self.columns else 0
 
-    def facts_frame(self) -> DataFrame:
-        """The collected column records as a DataFrame again (bounded by column count)."""
-        return self.spark.createDataFrame(list(self.facts.values()), schema=self._facts_schema())
-
-    @cached_property
-    def _facts_type(self):
-        return self.column_facts().schema
-
-    def _facts_schema(self):
-        return self._facts_type
-
     def of_type(self, stat_type: str) -> list[str]:
         return [c for c in self.columns if self.facts[c].stat_type == stat_type]
 
