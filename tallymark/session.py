@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile longer methods; past this size a stage runs faster unfused.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -21,6 +23,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The same settings on a session somebody else made."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a temporary one only in local mode."""
     sc = spark.sparkContext
