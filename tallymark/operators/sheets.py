@@ -155,7 +155,8 @@ class Sheets:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return read_rows(self.grid)
+        """Every row read once and written down, as all later steps start from it."""
+        return durable(read_rows(self.grid))
 
     @cached_property
     def headers(self) -> DataFrame:
@@ -206,9 +207,9 @@ class Sheets:
         second = (
             F.col("after_blank") & below.isNotNull() & (F.col("present") >= 2)
             & (F.col("textual") == F.col("present")) & words_over_numbers)
-        return data.select(
+        return durable(data.select(
             *STRETCH, "row_no", "cells", "numbers", F.coalesce(second, F.lit(False)).alias("second_header"),
-            aggregate_label(F.col("cells"), F.col("numbers")).alias("label"))
+            aggregate_label(F.col("cells"), F.col("numbers")).alias("label")))
 
     def second_headers(self) -> DataFrame:
         return self.data.filter("second_header").select("file_id", "row_no", preview(F.col("cells")).alias("cells"))
@@ -220,10 +221,10 @@ class Sheets:
 
     @cached_property
     def _cells(self) -> DataFrame:
-        """The numbers under the headers in long form, written once and read by every round below."""
-        return durable(self.data.select(
+        """The numbers under the headers in long form."""
+        return self.data.select(
             *STRETCH, "row_no", (F.col("second_header") | F.col("label").isNotNull()).alias("set_aside"),
-            "second_header", F.posexplode("numbers").alias("col", "value")).filter("value IS NOT NULL"))
+            "second_header", F.posexplode("numbers").alias("col", "value")).filter("value IS NOT NULL")
 
     def _matches(self, set_aside: DataFrame | None) -> DataFrame:
         """Rows whose numbers equal the sums of the kept rows above, given the rows set aside so far."""
@@ -279,7 +280,7 @@ class Sheets:
 
     @cached_property
     def classified(self) -> DataFrame:
-        """Every data row with its reason and confidence where it is not an observation."""
+        """The data rows that are not observations, with reason and confidence."""
         matched = self.arithmetic.select(*STRETCH, "row_no", "matched_columns")
         flagged = self.data.join(matched, [*STRETCH, "row_no"], "left")
         across = W.partitionBy("file_id").orderBy("chunk")
@@ -301,12 +302,13 @@ class Sheets:
         flagged = flagged.select(
             "*", F.min(kept).over(inner).alias("lo1"), F.max(kept).over(inner).alias("hi1")).join(carried, STRETCH)
         reason = F.when(F.col("second_header"), "second header").when(F.col("confidence").isNotNull(), "aggregate")
-        return flagged.select(
-            *STRETCH, "row_no", "cells", "numbers", "label", "matched_columns", "trailing", "confidence",
-            reason.alias("reason"), F.least("lo0", "lo1").alias("first_above"), F.greatest("hi0", "hi1").alias("last_above"))
+        return durable(flagged.select(
+            *STRETCH, "row_no", "cells", "label", "matched_columns", "trailing", "confidence", reason.alias("reason"),
+            F.least("lo0", "lo1").alias("first_above"), F.greatest("hi0", "hi1").alias("last_above")
+        ).filter("reason IS NOT NULL"))
 
     def classify_rows(self) -> DataFrame:
-        return self.classified.filter("reason IS NOT NULL").select("file_id", "row_no", "reason", "confidence", "label")
+        return self.classified.select("file_id", "row_no", "reason", "confidence", "label")
 
     @cached_property
     def header_names(self) -> DataFrame:
@@ -326,7 +328,7 @@ class Sheets:
     @cached_property
     def set_aside(self) -> DataFrame:
         """Every row that is not an observation, with why, how sure, and whether it was put back."""
-        found = self.classified.filter("reason IS NOT NULL")
+        found = self.classified
         # Few rows are set aside; each meets its sheet's header and corrections by sheet.
         heads = self.header_names.join(self.headers.select("file_id", "include_rows"), "file_id")
         found = found.join(heads, "file_id")

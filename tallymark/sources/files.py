@@ -8,8 +8,8 @@ from ..functions import values as V
 
 _LINE_CHUNK = 10_000
 # --- fixed values -----------------------------------------------------------
-# Byte-order marks as their bytes read in ISO-8859-1.
-MARKS = (("UTF-16LE", "ÿþ"), ("UTF-16BE", "þÿ"), ("UTF-8", "ï»¿"))
+# Byte-order marks, as the hexadecimal text of a file's first bytes.
+MARKS = (("UTF-16LE", "FFFE"), ("UTF-16BE", "FEFF"), ("UTF-8", "EFBBBF"))
 # ----------------------------------------------------------------------------
 
 
@@ -19,10 +19,10 @@ def _as_list(paths) -> list[str]:
 
 def detect_encoding(spark: SparkSession, paths) -> DataFrame:
     """``file_id, encoding`` by byte-order mark, else UTF-8; only the first line of each file is looked at."""
-    text = spark.read.option("encoding", "ISO-8859-1").text(_as_list(paths), lineSep="\n")
-    first = text.select("value", F.col("_metadata.file_path").alias("file_id"),
+    text = spark.read.text(_as_list(paths), lineSep="\n")
+    first = text.select(F.hex(F.col("value").cast("binary")).alias("bytes"), F.col("_metadata.file_path").alias("file_id"),
                         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
-    heads = first.filter("start = 0").groupBy("file_id").agg(F.min_by(F.substring("value", 1, 3), "id").alias("head"))
+    heads = first.filter("start = 0").groupBy("file_id").agg(F.min_by(F.substring("bytes", 1, 6), "id").alias("head"))
     encoding = F
     for name, mark in MARKS:
         encoding = encoding.when(F.col("head").startswith(mark), F.lit(name))
@@ -46,9 +46,12 @@ def numbered_lines(spark: SparkSession, paths, encoding: str | None = None) -> D
         for name, group in wide.items():
             out = out.unionByName(numbered_lines(spark, group, name))
         return out
+    # The reader only uses the encoding to find line ends; the bytes of a line are decoded here.
+    raw = F.col("value")
+    decoded = raw if encoding == "UTF-8" else F.decode(raw.cast("binary"), encoding)
     lines = spark.read.option("encoding", encoding).text(_as_list(paths), lineSep="\n").select(
         F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+        F.monotonically_increasing_id().alias("id"), F.regexp_replace(decoded, "\r$", "").alias("line"))
     inner = W.partitionBy("file_id", "block").orderBy("id")
     across = W.partitionBy("file_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     totals = lines.groupBy("file_id", "block").agg(F.count(F.lit(1)).alias("n")).select(
