@@ -30,7 +30,7 @@ MIN_EFFECT = 0.5
 MAD_TO_STD = 1.4826
 # ----------------------------------------------------------------------------
 # The grid that returns to the driver has at most this many cells, at any scale.
-BOUNDARIES, EDGES = 2048, 1024
+BOUNDARIES, EDGES, STRETCHES = 2048, 1024, 512
 
 
 def ordered_series(table: Table, date_column: str, target: str) -> DataFrame:
@@ -167,7 +167,15 @@ def _first_blocks(n: int, segment: int) -> np.ndarray:
 
 
 def _open_stretches(ranges: np.ndarray) -> np.ndarray:
-    """Disjoint open value stretches, in order, where a middle value is still unsettled."""
+    """Disjoint value stretches, in order, where a middle value is still unsettled.
+
+    Should there be too many, those of the most promising blocks go first.
+    """
+    found = _merged(ranges)
+    return found if len(found) <= STRETCHES else _merged(ranges[: STRETCHES // 4])
+
+
+def _merged(ranges: np.ndarray) -> np.ndarray:
     pairs = ranges.reshape(-1, 2)
     pairs = np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
     if not len(pairs):
@@ -179,7 +187,7 @@ def _open_stretches(ranges: np.ndarray) -> np.ndarray:
 
 
 def _edges(series: DataFrame, stretches: np.ndarray, turn: int) -> np.ndarray:
-    """Values inside the stretches: all of them once they are few, else an even-handed sample.
+    """The ends of the stretches and values inside: all of them once they are few, else an even-handed sample.
 
     Which values are sampled steers the search, never its answer.
     """
@@ -197,7 +205,7 @@ def _edges(series: DataFrame, stretches: np.ndarray, turn: int) -> np.ndarray:
     else:
         rows = rows.filter((F.col("value") > F.lit(float(lows[0]))) & (F.col("value") < F.lit(float(highs[0]))))
     sample = rows.orderBy(F.xxhash64("position", F.lit(turn))).limit(EDGES).select("value").toPandas()
-    return np.unique(sample["value"].to_numpy(dtype=np.float64))
+    return np.unique(np.concatenate([sample["value"].to_numpy(dtype=np.float64), stretches.ravel()]))
 
 
 def find_split(series: DataFrame, n: int, scale: float, ends: tuple[float, float], segment: int = MIN_SEGMENT) -> int:

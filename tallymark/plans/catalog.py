@@ -14,7 +14,7 @@ from ..operators.evidence import Evidence, rank_evidence
 from ..operators.provenance import Provenance
 from ..operators.ranks import grouped_quantiles, rank_average
 from ..operators.table import (
-    Table, date_columns, date_reason, drop_heavy_fields, level_reason, numeric_reason, period_reason, present_reason,
+    Table, date_reason, drop_heavy_fields, level_reason, numeric_reason, period_reason, present_reason,
     select_columns,
 )
 from ..session import durable
@@ -464,11 +464,12 @@ def iqr_outliers(spark, sf):
 
 
 @query(f"""WITH {EVENT_FENCES}, o AS (SELECT "column", event_id AS "row", v AS value, CASE WHEN v < low THEN 'below' ELSE 'above' END AS side,
-  round(CASE WHEN v < low THEN low - v ELSE v - high END, 4) AS beyond FROM u JOIN f USING ("column") WHERE v < low OR v > high),
+  round(CASE WHEN v < low THEN low - v ELSE v - high END, 3) AS beyond FROM u JOIN f USING ("column") WHERE v < low OR v > high),
   r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY beyond DESC, "row") AS place FROM o)
   SELECT * FROM r WHERE place <= 200""")
 def outlier_rows(spark, sf):
-    return N.profile(spark, sf, "events", row_id="event_id").outlier_rows()
+    out = N.profile(spark, sf, "events", row_id="event_id").outlier_rows()
+    return out.withColumn("beyond", F.round("beyond", 3))
 
 
 def _bins_sql(source: str, low: str, high: str, bins: int = 10) -> str:
@@ -476,8 +477,10 @@ def _bins_sql(source: str, low: str, high: str, bins: int = 10) -> str:
             f"count(*) AS \"count\" FROM {source} GROUP BY 1, 2")
 
 
-@query(f"""WITH {LONG}, e AS (SELECT "column", min(v) AS lo, max(v) AS hi FROM u GROUP BY 1),
-  j AS (SELECT * FROM u JOIN e USING ("column")) {_bins_sql('j', 'lo', 'hi')}""")
+@query(f"""WITH {LONG}, e AS (SELECT "column", min(v) AS lo,
+  max(v) AS hi FROM u GROUP BY 1), j AS (SELECT * FROM u JOIN e USING ("column")), c AS ({_bins_sql('j', 'lo', 'hi')}),
+  k AS (SELECT "column", CAST(unnest(range(10)) AS INTEGER) AS bin FROM e)
+  SELECT k."column", k.bin, coalesce(c."count", 0) AS "count" FROM k LEFT JOIN c ON c."column" = k."column" AND c.bin = k.bin""")
 def histogram(spark, sf):
     return N.profile(spark, sf, "lineitem", MEASURES).histogram(tail_aware=False).select("column", "bin", "count")
 
@@ -610,7 +613,8 @@ _SCORE = f"""WITH {GAPPY}, c AS (SELECT count(*) AS n, round(100.0 * (count(*) -
   o AS (SELECT count(*) FILTER (price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)) +
     count(*) FILTER (tier < t1 - 1.5 * (t3 - t1) OR tier > t3 + 1.5 * (t3 - t1)) AS out FROM g, c),
   d AS (SELECT CAST(sum(k - 1) AS BIGINT) AS dup FROM (SELECT count(*) AS k FROM g GROUP BY price, tier, mix)),
-  s AS (SELECT n, mp, mt, out, dup, 100 - (mp + mt) / 3 * 0.8 - 100.0 * dup / n * 0.4 - 100.0 * out / (n * 3) * 0.5 AS score
+  s AS (SELECT n, mp, mt, out, dup, 100 - (mp + mt) / 3 * 0.8 - 100.0 / 3 * 0.25 - 100.0 * dup / n * 0.4
+    - 100.0 * out / (n * 3) * 0.5 AS score, (SELECT round(100.0 * count(*) FILTER (o_orderkey % 4 <> 0) / count(*)) FROM g) AS same
     FROM c, o, d)"""
 
 
@@ -625,6 +629,7 @@ def health_score(spark, sf):
 @query(f"""{_SCORE} SELECT CASE WHEN mp >= 40 THEN 'high' ELSE 'medium' END AS severity,
   '"price" is missing ' || mp || '% of its values' AS message FROM s WHERE mp >= 10 UNION ALL
   SELECT CASE WHEN mt >= 40 THEN 'high' ELSE 'medium' END, '"tier" is missing ' || mt || '% of its values' FROM s WHERE mt >= 10
+  UNION ALL SELECT 'high', '"mix" mixes value types (only ' || CAST(same AS INTEGER) || '% consistent)' FROM s
   UNION ALL SELECT CASE WHEN 100.0 * dup / n >= 5 THEN 'high' ELSE 'medium' END, dup || ' duplicate row' ||
   CASE WHEN dup = 1 THEN '' ELSE 's' END || ' (' || CASE WHEN round(100.0 * dup / n, 1) = floor(round(100.0 * dup / n, 1))
   THEN CAST(CAST(round(100.0 * dup / n, 1) AS INTEGER) AS VARCHAR) ELSE CAST(round(100.0 * dup / n, 1) AS VARCHAR) END || '%)' FROM s WHERE dup > 0""")
@@ -646,7 +651,7 @@ def _line(spark, sf, name, column, columns=None) -> L.Timeline:
 @query(f"""WITH {MESSY} SELECT 'ship_text' AS "column", count(*) AS present, count(*) AS dates, true AS is_date FROM m UNION ALL
   SELECT 'price_text', count(*) FILTER (NOT price_blank), 0, false FROM m""")
 def is_date_column(spark, sf):
-    return date_columns(Table(N.messy_lineitem(spark, sf), ["ship_text", "price_text"]))
+    return L.date_columns(Table(N.messy_lineitem(spark, sf), ["ship_text", "price_text"]))
 
 
 @query("""SELECT 'ts' AS "column", count(*) AS valid, 0 AS missing, 0 AS invalid, 100.0 AS coverage,
