@@ -11,6 +11,7 @@ from .infer import ks_two_sample, welch
 from .profile import QUANTILES, Profile
 from .quality import Quality
 from .ranks import ONE_TASK_ROWS
+from .table import settle
 
 # --- fixed values -----------------------------------------------------------
 ROW_CHANGE, HEALTH_CHANGE, HEALTH_HIGH, COMPLETENESS_CHANGE = 10, 5, 15, 5
@@ -76,6 +77,10 @@ class Comparison:
         test = welch(*[F.col(f"{s}_{m}") for s in ("baseline", "current") for m in ("valid", "mean", "var")])
         return self._numeric_records().select("place", "column", test.alias("welch"))
 
+    @cached_property
+    def shifts(self) -> DataFrame:
+        return settle(self.distribution_shift())
+
     def distribution_shift(self) -> DataFrame:
         """Two-sample KS per shared numeric column, all columns in one pass over both tables."""
         columns = self._same_type("numeric")
@@ -85,7 +90,7 @@ class Comparison:
                     "significant boolean, method string")
 
         def values(profile: Profile, current: bool) -> DataFrame:
-            numbers = profile.table.numbers(columns)
+            numbers = profile.table.readings
             cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(V.quoted(c)).alias("value")) for c in columns])
             return numbers.select(F.inline(cells)).withColumn("current", F.lit(current))
 
@@ -169,7 +174,7 @@ class Comparison:
                 title.alias("title"), detail.alias("detail"), F.lit(metric).alias("metric"),
                 (F.array(columns) if columns is not None else F.array().cast("array<string>")).alias("columns"))
 
-        schema = self.schema_diff()
+        schema = settle(self.schema_diff())
 
         def listed(condition, order, each, metric, severity, word):
             names = schema.filter(condition).agg(
@@ -191,7 +196,7 @@ class Comparison:
             listed(F.col("status") == "removed", "baseline_position", F.col("column"), "schema.removed", "medium",
                    plural(" column removed", " columns removed")),
         ]
-        s, pct = self.summary(), F.col("row_pct")
+        s, pct = settle(self.summary()), F.col("row_pct")
         moved = lambda c, up, down: F.when(c > 0, up).otherwise(down)
         health, complete = F.col("health_delta"), F.col("completeness_delta")
         parts += [
@@ -208,7 +213,7 @@ class Comparison:
         ]
         c = F.col("column")
         # One row per shared numeric column.
-        numeric = self.numeric_deltas().join(F.broadcast(self.mean_shift().drop("place")), "column")
+        numeric = settle(self.numeric_deltas().join(F.broadcast(self.mean_shift().drop("place")), "column"))
         w, mean_pct = F.col("welch"), F.col("mean_pct")
         significant = F.coalesce(w.significant, F.lit(False))
         both = _text(_num(F.col("baseline_mean")), " to ", _num(F.col("current_mean")))
@@ -221,18 +226,18 @@ class Comparison:
                   & (F.col("baseline_valid") >= MEAN_MIN_VALUES) & (F.col("current_valid") >= MEAN_MIN_VALUES), "low",
                   _text(c, " mean ", moved(mean_pct, "increased", "decreased"), " ", _num(F.abs(mean_pct)), "%"),
                   _text(both, "; descriptive change, before significance testing."), "numeric.mean", c),
-            found(self.distribution_shift(), F.col("significant") & (F.col("statistic") >= KS_MATERIAL), "medium",
+            found(self.shifts, F.col("significant") & (F.col("statistic") >= KS_MATERIAL), "medium",
                   _text(c, " distribution shifted"),
                   _text("Two-sample KS D=", _num(F.col("statistic")), ", p=", _num(F.col("p_value")),
                         ". This tests the full distribution and is exploratory and unadjusted across columns."),
                   "numeric.distribution_shift", c),
-            found(self.categorical_deltas(), F.col("dominant_changed"), "low",
+            found(settle(self.categorical_deltas()), F.col("dominant_changed"), "low",
                   _text(c, " has a new leading category"),
                   _text(F.col("baseline_leader"), " (", _num(F.col("baseline_share")), "%) to ",
                         F.col("current_leader"), " (", _num(F.col("current_share")), "%)."),
                   "categorical.dominant", c),
         ]
-        every = reduce(DataFrame.unionByName, parts)
+        every = settle(reduce(DataFrame.unionByName, parts))
         stable = spark.createDataFrame(
             [("neutral", "No material descriptive changes detected",
               "Schema, quality, and shared-column summaries stayed within the reporting thresholds.", "stable", [])],
@@ -264,7 +269,7 @@ class Comparison:
 
         # One row per shared numeric column on both sides.
         joined = frame.join(
-            F.broadcast(self.distribution_shift().select("column", "statistic", "significant")), "column", "left")
+            F.broadcast(self.shifts.select("column", "statistic", "significant")), "column", "left")
         return joined.orderBy(
             F.coalesce(F.col("significant"), F.lit(False)).desc(), F.coalesce("statistic", F.lit(0.0)).desc(), "place"
         ).limit(limit).select("column", "low", "high", "statistic", "significant", *[at(n).alias(n) for n in names])

@@ -97,7 +97,7 @@ def spearman(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
     out = None
     for group in groups:
         columns = list(dict.fromkeys(c for pair in group for c in pair))
-        rows = table.numbers(columns).dropna(subset=[V.quoted(c) for c in columns])
+        rows = table.readings.select(*[_q(c) for c in columns]).dropna(subset=[V.quoted(c) for c in columns])
         for c in columns:
             rows = _attach_rank(rows, c, table.distinct_bound(c), facts[c].row_count)
         one = pair_moments(rows, group, "spearman")
@@ -118,7 +118,7 @@ def correlate(
               "coverage double, rows_considered long, strength string, small_sample boolean, caveat string")
     if not pairs:
         return table.spark.createDataFrame([], schema)
-    found = pair_moments(table.numbers(columns), pairs, "pearson")
+    found = pair_moments(table.readings, pairs, "pearson")
     if method == "pearson":
         found = found.withColumn("spearman", F.lit(None).cast("double"))
     else:

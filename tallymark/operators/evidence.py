@@ -15,6 +15,7 @@ from .correlate import MIN_PAIRS, MIN_REPORTED, METHOD_GAP, SMALL_SAMPLE, _attac
 from .infer import categorical_association, welch
 from .profile import Profile
 from .shifts import level_shift, ordered_series
+from .table import settle
 from .timeline import SHOWN_GAPS, SHOWN_PERIODS, Timeline
 
 # --- fixed values -----------------------------------------------------------
@@ -392,5 +393,6 @@ class Evidence:
     )
 
     def build(self, limit: int | None = MAX_EVIDENCE) -> DataFrame:
-        parts = [getattr(self, family)() for family in self.FAMILIES]
+        # Each family is at most a few dozen records by now.
+        parts = [settle(getattr(self, family)()) for family in self.FAMILIES]
         return rank_evidence(reduce(DataFrame.unionByName, parts), limit)

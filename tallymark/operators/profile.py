@@ -100,7 +100,7 @@ class Profile:
     def quantiles(self) -> dict[str, dict[str, float]]:
         facts = self.table.facts
         return quantiles(
-            self.table.numbers(self.numeric),
+            self.table.readings,
             {c: facts[c].numbers for c in self.numeric},
             {c: self.table.distinct_bound(c) for c in self.numeric},
             QUANTILES,
@@ -134,7 +134,7 @@ class Profile:
                 F.count_if(_n(c) < low).alias(f"below{i}"), F.count_if(_n(c) > high).alias(f"above{i}"),
                 F.min(inside).alias(f"min{i}"), F.max(inside).alias(f"max{i}"), F.count(inside).alias(f"n{i}"),
             ]
-        row = self.table.numbers(checked).agg(*aggregates).first()
+        row = self.table.readings.agg(*aggregates).first()
         return {
             c: {k: row[f"{k}{i}"] for k in ("below", "above", "min", "max", "n")} for i, c in enumerate(checked)
         }
@@ -231,7 +231,7 @@ class Profile:
                 frame.append((c, i, method, "center", low + i * width, end))
             indexed.append(F.struct(F.lit(c).alias("column"), F.when(x.isNotNull(), place).alias("bin")))
         counts = (
-            self.table.numbers(columns).select(F.inline(F.array(*indexed))).filter("bin IS NOT NULL")
+            self.table.readings.select(F.inline(F.array(*indexed))).filter("bin IS NOT NULL")
             .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count"))
         )
         bins = self.table.spark.createDataFrame(

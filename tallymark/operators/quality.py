@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions import values as V
 from ..session import durable
 from .profile import Profile, level_counts
-from .table import Table
+from .table import Table, settle
 
 # --- fixed values -----------------------------------------------------------
 MISSING_PENALTY, SHAPE_PENALTY, DUPLICATE_PENALTY, OUTLIER_PENALTY = 0.8, 0.25, 0.4, 0.5
@@ -68,6 +68,14 @@ class Quality:
     def duplicates(self) -> int:
         return duplicate_rows(self.table).first().duplicate_rows
 
+    @cached_property
+    def _columns(self) -> DataFrame:
+        return settle(self.columns())
+
+    @cached_property
+    def _summary(self) -> DataFrame:
+        return settle(self.summary())
+
     def columns(self) -> DataFrame:
         """Type, consistency, missing, unique and outliers per column."""
         rows = []
@@ -85,7 +93,7 @@ class Quality:
 
     def summary(self) -> DataFrame:
         """Rows, duplicates, completeness, health score and grade, as one row."""
-        columns = self.columns()
+        columns = self._columns
         size = F.greatest(F.col("column_count"), F.lit(1))
         totals = columns.agg(
             F.max("row_count").alias("row_count"), F.count(F.lit(1)).alias("column_count"),
@@ -109,7 +117,7 @@ class Quality:
 
     def issues(self) -> DataFrame:
         """Issues by severity, then in column order; at most twelve."""
-        columns = self.columns()
+        columns = self._columns
 
         def found(condition, severity, message, step):
             return columns.filter(condition).select(
@@ -130,7 +138,7 @@ class Quality:
             found(F.col("outliers") > 0, F.lit("low"),
                   F.concat(name, F.lit(" has "), F.col("outliers"), F.lit(" statistical outlier"), plural), 3),
         ]
-        duplicates = self.summary().filter("duplicate_rows > 0").select(
+        duplicates = self._summary.filter("duplicate_rows > 0").select(
             F.when(F.col("_dup") >= DUPLICATE_HIGH, "high").otherwise("medium").alias("severity"),
             F.concat(F.col("duplicate_rows"), F.lit(" duplicate row"),
                      F.when(F.col("duplicate_rows") == 1, "").otherwise("s"), F.lit(" ("),
@@ -147,7 +155,7 @@ class Quality:
         share = F.when(F.col("missing_pct") > 0, F.concat(F.lit(", "), V.number_text(F.col("missing_pct")), F.lit("% missing")))
         far = F.when(F.col("outliers") > 0, F.concat(F.lit(", "), F.col("outliers"), F.lit(" outliers")))
         part = F.concat(F.col("column"), F.lit(": "), F.col("type"), F.coalesce(share, F.lit("")), F.coalesce(far, F.lit("")))
-        listed = self.columns().agg(F.array_join(
+        listed = self._columns.agg(F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("position", part.alias("text")))), lambda s: s.text),
             " | ").alias("columns"))
         # At most twelve issues and one summary row.
@@ -157,7 +165,7 @@ class Quality:
             F.col("row_count"), F.lit(" rows, "), F.col("duplicate_rows"), F.lit(" duplicate rows. Columns — "),
             F.col("columns"), F.lit(". Issues — "),
             F.when(F.col("issues") == "", "none").otherwise(F.col("issues")), F.lit("."))
-        one = self.summary().withColumn("_k", F.lit(1))
+        one = self._summary.withColumn("_k", F.lit(1))
         for other in (listed, issues):
             one = one.join(F.broadcast(other.withColumn("_k", F.lit(1))), "_k")
         return one.select(F.substring(line, 1, SUMMARY_CHARS).alias("summary"))

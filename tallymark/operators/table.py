@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ..functions import dates as D, values as V
+from ..session import durable
 
 # --- fixed values -----------------------------------------------------------
 NUMERIC_SHARE = 0.5
@@ -30,6 +31,14 @@ def chunks(items, size):
     return [items[i:i + size] for i in range(0, len(items), size)]
 
 
+def settle(facts: DataFrame) -> DataFrame:
+    """Fact rows computed now and kept as they are; only for frames of a few rows per column or table.
+
+    Later frames then start from the finished numbers instead of repeating the plan behind them.
+    """
+    return facts.sparkSession.createDataFrame(facts.collect(), facts.schema)
+
+
 def facts_by_column(df: DataFrame, structs: list[Column]) -> DataFrame:
     """One global aggregate per column struct, turned from one wide row into one row per column."""
     parts = [
@@ -198,10 +207,17 @@ class Table:
             rows = {**{r["column"]: r for r in empty.column_facts().collect()}, **rows}
         return {c: rows[c] for c in self.columns}
 
+    @cached_property
+    def readings(self) -> DataFrame:
+        """The numbers of every numeric column. Where some come from text, they are parsed once and written."""
+        numeric = self.of_type("numeric")
+        rows = self.numbers(numeric)
+        return durable(rows) if any(isinstance(self.types[c], T.StringType) for c in numeric) else rows
+
     @cached_property
     def _estimates(self) -> dict[str, int]:
         numeric = self.of_type("numeric")
-        row = self.numbers(numeric).agg(*[
+        row = self.readings.agg(*[
             F.approx_count_distinct(F.col(V.quoted(c))).alias(f"d{i}") for i, c in enumerate(numeric)]).first()
         return {c: row[f"d{i}"] for i, c in enumerate(numeric)}
 
