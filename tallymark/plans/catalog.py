@@ -1360,12 +1360,12 @@ def structure_report(spark, sf):
                       F.size("excluded").alias("excluded"), F.size("warnings").alias("warnings"))
 
 
-@query("""SELECT 'n' || n_nationkey AS file_id, n_name || '|' || n_name || '_1|Column C|' || r_name || '|Column E' AS columns
+@query("""SELECT 'n' || n_nationkey AS file_id, n_name || '|' || n_name || '_1|Column C|' || r_name || '|last' AS columns
   FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def name_columns(spark, sf):
     n = N.load(spark, sf, "nation").join(F.broadcast(N.load(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     n = n.withColumn("file_id", F.concat(F.lit("n"), "n_nationkey"))
-    grid = N._sheet(n, 1, F.col("n_name"), F.concat(F.lit(" "), "n_name"), None, F.col("r_name"), None).unionByName(
+    grid = N._sheet(n, 1, F.col("n_name"), F.concat(F.lit(" "), "n_name"), None, F.col("r_name"), "last").unionByName(
         N._sheet(n, 2, F.col("n_nationkey"), "x", "y", "z", "4")).unionByName(
         N._sheet(n, 3, F.col("n_nationkey"), "x", "y", "z", "7"))
     return G.Sheets(grid).name_columns().select("file_id", F.array_join("columns", "|").alias("columns"))
