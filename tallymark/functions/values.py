@@ -181,6 +181,11 @@ def classify_value(c: Column, dtype: T.DataType) -> Column:
     return missing.otherwise("text")
 
 
+def clamp(x: Column, low: float, high: float) -> Column:
+    """``x`` kept inside its range; null stays null, which ``greatest`` and ``least`` alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
 def coverage_pct(part: Column, whole: Column) -> Column:
     """100 part/whole with one decimal, 0 where there is nothing to cover."""
     return F.when(whole > 0, F.round(part / whole * 100, 1)).otherwise(F.lit(0.0))

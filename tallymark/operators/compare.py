@@ -265,7 +265,7 @@ class Comparison:
 
         def at(name: str) -> Column:
             share = F.try_divide(V.round_sig(F.col(name)) - F.col("low"), F.col("high") - F.col("low")) * 100
-            return F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
+            return V.clamp(share, 0.0, 100.0)
 
         # One row per shared numeric column on both sides.
         joined = frame.join(

@@ -30,11 +30,11 @@ def column_pairs(columns: list[str]) -> list[tuple[str, str]]:
     return list(combinations(columns, 2))
 
 
-def pearson_of(x: Column, y: Column, weight_free: bool = True) -> Column:
+def pearson_of(x: Column, y: Column) -> Column:
     """Centred moments, each root taken before the product; null for a constant side."""
     a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return V.clamp(r, -1.0, 1.0)
 
 
 def _q(c: str) -> Column:

@@ -172,7 +172,7 @@ def spread_strip(profile: Profile, limit: int = SPREAD_COLUMNS) -> DataFrame:
     low, width = F.col("min"), F.col("max") - F.col("min")
 
     def at(c: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.try_divide(c - low, width) * 100))
+        return V.clamp(F.try_divide(c - low, width) * 100, 0.0, 100.0)
 
     bites = F.col("outliers") > 0
     return summary.select(
