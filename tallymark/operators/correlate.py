@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import values as V
 from ..session import shuffle_width
 from .profile import Profile
-from .ranks import ONE_TASK_ROWS, average_ranks
+from .ranks import average_ranks
 from .table import Table, chunks
 
 # --- fixed values -----------------------------------------------------------
@@ -24,6 +24,8 @@ GRID_CELLS = 20
 MATRIX_COLUMNS = 8
 # ----------------------------------------------------------------------------
 PAIRS_PER_SCAN = 40
+# Rows of a value and its rank that may be broadcast.
+BROADCAST_RANKS = 200_000
 
 
 def column_pairs(columns: list[str]) -> list[tuple[str, str]]:
@@ -68,7 +70,7 @@ def _attach_rank(rows: DataFrame, column: str, distinct_bound: int, row_count: i
     ranked = average_ranks(counts, [], "_v", "_n", rows_bound=distinct_bound)
     others = [c for c in rows.columns if c != column]
     kept = [*[_q(c) for c in others], F.col("rank").alias(column)]
-    if distinct_bound <= ONE_TASK_ROWS:
+    if distinct_bound <= BROADCAST_RANKS:
         small = F.broadcast(ranked.select("_v", "rank"))
         return rows.join(small, _q(column) == F.col("_v"), "left").select(*kept)
     width = shuffle_width(rows.sparkSession)

@@ -17,8 +17,10 @@ from ..functions.values import quoted
 from ..session import durable, shuffle_width
 from .table import chunks
 
-# Rows one task may sort or hold; above it the sliced or narrowing form is used.
-ONE_TASK_ROWS = 200_000
+# Rows of a few plain columns one task may sort; above it the sliced form is used.
+ONE_TASK_ROWS = 1_000_000
+# Values one search may gather at its end.
+GATHERED_VALUES = 100_000
 # Distinct values the in-memory exact percentile may keep per column.
 PERCENTILE_DISTINCT = 250_000
 _SKETCH = 10_000
@@ -134,7 +136,7 @@ class _Hunt:
 
 
 def _collect_small(df: DataFrame, hunts: list[_Hunt]) -> None:
-    """Brackets of at most ONE_TASK_ROWS rows are sorted outright, a bounded number at a time."""
+    """Brackets of at most GATHERED_VALUES rows are sorted outright, a bounded number at a time."""
     for part in chunks(hunts, 8):
         row = df.agg(*[
             F.try_element_at(F.sort_array(F.collect_list(h.within())), F.lit(h.place + 1)).alias(f"v{i}")
@@ -205,9 +207,9 @@ def order_statistics(df: DataFrame, wanted: dict[str, tuple[int, list[int]]]) ->
     ]
     open_hunts = list(hunts)
     while open_hunts:
-        small = [h for h in open_hunts if h.inside <= ONE_TASK_ROWS]
+        small = [h for h in open_hunts if h.inside <= GATHERED_VALUES]
         _collect_small(df, small)
-        open_hunts = [h for h in open_hunts if h.inside > ONE_TASK_ROWS]
+        open_hunts = [h for h in open_hunts if h.inside > GATHERED_VALUES]
         if open_hunts:
             _narrow(df, open_hunts)
             open_hunts = [h for h in open_hunts if h.value is None]

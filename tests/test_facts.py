@@ -54,7 +54,7 @@ def test_level_series(spark):
 
 
 def test_narrowing_equals_sorting(spark, monkeypatch):
-    monkeypatch.setattr(R, "ONE_TASK_ROWS", 50)
+    monkeypatch.setattr(R, "GATHERED_VALUES", 50)
     rng = np.random.default_rng(7)
     v = np.where(rng.random(4000) < 0.4, 3.0, rng.exponential(size=4000))
     df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(5)
@@ -78,7 +78,7 @@ def test_salted_ranks_equal_broadcast_ranks(spark, monkeypatch):
     rows = [(float(7 if rng.random() < 0.4 else rng.integers(0, 900)), float(rng.normal())) for _ in range(3000)]
     t = Table(spark.createDataFrame(rows, "a double, b double"))
     small = C.spearman(t, [("a", "b")]).first().spearman
-    monkeypatch.setattr(C, "ONE_TASK_ROWS", 10)
+    monkeypatch.setattr(C, "BROADCAST_RANKS", 10)
     monkeypatch.setattr(R, "ONE_TASK_ROWS", 10)
     assert C.spearman(t, [("a", "b")]).first().spearman == pytest.approx(small, abs=1e-12)
 
