@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import distributions as S, values as V
-from .ranks import running_before
+from .ranks import beside_totals, running_before
 from .table import Table
 
 # --- fixed values -----------------------------------------------------------
@@ -116,11 +116,7 @@ def ks_two_sample(values: DataFrame, keys: list[str], *, distinct_bound: int | N
         (F.col(f"{s}_before") + F.col(s)) / F.col(t) for s, t in (("n_base", "baseline_n"), ("n_cur", "current_n"))
     ]
     enough = totals.filter((F.col("baseline_n") >= KS_MIN) & (F.col("current_n") >= KS_MIN))
-    if keys:
-        joined = run.join(enough, keys)
-    else:
-        joined = run.join(F.broadcast(enough))
-    gap = joined.groupBy(*keys, "baseline_n", "current_n").agg(F.max(F.abs(share[0] - share[1])).alias("d"))
+    gap = beside_totals(run, enough, keys).groupBy(*keys, "baseline_n", "current_n").agg(F.max(F.abs(share[0] - share[1])).alias("d"))
     p = S.ks_tail(F.col("d"), F.col("baseline_n").cast("double"), F.col("current_n").cast("double"))
     return gap.select(
         *keys, "baseline_n", "current_n", V.round_sig(F.col("d")).alias("statistic"),

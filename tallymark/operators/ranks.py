@@ -23,6 +23,7 @@ ONE_TASK_ROWS = 1_000_000
 GATHERED_VALUES = 100_000
 # Distinct values the in-memory exact percentile may keep per column.
 PERCENTILE_DISTINCT = 250_000
+BROADCAST_KEYS = 100_000
 _SKETCH = 10_000
 
 
@@ -85,6 +86,16 @@ def rank_average(df: DataFrame, column: Column, *, distinct_bound: int | None =
     return average_ranks(counts, [], "value", "n", rows_bound=distinct_bound)
 
 
+def beside_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins one row per key to many. Few keys are broadcast after they are counted, so a key with
+    most of the rows stays spread; beyond that the join is by key and skew is split at run time."""
+    if not keys:
+        return rows.join(F.broadcast(totals))
+    totals = durable(totals)
+    small = totals.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(totals) if small else totals, keys)
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group, with no group held in one task.
 
@@ -94,7 +105,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_before(counts, keys, [value], ["_n"], rows_bound=None)
     totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    at = placed.join(totals, on=keys)
+    at = beside_totals(placed, totals, keys)
 
     def value_at(place: Column) -> Column:
         here = (F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n"))

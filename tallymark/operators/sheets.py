@@ -329,9 +329,8 @@ class Sheets:
     def set_aside(self) -> DataFrame:
         """Every row that is not an observation, with why, how sure, and whether it was put back."""
         found = self.classified
-        # Few rows are set aside; each meets its sheet's header and corrections by sheet.
-        heads = self.header_names.join(self.headers.select("file_id", "include_rows"), "file_id")
-        found = found.join(heads, "file_id")
+        heads = self._by_stretch("include_rows").join(self.header_names, "file_id")
+        found = found.join(heads, STRETCH)
         names = F.transform("matched_columns", lambda c: F.coalesce(
             F.try_element_at("names", c + 1), F.concat(F.lit("column "), c + 1)))
         n = F.size("matched_columns")
@@ -412,23 +411,24 @@ class Sheets:
     # -- the report and the table -------------------------------------------
 
     def structure_report(self) -> DataFrame:
-        """One row per sheet: header, confidence, observations, and everything set aside or left open."""
-        entry = F.struct("row_no", "reason", "confidence", "detail", "label", "cells")
+        """One row per sheet: header, confidence, observations, and how much was set aside or left open.
+
+        The rows themselves stay in ``set_aside`` and ``unapplied``, one row each, as a sheet may have any number.
+        """
         aside = self.set_aside.groupBy("file_id").agg(
-            F.array_sort(F.collect_list(F.when(~F.col("restored"), entry))).alias("excluded"),
-            F.array_sort(F.collect_list(F.when(F.col("restored"), entry))).alias("restored"),
+            F.count_if(~F.col("restored")).alias("excluded"), F.count_if("restored").alias("restored"),
             F.count_if(~F.col("restored") & (F.col("reason") != "preamble")).alias("dropped"),
             F.bool_or(~F.col("restored") & (F.col("confidence") == "uncertain")).alias("doubtful"))
         observed = self.data.groupBy("file_id").agg(F.count(F.lit(1)).alias("data_rows"))
-        unapplied = self.unapplied().groupBy("file_id").agg(
-            F.array_sort(F.collect_list(F.struct("row_no", "reason", "correction"))).alias("unapplied"))
+        unapplied = self.unapplied().groupBy("file_id").agg(F.count(F.lit(1)).alias("unapplied"))
         warnings = self.detect_transpose().groupBy("file_id").agg(
             F.collect_list(F.struct("kind", "detail")).alias("warnings"))
         out = self.headers
         for part in (aside, observed, unapplied, warnings):
             out = out.join(part, "file_id", "left")
-        dropped = F.coalesce("dropped", F.lit(0))
-        size = lambda c: F.coalesce(F.size(c), F.lit(0))
+        def size(c):
+            return F.coalesce(c, F.lit(0))
+
         uncertain = (
             ~F.col("certain") | F.col("unapplied").isNotNull() | F.col("warnings").isNotNull()
             | F.coalesce("doubtful", F.lit(False)))
@@ -437,8 +437,8 @@ class Sheets:
             "file_id", "header_row", F.when(F.col("specified"), "specified").otherwise("detected").alias("header_source"),
             F.when(F.col("header_row").isNull(), "none").when(uncertain, "uncertain").when(untouched, "none")
             .otherwise("confident").alias("confidence"),
-            (F.coalesce("data_rows", F.lit(0)) - dropped).alias("observations"),
-            *[F.coalesce(c, F.array()).alias(c) for c in ("excluded", "restored", "unapplied")],
+            (size("data_rows") - size("dropped")).alias("observations"),
+            *[size(c).alias(c) for c in ("excluded", "restored", "unapplied")],
             F.coalesce("others", F.array()).alias("alternatives"), F.coalesce("warnings", F.array()).alias("warnings"))
 
     def name_columns(self) -> DataFrame:

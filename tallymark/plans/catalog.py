@@ -1357,7 +1357,7 @@ def detect_transpose(spark, sf):
 def structure_report(spark, sf):
     out = G.Sheets(N.order_sheets(spark, sf)).structure_report()
     return out.select("file_id", F.col("header_row").cast("int").alias("header_row"), "header_source", "confidence", "observations",
-                      F.size("excluded").alias("excluded"), F.size("warnings").alias("warnings"))
+                      "excluded", F.size("warnings").alias("warnings"))
 
 
 @query("""SELECT 'n' || n_nationkey AS file_id, n_name || '|' || n_name || '_1|Column C|' || r_name || '|last' AS columns

@@ -31,14 +31,18 @@ def grid_of(spark, sheets):
 def report(request, spark):
     """Once with whole sheets per stretch, once with two rows per stretch."""
     before, G.CHUNK_ROWS = G.CHUNK_ROWS, request.param
-    out = {r.file_id: r for r in G.Sheets(grid_of(spark, SHEETS)).structure_report().collect()}
+    sheets = G.Sheets(grid_of(spark, SHEETS))
+    out = {r.file_id: r for r in sheets.structure_report().collect()}
+    aside = sheets.set_aside.orderBy("row_no").collect()
     G.CHUNK_ROWS = before
-    return out
+    return out, {k: [r for r in aside if r.file_id == k] for k in out}
 
 
 def test_readings(report):
-    got = {k: (r.header_row, r.confidence, r.observations, [(e.row_no, e.reason, e.confidence) for e in r.excluded])
+    report, aside = report
+    got = {k: (r.header_row, r.confidence, r.observations, [(e.row_no, e.reason, e.confidence) for e in aside[k]])
            for k, r in report.items()}
+    assert all(r.excluded == len(aside[k]) for k, r in report.items())
     assert got["total"] == (1, "confident", 4, [(6, "aggregate", "certain")])
     assert got["titled"] == (3, "confident", 2, [(1, "preamble", "confident"), (7, "aggregate", "certain")])
     assert got["unlabelled"] == (1, "confident", 2, [(4, "aggregate", "confident")])
@@ -47,7 +51,7 @@ def test_readings(report):
     assert got["second"] == (1, "uncertain", 4, [(5, "second header", "uncertain")])
     assert got["clean"] == (1, "none", 2, [])
     assert got["turned"][1] == "uncertain" and report["turned"].warnings[0].kind == "possible-transpose"
-    assert report["total"].excluded[0].detail == "Units and Revenue equal the sum of rows 2–5"
+    assert aside["total"][0].detail == "Units and Revenue equal the sum of rows 2–5"
 
 
 def fold(rows):
@@ -74,10 +78,13 @@ def test_rounds_reach_the_sequential_answer(spark):
 def test_corrections(spark):
     asked = spark.createDataFrame([("total", None, [6, 2, 99]), ("clean", 50, [])],
                                   "file_id string, header_row long, include_rows array<long>")
-    out = {r.file_id: r for r in G.Sheets(grid_of(spark, SHEETS), asked).structure_report().collect()}
-    assert [e.row_no for e in out["total"].restored] == [6] and out["total"].observations == 5
-    assert [(u.row_no, u.reason) for u in out["total"].unapplied] == [(2, "not an excluded row"), (99, "outside the file")]
-    assert out["clean"].unapplied[0].reason == "header row is outside the file" and out["clean"].confidence == "uncertain"
+    sheets = G.Sheets(grid_of(spark, SHEETS), asked)
+    out = {r.file_id: r for r in sheets.structure_report().collect()}
+    back = sheets.set_aside.filter("restored").collect()
+    assert [(r.file_id, r.row_no) for r in back] == [("total", 6)] and out["total"].observations == 5
+    assert sorted((u.file_id, u.row_no, u.reason) for u in sheets.unapplied().collect()) == [
+        ("clean", 50, "header row is outside the file"), ("total", 2, "not an excluded row"), ("total", 99, "outside the file")]
+    assert out["clean"].confidence == "uncertain" and out["total"].unapplied == 2
 
 
 def test_files(spark, tmp_path):
