@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymark.llm import automaton, chat, packing, quality_rules
+from tallymark.llm import automaton, chat, line_crf, packing, quality_rules, toxicity
 from tallymark.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = automaton.encode(docs, TOKENIZER).drop("text")
@@ -32,10 +37,16 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = line_crf.score(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc.doc_id", "held_out", "score", "predicted")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op3_quality_rules, op6_bpe_automaton, op10_best_fit_packing)}
+    op1_chat_formatting, op3_quality_rules, op4_toxicity, op6_bpe_automaton, op9_quality_classifier, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
