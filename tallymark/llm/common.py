@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,16 +10,11 @@ from tallymark.session import ensure_checkpoint_dir
 
 #: Words are runs of anything but space and the controls tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_WIDE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text. ``str.split`` knows more kinds of space, so it is used only where none of those occurs."""
-    if not text:
-        return []
-    return WORD.findall(text) if _WIDE.search(text) else text.split()
+def lower_words(text: str | None) -> list[bytes]:
+    """The words in UTF-8 with A-Z lower-cased; ``bytes`` knows just the six spaces of the contract and no others."""
+    return text.encode().lower().split() if text else []
 
 
 def words(text: Column) -> Column:

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tallymark.llm.common import fold, words_of
+from tallymark.llm.common import fold
 from tallymark.llm.examples import labelled
 
 #: Bounds of the sample the field is fitted on; scoring covers all documents and all lines.
@@ -54,7 +54,7 @@ def describe(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     for doc in lines:
         seen: set[str] = set()
         for line in doc:
-            ws = words_of(line)
+            ws = line.encode().split()
             n.append(len(ws))
             distinct.append(len(set(ws)))
             again.append(bool(ws) and line in seen)

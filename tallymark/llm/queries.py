@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymark.llm import automaton, chat, line_crf, packing, quality_rules, toxicity
-from tallymark.llm.common import table
+from tallymark.llm import automaton, chat, line_crf, packing, quality_rules, suffix_tree, toxicity
+from tallymark.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = automaton.encode(docs, TOKENIZER).drop("text")
@@ -48,5 +52,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op3_quality_rules, op4_toxicity, op6_bpe_automaton, op9_quality_classifier, op10_best_fit_packing)}
+    op1_chat_formatting, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton, op9_quality_classifier, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
