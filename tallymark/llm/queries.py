@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymark.llm import automaton, chat, line_crf, packing, quality_rules, suffix_tree, toxicity
+from tallymark.llm import automaton, chat, line_crf, packing, quality_rules, suffix_tree, toxicity, urls
 from tallymark.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,10 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = line_crf.score(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
@@ -52,5 +56,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton, op9_quality_classifier, op10_best_fit_packing)}
+    op1_chat_formatting, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton, op7_url_filter, op9_quality_classifier, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
