@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymark.llm import automaton, chat, line_crf, packing, quality_rules, suffix_tree, toxicity, urls
+from tallymark.llm import automaton, chat, grid_join, jaccard, line_crf, packing, quality_rules, suffix_tree, toxicity, urls
 from tallymark.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows.union(extra), TOKENIZER), TOKENIZER)
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -45,6 +49,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = line_crf.score(docs, line_crf.fit(docs, table(spark, sf_dir, "labels")))
@@ -56,5 +64,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton, op7_url_filter, op9_quality_classifier, op10_best_fit_packing)}
+    op1_chat_formatting, op2_embedding_neardup, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton, op7_url_filter, op8_ngram_jaccard, op9_quality_classifier, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
