@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from tallymark.llm.tokenizer import WORD_PATTERN, ByteBpe, parse, read
 
 #: Words whose ids a task remembers; beyond it the memory is emptied.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 #: Words longer than this many bytes are read one by one.
 LONG = 48
 CHUNK = 50_000
@@ -50,6 +50,7 @@ class Automaton:
         self.known = np.full(ARCS, -1, np.int64)  # arcs looked up so far: 2 * (state, label) + allowed
         self._spell()
         self.ids: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(size))  # one object for each id
         self.split = regex.compile(WORD_PATTERN).findall
 
     def _spell(self) -> None:
@@ -81,7 +82,14 @@ class Automaton:
                     go[node, b] = to
                     following.append(to)
             layer = following
-        self.go, self.longest = go, longest
+        # A node without children goes on like the node it falls back to, so it needs no row of its own.
+        inner = np.array([bool(c) for c in child])
+        inner[0] = True
+        row = np.cumsum(inner).astype(np.int32) - 1
+        for node in np.argsort(depth, kind="stable").tolist():
+            if not inner[node]:
+                row[node] = row[back[node]]
+        self.go, self.row, self.longest = go[inner], row, longest
         self.shorter = np.full(len(self.labels), -1, np.int32)
         for node, k in ends.items():
             self.shorter[k] = longest[back[node]]
@@ -138,7 +146,7 @@ class Automaton:
         node = np.zeros(n, np.int32)
         for i in range(1, width + 1):
             m = int(np.searchsorted(-size, -i, side="right"))
-            node = self.go[node[:m], text[i - 1, :m]]
+            node = self.go[self.row[node[:m]], text[i - 1, :m]]
             pending, t = np.arange(m), self.longest[node].astype(np.int64)
             while len(pending):
                 ok = self.arcs(last[i - self.length[t], pending], t)
@@ -154,13 +162,13 @@ class Automaton:
             todo = todo[at[todo] > 0]
         result: list = [()] * n
         for k, row, c in zip(order.tolist(), out.tolist(), count.tolist(), strict=True):
-            result[k] = tuple(row[width - c:])
+            result[k] = tuple(map(self.numbers.__getitem__, row[width - c:]))
         return result
 
     def read_long(self, word: bytes) -> tuple[int, ...]:
         last, node = [-1], 0
         for i, b in enumerate(word, 1):
-            node = self.go[node, b]
+            node = self.go[self.row[node], b]
             t = int(self.longest[node])
             while not self.arcs(np.array([last[i - len(self.labels[t])]]), np.array([t]))[0]:
                 t = int(self.shorter[t])
@@ -205,8 +213,10 @@ class Automaton:
             ids = ids | {k: (k,) for k in numbers}
         return [list(chain.from_iterable(map(ids.__getitem__, words))) for words in cut]
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", errors="replace")
+
+def spell(labels: list[bytes], ids) -> str:
+    """The text that the labels of the arcs spell."""
+    return b"".join(map(labels.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 @functools.lru_cache(maxsize=1)
@@ -225,7 +235,7 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
         [*[batch.column(k) for k in kept], column], names=[*[batch.schema.names[k] for k in kept], name])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -251,8 +261,8 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", to: str = "decoded")
     content = df.sparkSession.sparkContext.broadcast(read(tokenizer))
 
     def run(batches):
-        automaton = compiled(content.value)
+        labels = parse(content.value).labels
         for batch in _slices(batches):
-            yield _with(batch, to, pa.array([automaton.decode(x or ()) for x in batch.column(ids).to_pylist()], pa.string()))
+            yield _with(batch, to, pa.array([spell(labels, x or ()) for x in batch.column(ids).to_pylist()], pa.string()))
 
     return df.mapInArrow(run, _added(df.schema, StructField(to, StringType())))
