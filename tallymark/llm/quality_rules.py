@@ -24,7 +24,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Rows of the sample on which rules are timed; only the order of the rules depends on it.
 SAMPLE_ROWS = 2000
-SAMPLE_SHARE = 0.2
+#: Rows drawn for each one wanted, so that a random draw rarely falls short.
+SPARE = 1.2
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,8 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def order_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second on a sample of at most ``sample_rows`` rows; ties keep the given order."""
-    rows = docs.select(F.col(text).alias("text")).sample(SAMPLE_SHARE, seed=7).limit(sample_rows)
+    share = min(1.0, SPARE * sample_rows / max(docs.count(), 1))
+    rows = docs.select(F.col(text).alias("text")).sample(share, seed=7).limit(sample_rows)
     sample = saved(rows.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("ws", words(F.col("text"))))
     m = measures(F.col("text"), F.col("ws"))
     worth = []
