@@ -30,7 +30,7 @@ from tallymark.llm.common import lower_words, saved
 DEPTH = 6
 LEAST = 1e-5
 PULL = 4.0
-HEADS = 400_000
+HEADS = 200_000
 #: Bytes that UTF-8 never uses stand for the end of a text and for what lies before its start.
 END, BEFORE = 0xFF, 0xFE
 #: Symbols that can follow: all bytes but these two, and the end.
