@@ -87,7 +87,8 @@ def count_words(texts: DataFrame) -> DataFrame:
                 if len(found) > HELD:
                     yield _frame(found)
                     found.clear()
-        yield _frame(found)
+        if found:
+            yield _frame(found)
 
     def _frame(found):
         return pd.DataFrame({"word": [w.decode() for w in found], "n": list(found.values())})
