@@ -7,7 +7,7 @@ ordered by set size, with the position of the shingle in each set: blocks and en
 little room for an overlap are skipped.
 
 Sets that share a list are mostly copies of each other, so answers are derived from answers: first the sets of a list
-are compared with the smallest set of their size range only. Sets that are linked with it are in its component, and no
+are compared with one leader of their size range only, the one with the fewest rare shingles. Sets that are linked with it are in its component, and no
 pair inside a component needs a look. The pairs of a list that still lie in different components are compared then,
 unless their distances to a set both were compared with already rule a link out (Jaccard distance is a metric). Every
 pair is first bounded by its listed shingles, and what is left is counted on the whole sets.
@@ -193,20 +193,28 @@ def _gathered(pieces: Iterator[list], columns: list[str], rows: int = 20_000) ->
 
 
 def with_leaders(entries: DataFrame) -> DataFrame:
-    """The entries (key, id, n, pos) of lists with two or more sets, each with the smallest set of its size range."""
+    """The entries (key, id, n, pos) of lists with two or more sets, each with a leader of its size range.
+
+    The leader is the set with the fewest shingles before the list's: it has the fewest rare ones, so it is the one most
+    like what the sets of the list have in common.
+    """
     def led(frames):
-        now, leader, size = None, None, 0
+        now, leader, size, ahead = None, None, 0, 0
         for key, (ids, n, pos) in _in_order(_shared(frames), ["id", "n", "pos"]):
             if key != now:
-                now, leader, size = key, ids[0], n[0]
+                now, size = key, -1
                 if len(ids) == 1:
                     continue  # a piece is short only at the end of its list
             leaders = np.zeros_like(ids)
             at = 0
             while at < len(ids):
-                if 100 * size < PERCENT * n[at]:
-                    leader, size = ids[at], n[at]
+                fresh = 100 * size < PERCENT * n[at]
+                if fresh:
+                    size = n[at]
                 end = at + int(np.searchsorted(n[at:], 100 * size // PERCENT, side="right"))
+                best = at + int(np.argmin(pos[at:end]))
+                if fresh or pos[best] < ahead:
+                    leader, ahead = ids[best], pos[best]
                 leaders[at:end] = leader
                 at = end
             yield [np.full(len(ids), key), ids, n, pos, leaders]
