@@ -20,6 +20,7 @@ are not read. Nothing is cut off: long lists and large groups are only split int
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from tallymark.llm.components import components
 SHINGLE = 3
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 BLOCK = 512
 
 
@@ -96,7 +97,7 @@ def _slices(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.Data
 
 def bucket_classes(texts: DataFrame) -> np.ndarray:
     """log2 of the number of shingles in each bucket, over all rows of the column ``text``."""
-    chunk = 1 << 14
+    chunk = 1 << 16
 
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
@@ -104,13 +105,13 @@ def bucket_classes(texts: DataFrame) -> np.ndarray:
             np.add.at(total, (hashes(frame["text"].tolist())[0] & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         if total.any():
             yield pd.DataFrame({"chunk": range(0, BUCKETS, chunk),
-                                "n": [total[k: k + chunk].astype(np.uint32).tobytes() for k in range(0, BUCKETS, chunk)]})
+                                "n": [zlib.compress(total[k: k + chunk].astype(np.uint32).tobytes(), 1) for k in range(0, BUCKETS, chunk)]})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for frame in batches:
             for k, n in zip(frame["chunk"].tolist(), frame["n"], strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(n, np.uint32).astype(np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(n), np.uint32).astype(np.int64)
         yield pd.DataFrame({"chunk": list(sums), "n": [_classes(x).tobytes() for x in sums.values()]})
 
     def _classes(n):
