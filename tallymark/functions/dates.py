@@ -19,6 +19,7 @@ NAMED_SHAPES = (
     (rf"^({_MONTH})[a-zA-Z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}})$", "$3-$1-$2"),
     (rf"^(\d{{1,2}})\s+({_MONTH})[a-zA-Z]*\.?\s+(\d{{4}})$", "$3-$2-$1"),
 )
+HALF_DAY_SHAPE = r"^(\d{4}-\d{1,2}-\d{1,2})[T ]\s*(\d{1,2}:\d{2}(?::\d{2})?)\s*([AP]M)$"
 DAY_GRAIN_DAYS = 92
 MONTH_GRAIN_DAYS = 1100
 GRAIN_FORMAT = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
@@ -47,8 +48,11 @@ def date_from(t: Column) -> Column:
         dashed = F.regexp_replace(dashed, shape, rewritten)
     for shape, rewritten in NAMED_SHAPES:
         named = F.regexp_replace(named, shape, rewritten)
+    halves = F.regexp_replace(F.upper(t), HALF_DAY_SHAPE, "$1 $2 $3")
     return (
-        F.when(dashed.rlike(ISO_SHAPE), dashed.try_cast("timestamp"))
+        F.when(F.upper(t).rlike(HALF_DAY_SHAPE), F.coalesce(*[
+            F.try_to_timestamp(halves, F.lit(f"yyyy-M-d {clock} a")) for clock in ("h:mm", "h:mm:ss")]))
+        .when(dashed.rlike(ISO_SHAPE), dashed.try_cast("timestamp"))
         .when(named.rlike(r"^\d{4}-[a-zA-Z]{3}-"), F.try_to_timestamp(named, F.lit("yyyy-MMM-d")))
         .cast("timestamp_ntz")
     )

@@ -99,17 +99,22 @@ def to_number(c: Column, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def _folded(digits: Column, base: int) -> Column:
+    """The double that digits of a base spell, however many there are."""
+    each = F.filter(F.split(F.lower(digits), ""), lambda d: d != "")
+    return F.aggregate(each, F.lit(0.0), lambda x, d: x * base + F.position(d, F.lit("0123456789abcdef")) - 1)
+
+
 def number_from(t: Column) -> Column:
     """The number in trimmed text: plain, formatted, or with a radix prefix.
 
     Gated by pattern, as a bare cast would also take ``1d`` and ``Infinity``.
     """
     rest = F.substring(t, 3, 1 << 30)
-    radix = (F.when(t.rlike("^0[xX]"), F.conv(rest, 16, 10)).when(t.rlike("^0[oO]"), F.conv(rest, 8, 10))
-             .otherwise(F.conv(rest, 2, 10)))
-    plain = (F.when(t.rlike(PLAIN_NUMBER), t).when(t.rlike(FORMATTED_NUMBER), _digits(t))
-             .when(t.rlike(RADIX_NUMBER), radix))
-    return _bounded(plain.try_cast("double"))
+    radix = (F.when(t.rlike("^0[xX]"), _folded(rest, 16)).when(t.rlike("^0[oO]"), _folded(rest, 8))
+             .otherwise(_folded(rest, 2)))
+    plain = F.when(t.rlike(PLAIN_NUMBER), t).when(t.rlike(FORMATTED_NUMBER), _digits(t))
+    return _bounded(F.when(t.rlike(RADIX_NUMBER), radix).otherwise(plain.try_cast("double")))
 
 
 def format_marks(t: Column) -> list[Column]:

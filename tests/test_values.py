@@ -68,3 +68,18 @@ def test_tails(spark):
         S.chi_square_tail(F.lit(3.841458821), F.lit(1)).alias("c"), S.student_tail(F.lit(0.0), F.lit(5.0)).alias("z"),
         S.ks_tail(F.lit(0.0), F.lit(5.0), F.lit(5.0)).alias("k")).first()
     assert row.c == pytest.approx(0.05, abs=1e-9) and row.z == pytest.approx(1.0) and row.k == 1.0
+
+
+def test_long_radix_cells_are_numbers(spark):
+    cells = ["0x" + "f" * 40, "0b" + "1" * 70, "0o17", "0x1F", "0xg", "0x" + "f" * 400]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, c string")
+    found = {r.k: r.x for r in df.select("k", V.to_number(F.col("c"), TEXT).alias("x")).collect()}
+    assert [found[k] for k in range(6)] == [float(16 ** 40), float(2 ** 70), 15.0, 31.0, None, None]
+
+
+def test_half_day_clocks_are_dates(spark):
+    cells = ["2024-03-01 10:00 PM", "2024-03-01 12:05 am", "2024-3-1T9:30:15 AM", "2024-02-30 10:00 PM", "2024-03-01 22:00"]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, c string")
+    found = {r.k: str(r.d) for r in df.select("k", D.to_date(F.col("c"), TEXT).alias("d")).collect()}
+    assert [found[k] for k in range(5)] == [
+        "2024-03-01 22:00:00", "2024-03-01 00:05:00", "2024-03-01 09:30:15", "None", "2024-03-01 22:00:00"]
