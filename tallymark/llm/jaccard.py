@@ -35,6 +35,8 @@ SHINGLE = 3
 PERCENT = 90
 BUCKETS = 1 << 22
 BLOCK = 512
+#: The most bits (a power of two) of the marks that are shared with tasks.
+MARKS = 1 << 28
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -133,12 +135,53 @@ def needed(n1, n2):
     return -(-PERCENT * (n1 + n2) // (100 + PERCENT))
 
 
-def sets(docs: DataFrame, common, whole: bool) -> DataFrame:
-    """id, n, digest and the listed keys (``whole``: all keys) of every row of (id, text)."""
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(ids.astype(np.uint64) * _STEP) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def marks(ids: DataFrame) -> np.ndarray:
+    """One bit for each id of the column ``id``, at its hash: 16 to 32 bits an id, at most ``MARKS``, eight to a byte.
+
+    Beyond ``MARKS`` / 16 ids more other ids fall on a set bit; none of the given ones is ever missed.
+    """
+    chunk = 1 << 16
+    bits = min(MARKS, max(chunk, 1 << (16 * ids.count()).bit_length()))
+
+    def place(batches):
+        for frame in batches:
+            yield pd.DataFrame({"bit": _bit(frame["id"].to_numpy(np.int64), bits)})
+
+    def gather(batches):
+        found: dict[int, np.ndarray] = {}
+        for frame in batches:
+            at = frame["bit"].to_numpy(np.int64)
+            for k in np.unique(at // chunk).tolist():
+                found.setdefault(k, np.zeros(chunk, bool))[at[at // chunk == k] % chunk] = True
+        if found:
+            yield pd.DataFrame({"chunk": list(found), "bits": [np.packbits(x).tobytes() for x in found.values()]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    placed = ids.mapInPandas(place, "bit long").distinct().repartition(16, F.expr(f"bit div {chunk}"))
+    for k, found in placed.mapInPandas(gather, "chunk long, bits binary").collect():
+        out[k * chunk // 8: (k + 1) * chunk // 8] = np.frombuffer(found, np.uint8)  # MARKS / 8 bytes at most
+    return out
+
+
+def sets(docs: DataFrame, common, whole: bool, marked=None) -> DataFrame:
+    """id, n, digest and the listed keys (``whole``: all keys) of every row of (id, text).
+
+    With ``marked`` (see ``marks``) only rows whose id falls on a set bit: texts are left where they lie, and few sets
+    that nobody asked for are made.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
+    def asked(batches):
+        for frame in batches:
+            at = _bit(frame["id"].to_numpy(np.int64), 8 * len(marked.value))
+            yield frame[(marked.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
+
     def run(batches):
-        for frame in _slices(batches):
+        for frame in _slices(batches if marked is None else asked(batches)):
             rows = []
             for found in keys(frame["text"].tolist(), common.value):
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
@@ -301,8 +344,10 @@ def verify(pairs: DataFrame, listed: DataFrame, docs: DataFrame, common) -> Data
 
     left = saved(pairs.join(sided(listed, "a", 1), "a").join(sided(listed, "b", 2), "b").mapInPandas(
         bounded, "a long, b long"))
-    wanted = left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))).distinct()
-    whole = saved(sets(docs.join(wanted, "id", "left_semi"), common, whole=True).drop("digest").dropDuplicates(["id"]))
+    wanted = saved(left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))).distinct())
+    marked = docs.sparkSession.sparkContext.broadcast(marks(wanted))
+    asked = sets(docs.where("id is not null"), common, whole=True, marked=marked).drop("digest")
+    whole = saved(asked.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
 
     def counted(frames):
         for frame in frames:
