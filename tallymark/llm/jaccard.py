@@ -10,7 +10,8 @@ Sets that share a list are mostly copies of each other, so answers are derived f
 are compared with one leader of their size range only, the one with the fewest rare shingles. Sets that are linked with it are in its component, and no
 pair inside a component needs a look. The pairs of a list that still lie in different components are compared then,
 unless their distances to a set both were compared with already rule a link out (Jaccard distance is a metric). Every
-pair is first bounded by its listed shingles, and what is left is counted on the whole sets.
+pair is first bounded by its listed shingles and by how many shingles of each set fall into each of a few cells (two
+sets cannot share more of a cell than the smaller count), and what is left is counted on the whole sets.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than a shingle are one
 shingle; ids may be null (their own component, null) or repeated (one node); an empty table gives none; other columns
@@ -37,6 +38,8 @@ BUCKETS = 1 << 22
 BLOCK = 512
 #: The most bits (a power of two) of the marks that are shared with tasks.
 MARKS = 1 << 28
+#: A cell with this many keys or more; the largest byte.
+FULL = 255
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -167,8 +170,22 @@ def marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def cell_counts(found: np.ndarray) -> bytes:
+    """How many of a set's keys fall into each cell, one byte each; there are a power of two of cells, four keys a cell or fewer."""
+    cells = 1 << (len(found) // 4).bit_length()
+    return np.minimum(np.bincount(found & (cells - 1), minlength=cells), FULL).astype(np.uint8).tobytes()
+
+
+def most_shared(one: bytes, two: bytes) -> int:
+    """The most keys that two sets with these cell counts can share; a full byte stands for any number."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (one, two))
+    cells = min(len(x), len(y))
+    x, y = (np.where(v == FULL, 1 << 40, v).reshape(-1, cells).sum(0) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def sets(docs: DataFrame, common, whole: bool, marked=None) -> DataFrame:
-    """id, n, digest and the listed keys (``whole``: all keys) of every row of (id, text).
+    """id, n, digest, cell counts and the listed keys (``whole``: all keys) of every row of (id, text).
 
     With ``marked`` (see ``marks``) only rows whose id falls on a set bit: texts are left where they lie, and few sets
     that nobody asked for are made.
@@ -185,11 +202,11 @@ def sets(docs: DataFrame, common, whole: bool, marked=None) -> DataFrame:
             rows = []
             for found in keys(frame["text"].tolist(), common.value):
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                rows.append((len(found), digest, found if whole else found[: prefix_length(len(found))]))
+                rows.append((len(found), digest, cell_counts(found), found if whole else found[: prefix_length(len(found))]))
             yield pd.DataFrame({"id": frame["id"], "n": [r[0] for r in rows], "digest": [r[1] for r in rows],
-                                "keys": [r[2].tobytes() for r in rows]})
+                                "cells": [r[2] for r in rows], "keys": [r[3].tobytes() for r in rows]})
 
-    return docs.mapInPandas(run, f"id {kind}, n long, digest binary, keys binary")
+    return docs.mapInPandas(run, f"id {kind}, n long, digest binary, cells binary, keys binary")
 
 
 def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -327,26 +344,28 @@ DISTANT = int((1 - PERCENT / 100) * SCALE) + 4
 
 
 def verify(pairs: DataFrame, listed: DataFrame, docs: DataFrame, common) -> DataFrame:
-    """(a, b, linked, distance) of the pairs that their listed keys do not rule out already."""
+    """(a, b, linked, distance) of the pairs that their listed keys and cell counts do not rule out already."""
     def bounded(frames):
         for frame in frames:
             keep = []
-            for n1, k1, n2, k2 in zip(frame["n1"], frame["k1"], frame["n2"], frame["k2"], strict=True):
+            for n1, k1, c1, n2, k2, c2 in zip(*[frame[c] for c in ("n1", "k1", "c1", "n2", "k2", "c2")], strict=True):
                 x, y = np.frombuffer(k1, np.int64), np.frombuffer(k2, np.int64)
                 end = min(x[-1], y[-1])
                 in_x, in_y = (int(np.searchsorted(v, end, side="right")) for v in (x, y))
                 shared = len(np.intersect1d(x[:in_x], y[:in_y], assume_unique=True))
-                keep.append(shared + min(n1 - in_x, n2 - in_y) >= needed(n1, n2))
+                least = needed(n1, n2)
+                keep.append(shared + min(n1 - in_x, n2 - in_y) >= least and most_shared(c1, c2) >= least)
             yield frame.loc[np.array(keep, bool), ["a", "b"]]
 
     def sided(source: DataFrame, side: str, number: int) -> DataFrame:
-        return source.select(F.col("id").alias(side), F.col("n").alias(f"n{number}"), F.col("keys").alias(f"k{number}"))
+        cells = [F.col("cells").alias(f"c{number}")] if "cells" in source.columns else []
+        return source.select(F.col("id").alias(side), F.col("n").alias(f"n{number}"), F.col("keys").alias(f"k{number}"), *cells)
 
     left = saved(pairs.join(sided(listed, "a", 1), "a").join(sided(listed, "b", 2), "b").mapInPandas(
         bounded, "a long, b long"))
     wanted = saved(left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))).distinct())
     marked = docs.sparkSession.sparkContext.broadcast(marks(wanted))
-    asked = sets(docs.where("id is not null"), common, whole=True, marked=marked).drop("digest")
+    asked = sets(docs.where("id is not null"), common, whole=True, marked=marked).drop("digest", "cells")
     whole = saved(asked.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
 
     def counted(frames):
