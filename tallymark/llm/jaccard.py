@@ -388,11 +388,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     common = docs.sparkSession.sparkContext.broadcast(bucket_classes(rows.select("text")))
     made = saved(sets(rows, common, whole=False))
     some = made.where("n > 0 and id is not null")
-    first = saved(some.groupBy("n", "digest").agg(F.min("id").alias("rep")))
-    # One row for each different set; a repeated id with several texts keeps each of its sets.
-    listed = saved(some.join(first.select("n", "digest", F.col("rep").alias("id")), ["n", "digest", "id"], "left_semi")
-                   .dropDuplicates(["id", "digest"]))
-    copies = some.join(first, ["n", "digest"]).select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b")
+    # One row for each different set, under its least id; a repeated id with several texts keeps each of its sets. Rows
+    # of one set have the same keys, so any row's do, and they are reduced to one before they move.
+    listed = saved(some.groupBy("n", "digest").agg(
+        F.min("id").alias("id"), F.first("cells").alias("cells"), F.first("keys").alias("keys")))
+    first = listed.select("n", "digest", F.col("id").alias("rep"))
+    copies = some.select("n", "digest", "id").join(first, ["n", "digest"]).select(
+        F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b")
 
     def exploded(frames):
         for frame in frames:
