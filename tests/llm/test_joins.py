@@ -127,3 +127,23 @@ def test_pipeline_of_an_empty_table(spark, no_docs, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     no_docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_bounds_of_the_jaccard_join_lose_nothing(spark, monkeypatch):
+    """Cell counts never understate an overlap, full cells included; marks have every id, however few bits there are."""
+    rng = np.random.default_rng(8)
+    for n, m in [(0, 3), (1, 1), (5, 9), (500, 530), (4000, 3900), (1, 4000)]:
+        pool = rng.integers(0, 1 << 58, n + m)
+        x, y = np.unique(pool[:n]), np.unique(rng.permutation(pool)[:m])
+        shared = len(np.intersect1d(x, y))
+        assert jaccard.most_shared(jaccard.cell_counts(x), jaccard.cell_counts(y)) >= shared
+    same_cell = np.arange(2000, dtype=np.int64) << 20
+    assert jaccard.most_shared(jaccard.cell_counts(same_cell), jaccard.cell_counts(same_cell)) >= 2000
+    ids = [*range(0, 90_000, 7), -5, 2 ** 62 + 1]
+    frame = saved(spark.createDataFrame([(k,) for k in ids], "id long"))
+    for most in (1 << 28, 1 << 16):
+        monkeypatch.setattr(jaccard, "MARKS", most)
+        found = jaccard.marks(frame)
+        at = jaccard._bit(np.array(ids, np.int64), 8 * len(found))
+        assert (found[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all() and 8 * len(found) <= most
+    assert not jaccard.marks(frame.limit(0)).any()
