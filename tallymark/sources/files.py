@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import values as V
@@ -17,9 +19,9 @@ def _as_list(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def detect_encoding(spark: SparkSession, paths) -> DataFrame:
-    """``file_id, encoding`` by byte-order mark, else UTF-8; only the first line of each file is looked at."""
-    text = spark.read.text(_as_list(paths), lineSep="\n")
+def detect_encoding(spark: SparkSession, paths, lenient: bool = False) -> DataFrame:
+    """``file_id, encoding`` by byte-order mark, else UTF-8."""
+    text = spark.read.option("ignoreCorruptFiles", lenient).text(_as_list(paths), lineSep="\n")
     first = text.select(F.hex(F.col("value").cast("binary")).alias("bytes"), F.col("_metadata.file_path").alias("file_id"),
                         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
     heads = first.filter("start = 0").groupBy("file_id").agg(F.min_by(F.substring("bytes", 1, 6), "id").alias("head"))
@@ -29,27 +31,28 @@ def detect_encoding(spark: SparkSession, paths) -> DataFrame:
     return heads.select("file_id", encoding.otherwise("UTF-8").alias("encoding"))
 
 
-def numbered_lines(spark: SparkSession, paths, encoding: str | None = None) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths, encoding: str | None = None, lenient: bool = False) -> DataFrame:
     """``file_id, line_no, line``: every line in file order, from 1, marks and carriage returns removed.
 
     Files are read in blocks by many tasks. Lines are numbered inside each block, and the
     line totals of the earlier blocks of the same file (one row per block) are added.
+    ``lenient`` leaves out what cannot be read of a corrupt file instead of failing.
     """
     if encoding is None:
-        found = {r.file_id: r.encoding for r in detect_encoding(spark, paths).filter("encoding LIKE 'UTF-16%'").collect()}
+        found = {r.file_id: r.encoding for r in detect_encoding(spark, paths, lenient).filter("encoding LIKE 'UTF-16%'").collect()}
         wide: dict[str, list[str]] = {}
         for path, name in found.items():
             wide.setdefault(name, []).append(path)
-        out = numbered_lines(spark, paths, "UTF-8")
+        out = numbered_lines(spark, paths, "UTF-8", lenient)
         if found:
             out = out.filter(~F.col("file_id").isin(list(found)))
         for name, group in wide.items():
-            out = out.unionByName(numbered_lines(spark, group, name))
+            out = out.unionByName(numbered_lines(spark, group, name, lenient))
         return out
     # The reader only uses the encoding to find line ends; the bytes of a line are decoded here.
     raw = F.col("value")
     decoded = raw if encoding == "UTF-8" else F.decode(raw.cast("binary"), encoding)
-    lines = spark.read.option("encoding", encoding).text(_as_list(paths), lineSep="\n").select(
+    lines = spark.read.option("encoding", encoding).option("ignoreCorruptFiles", lenient).text(_as_list(paths), lineSep="\n").select(
         F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"), F.regexp_replace(decoded, "\r$", "").alias("line"))
     inner = W.partitionBy("file_id", "block").orderBy("id")
@@ -161,16 +164,32 @@ def flatten_struct(df: DataFrame) -> DataFrame:
     return df.select(*leaves([], df.schema))
 
 
+def _opens_with(spark: SparkSession, paths) -> set[str]:
+    """The kinds of outermost JSON token met in the files: ``{``, ``[`` or, for a lone scalar, an empty text."""
+    lines = spark.read.text(_as_list(paths)).select(
+        F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("id"),
+        F.substring(F.regexp_extract("value", r"^[\s\x{FEFF}]*(\S)", 1), 1, 1).alias("token")).filter("token <> ''")
+    first = lines.groupBy("file_id").agg(F.min_by("token", "id").alias("token"))
+    kinds = F.when(F.col("token").isin("{", "["), F.col("token")).otherwise("")
+    return {r.token for r in first.select(kinds.alias("token")).distinct().collect()}
+
+
 def scan_json(spark: SparkSession, paths, *, multi_line: bool = True, flatten: bool | None = None) -> DataFrame:
     """An array of objects as rows over the union of their keys; one object as one flattened row.
 
-    JSON lines (``multi_line=False``) are split over tasks; a lone object is told by its single row.
+    The outermost token of the text decides, never the number of rows: an array that holds one object is not flattened.
+    An array without objects and a lone scalar are one row with their JSON text as ``value``. JSON lines
+    (``multi_line=False``) are split over tasks; they are rows like those of an array.
     """
     df = spark.read.option("multiLine", multi_line).json(_as_list(paths))
-    if not df.columns:
-        return spark.createDataFrame([], "value string")
+    opening = _opens_with(spark, paths) if multi_line else {"["}
+    if df.columns in ([], ["_corrupt_record"]):
+        if not multi_line or opening == {"{"} or not opening:
+            return spark.createDataFrame([], "value string")
+        texts = spark.read.text(_as_list(paths), wholetext=True)
+        return texts.select(F.to_json(F.parse_json(F.regexp_replace("value", r"^\x{FEFF}", ""))).alias("value"))
     if flatten is None:
-        flatten = df.limit(2).count() == 1
+        flatten = opening == {"{"}
     if flatten:
         return flatten_struct(df)
     # Objects inside an array of rows stay one cell, as JSON text.
@@ -183,25 +202,33 @@ def is_tabular(df: DataFrame) -> bool:
     return len(df.columns) > 1 and df.limit(2).count() > 1
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _located(spark: SparkSession, path: str) -> str | None:
+    """The path as the readers' file metadata spells it, or null where nothing is there."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    system = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return _spelled(system.makeQualified(jpath).toUri().toString()) if system.exists(jpath) else None
+
+
+def _spelled(uri: str) -> str:
+    return re.sub("^file:/+", "file:/", uri)
 
 
 def scan_many(spark: SparkSession, paths) -> tuple[DataFrame | None, DataFrame]:
-    """All readable files as one grid, and one status row per file; a bad file is a row, not a failure."""
-    there = [p for p in _as_list(paths) if _exists(spark, p)]
-    lost = [p for p in _as_list(paths) if p not in there]
-    errors = spark.createDataFrame([(p, "error", "file not found", 0) for p in lost],
-                                   "path string, status string, error string, rows long")
+    """All readable files as one grid, and one status row per file; a bad file is a row, not a failure.
+
+    What was read of a corrupt file before its fault stays; where that is nothing, its row says so.
+    """
+    found = {p: _located(spark, p) for p in _as_list(paths)}
+    schema = "path string, status string, error string, rows long"
+    errors = spark.createDataFrame([(p, "error", "file not found", 0) for p, uri in found.items() if uri is None], schema)
+    there = [(p, uri) for p, uri in found.items() if uri is not None]
     if not there:
         return None, errors
-    grid = scan_grid(spark, there)
-    names = spark.createDataFrame([(p,) for p in there], "path string")
-    filled = grid.groupBy("file_id").agg(F.count_if(F.exists("cells", lambda c: ~V.is_missing(c, T.StringType()))).alias("rows"))
-    same = F.col("file_id").endswith(F.col("path"))
-    # One row per file on either side.
-    status = names.join(F.broadcast(filled), same, "left").select(
+    grid = cells_of(records(numbered_lines(spark, [p for p, _ in there], lenient=True)))
+    names = spark.createDataFrame(there, "path string, uri string")
+    filled = grid.groupBy(F.regexp_replace("file_id", "^file:/+", "file:/").alias("uri")).agg(
+        F.count_if(F.exists("cells", lambda c: ~V.is_missing(c, T.StringType()))).alias("rows"))
+    status = names.join(filled, "uri", "left").select(
         "path", F.when(F.coalesce("rows", F.lit(0)) > 0, "ok").otherwise("error").alias("status"),
         F.when(F.coalesce("rows", F.lit(0)) == 0, "no readable rows").alias("error"),
         F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -125,3 +125,27 @@ def test_store(spark, tmp_path):
     assert store.get(new, cutoff).first().payload == '{"n":0}'
     assert store.delete(new, "someone else") == 0 and store.delete(new, "me") == 1 and store.delete(new, "me") == 0
     assert store.sweep_expired("me", cutoff) == 1 and store.saved().count() == 0
+
+
+def test_json_shapes(spark, tmp_path):
+    def read(name, text):
+        path = tmp_path / name
+        path.write_text(text)
+        return X.scan_json(spark, str(path))
+
+    one = read("one.json", '\n [{"a": {"b": 1, "c": [2]}}]')
+    assert one.columns == ["a"] and one.first().a == '{"b":1,"c":[2]}'
+    assert read("object.json", ' {"a": {"b": 1, "c": [2]}}').first().asDict() == {"a.b": 1, "a.c": "[2]"}
+    for name, text, value in [("list", "[1, 2, 3]", "[1,2,3]"), ("lone", "42", "42"), ("none", "[]", "[]"), ("word", '"x"', '"x"')]:
+        assert [tuple(r) for r in read(f"{name}.json", text).collect()] == [(value,)]
+
+
+def test_bad_files_are_rows(spark, tmp_path):
+    for folder in ("a b", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x y.csv").write_text("h,i\n1,2\n" * (1 if folder == "b" else 2))
+    (tmp_path / "bad.csv.gz").write_bytes(b"not compressed at all")
+    paths = [str(tmp_path / p) for p in ("a b/x y.csv", "b/x y.csv", "bad.csv.gz", "lost.csv")]
+    _, status = X.scan_many(spark, paths)
+    assert sorted((r.path, r.status, r.rows) for r in status.collect()) == sorted(
+        zip(paths, ["ok", "ok", "error", "error"], [4, 2, 0, 0]))
