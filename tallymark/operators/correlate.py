@@ -159,9 +159,9 @@ def _pair(table: Table, a: str, b: str, *extra: Column) -> DataFrame:
 
 
 def scatter_points(table: Table, a: str, b: str) -> DataFrame:
-    """Every complete pair in row order, for pairings of at most 500 points."""
+    """Every complete pair with its row; ``scatter`` draws a grid instead above ``SCATTER_POINTS`` pairs."""
     rows = _pair(table, a, b, table.order_column().alias("row"))
-    return rows.orderBy("row").limit(SCATTER_POINTS).select(
+    return rows.select(
         "row", V.round_sig(F.col("x")).alias("x"), V.round_sig(F.col("y")).alias("y"))
 
 

@@ -771,7 +771,7 @@ def correlate(spark, sf):
     return out.select("a", "b", "method", "coefficient", "n", "coverage")
 
 
-@query("""SELECT c_custkey AS "row", round(c_nationkey, 4) AS x, round(c_acctbal, 4) AS y FROM customer ORDER BY c_custkey LIMIT 500""")
+@query("""SELECT c_custkey AS "row", round(c_nationkey, 4) AS x, round(c_acctbal, 4) AS y FROM customer""")
 def scatter_points(spark, sf):
     return C.scatter_points(N.table(spark, sf, "customer", row_id="c_custkey"), "c_nationkey", "c_acctbal")
 
