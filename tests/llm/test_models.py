@@ -152,6 +152,65 @@ def test_tree_is_a_distribution_and_uses_the_longest_suffix():
     assert math.isclose(one, total, rel_tol=1e-6)
 
 
+def plain_log10(texts, learnt, least):
+    """log10 of each symbol of all texts, by counting every context of the learnt texts one by one."""
+    depth_, shared = suffix_tree.DEPTH, suffix_tree.SHARED
+    pad = bytes([suffix_tree.BEFORE]) * depth_
+    spell = lambda t: pad + b" ".join((t or "").encode().lower().split()) + bytes([suffix_tree.END])
+    follow = {}
+    for text, yes in zip(texts, learnt, strict=True):
+        raw = spell(text)
+        for at in range(depth_, len(raw) if yes else 0):
+            for d in range(depth_ + 1):
+                follow.setdefault(raw[at - d: at], Counter())[raw[at]] += 1
+    kept = {c for c in follow if len(c) <= shared}
+    for c, n in follow.items():
+        if len(c) > shared and sum(n.values()) >= least:
+            up, of = follow[c[1:]], sum(n.values())
+            gain = sum(k * math.log(k * sum(up.values()) / (of * up[x])) for x, k in n.items())
+            if gain > 0.5 * len(n) * math.log(of):
+                kept |= {c[k:] for k in range(len(c))}
+    out = []
+    for text in texts:
+        raw, total = spell(text), 0.0
+        for at in range(depth_, len(raw)):
+            root = follow.get(b"", Counter())
+            p = (root[raw[at]] + 1) / (sum(root.values()) + suffix_tree.SYMBOLS)
+            for d in range(1, depth_ + 1):
+                c = raw[at - d: at]
+                if c not in kept:
+                    break
+                p = (follow[c][raw[at]] + suffix_tree.PULL * p) / (sum(follow[c].values()) + suffix_tree.PULL)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("shared_runs", [0, 40, 10 ** 6])
+def test_the_suffix_table_matches_plain_counts(spark, monkeypatch, shared_runs):
+    monkeypatch.setattr(suffix_tree, "RUNS", shared_runs)
+    monkeypatch.setattr(suffix_tree, "CHUNK", 50)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["ab", "abc", "bcd", "é", "Cab", "漢字", "d"], 12)) for _ in range(25)] + [None, "", "zz new"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.score for r in suffix_tree.score(docs, fold("doc_id", 7) != 2).collect()}
+    expected = plain_log10(texts, [held(k, 7) != 2 for k, _ in rows], suffix_tree.LEAST)
+    assert all(math.isclose(out[k], expected[k], rel_tol=1e-5) for k, _ in rows) and len(out) == len(rows)
+
+
+def test_a_small_language_keeps_its_contexts_in_a_large_corpus(spark):
+    small = [(k, "qwxyvk " * 4) for k in range(3)]
+    large = [(100 + k, "the same old words again and again " * 6000) for k in range(12)]
+
+    def scored(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return {r.doc_id: r.score for r in suffix_tree.score(docs, fold("doc_id", 7) != 9).where("doc_id < 100").collect()}
+
+    alone, among = scored(small), scored(small + large)
+    assert all(among[k] > alone[k] - 2 for k in alone)
+
+
 def test_best_split_is_the_most_probable():
     counts = {"th": 30, "the": 50, "he": 10, "ha": 20, "a": 5, "t": 2}
     total = sum(counts.values())
