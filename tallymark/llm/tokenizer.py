@@ -15,6 +15,10 @@ WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
+#: Runs of white space from this length on are cut out before tiktoken, whose matcher fails on very long ones.
+LONG = 10_000
+LONG_SPACE = regex.compile(r"\p{White_Space}{%d,}" % LONG)
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in the file."""
@@ -48,13 +52,35 @@ class ByteBpe:
             "file", pat_str=WORD_PATTERN.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S"),
             mergeable_ranks=ranks, special_tokens=dict(self.added))
 
+    def _cut(self, text: str, encode) -> list[int]:
+        """``encode`` around long runs of white space. Such a run is one word, all but its last character where more
+        text follows; that character begins the next word, if a space, or is a word."""
+        out, done = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += encode(text[done: run.start()])
+            out += self.library._encode_single_piece(text[run.start(): end])
+            done = end
+        return out + encode(text[done:])
+
     def encode(self, text: str) -> list[int]:
         """Ids as the tokenizers library gives them: strings of added tokens in the text are those tokens."""
-        return self.library.encode(text, allowed_special="all", disallowed_special=())
+        def plain(part):
+            return self._cut(part, self.library.encode_ordinary)
+
+        if not LONG_SPACE.search(text):
+            return self.library.encode(text, allowed_special="all", disallowed_special=())
+        if not self.added:
+            return plain(text)
+        out, done = [], 0
+        for found in self.added_pattern.finditer(text):
+            out += [*plain(text[done: found.start()]), self.added[found[0]]]
+            done = found.end()
+        return out + plain(text[done:])
 
     def encode_plain(self, text: str) -> list[int]:
         """Ids of the text where the strings of added tokens are ordinary text."""
-        return self.library.encode_ordinary(text)
+        return self._cut(text, self.library.encode_ordinary)
 
 
 def read(path: str) -> str:

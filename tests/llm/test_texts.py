@@ -62,6 +62,31 @@ def test_automaton_gives_the_library_s_ids(texts):
         assert automaton.spell(bpe.labels, ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("spaces", [" " * 2_000_000, "\n" * 1_100_000, "\u3000" * 400_000, " \n\t" * 500_000])
+def test_very_long_white_space_is_encoded(tokenizer, library, spaces):
+    bpe = parse(read(tokenizer))
+    for text in (spaces, f"one{spaces}two", f"{spaces}, x{spaces}<|im_end|>{spaces}<|endoftext|>y"):
+        assert bpe.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert b"".join(map(bpe.labels.__getitem__, bpe.encode_plain(text))).decode() == text
+
+
+def test_cuts_of_white_space_change_no_id(tokenizer, library, monkeypatch):
+    bpe, rnd = parse(read(tokenizer)), random.Random(4)
+    monkeypatch.setattr("tallymark.llm.tokenizer.LONG_SPACE", re.compile(r"\s{3,}"))
+    for _ in range(400):
+        text = "".join(rnd.choice([" ", " ", "\n", "\t", "\u3000", "a", "Be", "'s", "7", "!", "<|endoftext|>"]) for _ in range(30))
+        assert bpe.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_packs_and_formats(spark, tokenizer):
+    text = "one" + " " * 1_200_000 + "two"
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(docs, tokenizer).collect()} == {1, 2}
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn int, role string, text string")
+    row, = chat.digests(chat.format_turns(turns, tokenizer), tokenizer).collect()
+    assert row.n_turns == 2 and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_arcs_are_those_of_the_explicit_construction():
     from tallymark.llm.tokenizer import ByteBpe
     rnd = random.Random(3)
