@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import values as V
@@ -213,10 +216,25 @@ def _spelled(uri: str) -> str:
     return re.sub("^file:/+", "file:/", uri)
 
 
+def _faults(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first fault of each file that cannot be read to its end. All are read at once; a group with a fault is halved."""
+    if not paths:
+        return {}
+    try:
+        spark.read.option("ignoreCorruptFiles", False).text(paths, lineSep="\n").agg(F.sum(F.length("value"))).collect()
+    except (PySparkException, Py4JJavaError) as fault:
+        if len(paths) == 1:
+            return {paths[0]: str(fault).strip().split("\n")[0][:500]}
+        middle = len(paths) // 2
+        return _faults(spark, paths[:middle]) | _faults(spark, paths[middle:])
+    return {}
+
+
 def scan_many(spark: SparkSession, paths) -> tuple[DataFrame | None, DataFrame]:
     """All readable files as one grid, and one status row per file; a bad file is a row, not a failure.
 
-    What was read of a corrupt file before its fault stays; where that is nothing, its row says so.
+    Every file is first read to its end. One with a fault is ``partial`` if rows before the fault could be read, which
+    stay, and else ``error``; its row says what the fault was. Sound files are read strictly.
     """
     found = {p: _located(spark, p) for p in _as_list(paths)}
     schema = "path string, status string, error string, rows long"
@@ -224,12 +242,15 @@ def scan_many(spark: SparkSession, paths) -> tuple[DataFrame | None, DataFrame]:
     there = [(p, uri) for p, uri in found.items() if uri is not None]
     if not there:
         return None, errors
-    grid = cells_of(records(numbered_lines(spark, [p for p, _ in there], lenient=True)))
-    names = spark.createDataFrame(there, "path string, uri string")
+    faults = _faults(spark, [p for p, _ in there])
+    sound = [p for p, _ in there if p not in faults]
+    parts = [numbered_lines(spark, group, lenient=lenient) for group, lenient in ((sound, False), (list(faults), True)) if group]
+    grid = cells_of(records(functools.reduce(DataFrame.unionByName, parts)))
+    names = spark.createDataFrame([(p, uri, faults.get(p)) for p, uri in there], "path string, uri string, fault string")
     filled = grid.groupBy(F.regexp_replace("file_id", "^file:/+", "file:/").alias("uri")).agg(
         F.count_if(F.exists("cells", lambda c: ~V.is_missing(c, T.StringType()))).alias("rows"))
+    rows = F.coalesce("rows", F.lit(0))
     status = names.join(filled, "uri", "left").select(
-        "path", F.when(F.coalesce("rows", F.lit(0)) > 0, "ok").otherwise("error").alias("status"),
-        F.when(F.coalesce("rows", F.lit(0)) == 0, "no readable rows").alias("error"),
-        F.coalesce("rows", F.lit(0)).alias("rows"))
+        "path", F.when(rows == 0, "error").when(F.col("fault").isNotNull(), "partial").otherwise("ok").alias("status"),
+        F.coalesce("fault", F.when(rows == 0, "no readable rows")).alias("error"), rows.alias("rows"))
     return grid, status.unionByName(errors)

@@ -1,3 +1,4 @@
+import gzip
 import random
 
 import pytest
@@ -149,3 +150,17 @@ def test_bad_files_are_rows(spark, tmp_path):
     _, status = X.scan_many(spark, paths)
     assert sorted((r.path, r.status, r.rows) for r in status.collect()) == sorted(
         zip(paths, ["ok", "ok", "error", "error"], [4, 2, 0, 0]))
+
+
+def test_a_file_damaged_in_the_middle_is_named(spark, tmp_path):
+    whole, damaged = tmp_path / "whole.csv.gz", tmp_path / "damaged.csv.gz"
+    rnd = random.Random(2)
+    content = "".join(f"{k},{rnd.random()}\n" for k in range(60000)).encode()
+    whole.write_bytes(gzip.compress(content))
+    damaged.write_bytes(gzip.compress(content)[:-len(gzip.compress(content)) // 3])
+    grid, status = X.scan_many(spark, [str(whole), str(damaged)])
+    by = {r.path: r for r in status.collect()}
+    assert (by[str(whole)].status, by[str(whole)].rows, by[str(whole)].error) == ("ok", 60000, None)
+    lost = by[str(damaged)]
+    assert lost.status == "partial" and 0 < lost.rows < 60000 and lost.error
+    assert grid.count() == 60000 + lost.rows
