@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallymark.llm import automaton, chat, grid_join, jaccard, line_crf, packing, quality_rules, suffix_tree, toxicity, urls
+from tallymark.llm import (
+    automaton, chat, grid_join, jaccard, line_crf, main_text, packing, quality_rules, suffix_tree, toxicity, urls, vector_codes,
+    whitening)
 from tallymark.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +65,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op2_embedding_neardup, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton, op7_url_filter, op8_ngram_jaccard, op9_quality_classifier, op10_best_fit_packing)}
+    op1_chat_formatting, op2_embedding_neardup, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton, op7_url_filter, op8_ngram_jaccard, op9_quality_classifier, op10_best_fit_packing,
+    op11_embedding_whitening, op12_html_extraction, op13_vector_codes)}
 ORACLE: dict[str, str] = {}
