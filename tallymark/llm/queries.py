@@ -9,6 +9,7 @@ from tallymark.llm import (
     automaton, chat, grid_join, jaccard, line_crf, main_text, packing, quality_rules, suffix_tree, toxicity, urls, vector_codes,
     whitening)
 from tallymark.llm.common import fold, table
+from tallymark.llm.oracles import ORACLE  # noqa: F401
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -78,6 +79,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op2_embedding_neardup, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton, op7_url_filter, op8_ngram_jaccard, op9_quality_classifier, op10_best_fit_packing,
+    op1_chat_formatting, op2_embedding_neardup, op3_quality_rules, op4_toxicity, op5_suffix_tree, op6_bpe_automaton,
+    op7_url_filter, op8_ngram_jaccard, op9_quality_classifier, op10_best_fit_packing,
     op11_embedding_whitening, op12_html_extraction, op13_vector_codes)}
-ORACLE: dict[str, str] = {}
