@@ -60,9 +60,13 @@ NUMBERS = re.compile(r"[0-9]+")
 
 
 def words_of(told: dict[str, str]) -> set[str]:
-    """Words of classes and id; a class that says what a page has (``has-sidebar``) is not one of the element itself."""
-    names = f"{told.get('class', '')} {told.get('id', '')}".split()
-    return {w.lower() for name in names if not name.lower().startswith(("has-", "with-", "no-", "without-")) for w in WORD.findall(name)}
+    """Words of classes and id, neighbours joined too (``side-bar``); what a page has (``has-sidebar``) is not one of them."""
+    found: set[str] = set()
+    for name in f"{told.get('class', '')} {told.get('id', '')}".split():
+        if not name.lower().startswith(("has-", "with-", "no-", "without-")):
+            single = [w.lower() for w in WORD.findall(name)]
+            found.update(single, map("".join, zip(single, single[1:])))
+    return found
 
 
 def step(tag: str, told: dict[str, str] | None) -> str:
