@@ -40,9 +40,7 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = automaton.encode(docs, TOKENIZER).drop("text")
-    decoded = automaton.decode(encoded, TOKENIZER)
-    return decoded.select(
+    return automaton.encode(docs, TOKENIZER, decoded="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -57,9 +57,46 @@ def library(tokenizer):
 def test_automaton_gives_the_library_s_ids(texts):
     from public_tokenizers import path
     bpe, lib = automaton.compiled(read(path("byte_bpe_50k.json"))), Tokenizer.from_file(path("byte_bpe_50k.json"))
-    for text, ids in zip(texts, bpe.encode_batch(texts), strict=True):
+    flat, size = bpe.encode_batch(texts)
+    for text, end, n, spelled in zip(texts, np.cumsum(size).tolist(), size.tolist(), bpe.spell(flat, size), strict=True):
+        ids = flat[end - n: end].tolist()
         assert ids == lib.encode(text, add_special_tokens=False).ids == bpe.bpe.encode(text)
-        assert automaton.spell(bpe.labels, ids) == lib.decode(ids, skip_special_tokens=False)
+        assert spelled == lib.decode(ids, skip_special_tokens=False)
+    broken = np.concatenate([flat[::3], flat[1::7], np.arange(300)]).astype(np.int32)
+    assert bpe.spell(broken, np.array([len(broken), 0])) == [lib.decode(broken.tolist(), skip_special_tokens=False), ""]
+
+
+def test_words_move_from_the_old_memory_to_the_young(tokenizer, library, monkeypatch):
+    monkeypatch.setattr(automaton, "REMEMBERED", 60)
+    bpe, rnd = automaton.Automaton(parse(read(tokenizer))), random.Random(8)
+    words = ["".join(rnd.choice("aeinrst") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    for _ in range(40):
+        texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) + "<|endoftext|>" for _ in range(4)]
+        flat, size = bpe.encode_batch(texts)
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert flat.tolist() == [k for ids in expected for k in ids] and size.tolist() == [len(ids) for ids in expected]
+    assert len(bpe.young.number) < 200 and bpe.old.number
+
+
+def test_long_words_are_read_like_short_ones(tokenizer, library):
+    bpe, rnd = automaton.compiled(read(tokenizer)), random.Random(2)
+    for _ in range(60):
+        word = "".join(rnd.choice("aetonhérstç") for _ in range(rnd.randint(1, 40))).encode()
+        flat, count = bpe.read_words([word])
+        assert bpe.read_long(word) == flat.tolist() == library.encode(word.decode(), add_special_tokens=False).ids
+        assert count.tolist() == [len(flat)]
+    assert [k for k in bpe.read_long(b"ab" * 500_000)] == library.encode("ab" * 500_000, add_special_tokens=False).ids
+
+
+def test_table_and_gadgets_tell_the_same_arcs(tokenizer):
+    bpe, rnd = automaton.compiled(read(tokenizer)), np.random.default_rng(1)
+    u, t = rnd.integers(0, automaton.TABLED, 200_000), rnd.integers(0, automaton.TABLED, 200_000)
+    common = [k for k, label in enumerate(bpe.labels[:automaton.TABLED]) if len(label) < 4]
+    u[:100_000], t[:100_000] = rnd.choice(common, 100_000), rnd.choice(common, 100_000)
+    assert (bpe.arcs(u, t) == bpe._arc_by_gadgets(u, t)).all() and not bpe.arcs(u, t).all()
+    assert [bpe.arc(int(a), int(b)) for a, b in zip(u[:500], t[:500])] == bpe.arcs(u[:500], t[:500]).tolist()
+    rare = rnd.integers(automaton.TABLED, 50_000, 5_000)
+    assert (bpe.arcs(rare, t[:5_000]) == bpe._arc_by_gadgets(rare, t[:5_000])).all()
 
 
 @pytest.mark.parametrize("spaces", [" " * 2_000_000, "\n" * 1_100_000, "\u3000" * 400_000, " \n\t" * 500_000])
@@ -119,13 +156,17 @@ def test_arcs_are_those_of_the_explicit_construction():
         order = np.argsort(keys)
         made.gadgets, made.rank = keys[order], order + 1
         if len(offered) == size:
+            table = automaton.arc_table(merges, np.arange(3), size)
             for u in range(size):
                 for t in range(size):
                     assert bool(made._arc_by_gadgets(np.array([u]), np.array([t]))[0]) == (t in out[target[u]])
+                    assert bool(table[u, t >> 3] >> (t & 7) & 1) == (t in out[target[u]])
 
 
 def test_encoding_and_decoding_a_table(docs, rows, tokenizer, library, no_docs):
     coded = automaton.decode(automaton.encode(docs, tokenizer), tokenizer)
+    once = automaton.encode(docs, tokenizer, decoded="decoded")
+    assert once.columns == coded.columns and once.exceptAll(coded).count() == coded.exceptAll(once).count() == 0
     assert coded.columns == [*docs.columns, "ids", "decoded"]
     found = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in coded.collect())
     assert found == Counter(
