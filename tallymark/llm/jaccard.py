@@ -14,8 +14,8 @@ pair is first bounded by its listed shingles and by how many shingles of each se
 sets cannot share more of a cell than the smaller count), and what is left is counted on the whole sets.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than a shingle are one
-shingle; ids may be null (their own component, null) or repeated (one node); an empty table gives none; other columns
-are not read. Nothing is cut off: long lists and large groups are only split into blocks.
+shingle; ids may be null (their own component, null) or repeated (one node with all its texts); an empty table gives
+none; other columns are not read. Nothing is cut off: long lists and large groups are only split into blocks.
 """
 
 from __future__ import annotations
@@ -363,10 +363,12 @@ def verify(pairs: DataFrame, listed: DataFrame, docs: DataFrame, common) -> Data
 
     left = saved(pairs.join(sided(listed, "a", 1), "a").join(sided(listed, "b", 2), "b").mapInPandas(
         bounded, "a long, b long"))
-    wanted = saved(left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))).distinct())
-    marked = docs.sparkSession.sparkContext.broadcast(marks(wanted))
-    asked = sets(docs.where("id is not null"), common, whole=True, marked=marked).drop("digest", "cells")
-    whole = saved(asked.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    wanted = left.select(F.col("a").alias("id")).unionAll(left.select(F.col("b").alias("id"))).distinct()
+    wanted = saved(listed.select("id", "least", "digest").join(wanted, "id", "left_semi"))
+    marked = docs.sparkSession.sparkContext.broadcast(marks(wanted.select(F.col("least").alias("id"))))
+    asked = sets(docs.where("id is not null"), common, whole=True, marked=marked).drop("cells")
+    asked = asked.withColumnRenamed("id", "least")
+    whole = saved(asked.join(wanted, ["least", "digest"]).select("id", "n", "keys").dropDuplicates(["id"]))
 
     def counted(frames):
         for frame in frames:
@@ -382,16 +384,27 @@ def verify(pairs: DataFrame, listed: DataFrame, docs: DataFrame, common) -> Data
         counted, "a long, b long, linked boolean, distance long"))
 
 
+def numbered(listed: DataFrame) -> DataFrame:
+    """``listed`` with ``id``, which is different for each set: its ``least`` id, or a number beyond all ids."""
+    named = listed.groupBy("least").agg(F.min(F.struct("n", "digest")).alias("one"), F.count("*").alias("sets"))
+    top = listed.agg(F.max("least")).first()[0] or 0
+    others = listed.select("least", "n", "digest").join(named.where("sets > 1").select("least", "one"), "least").where(
+        F.col("one") != F.struct("n", "digest"))
+    others = saved(others.select("least", "digest", (F.lit(top) + 1 + F.monotonically_increasing_id()).alias("other")))
+    return listed.join(others, ["least", "digest"], "left").withColumn("id", F.coalesce("other", "least")).drop("other")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` of every row."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(bucket_classes(rows.select("text")))
     made = saved(sets(rows, common, whole=False))
     some = made.where("n > 0 and id is not null")
-    # One row for each different set, under its least id; a repeated id with several texts keeps each of its sets. Rows
-    # of one set have the same keys, so any row's do, and they are reduced to one before they move.
-    listed = saved(some.groupBy("n", "digest").agg(
-        F.min("id").alias("id"), F.first("cells").alias("cells"), F.first("keys").alias("keys")))
+    # One row for each different set. Rows of one set have the same keys, so any row's do, and they are reduced to one
+    # before they move. A set is named by its least id or, where an id with several texts is the least of several sets,
+    # all but one of these by numbers beyond all ids.
+    listed = numbered(saved(some.groupBy("n", "digest").agg(
+        F.min("id").alias("least"), F.first("cells").alias("cells"), F.first("keys").alias("keys"))))
     first = listed.select("n", "digest", F.col("id").alias("rep"))
     copies = some.select("n", "digest", "id").join(first, ["n", "digest"]).select(
         F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b")

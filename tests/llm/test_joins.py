@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tallymark.llm import grid_join, jaccard
@@ -53,6 +54,19 @@ def test_jaccard_classes(docs, rows, no_docs):
     assert jaccard.classes(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("order", range(4))
+def test_a_repeated_id_keeps_each_of_its_texts(spark, order):
+    """Id 5 comes with three texts; 7, 9 and 3 are near copies of one of them each, 11 of none."""
+    words = [[f"{name}{k}" for k in range(90)] for name in "abcd"]
+    near = [" ".join([*ws[:-1], "end"]) for ws in words]
+    rows = [(5, " ".join(words[0])), (5, " ".join(words[1])), (5, " ".join(words[2])), (7, near[0]), (9, near[1]), (6, near[2]),
+            (11, near[3]), (5, " ".join(words[1])), (20, " ".join(words[1])), (21, " ".join(words[2]))]
+    random.Random(order).shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(order + 1)
+    found = {r.doc_id: r.component_id for r in jaccard.classes(frame).collect()}
+    assert found == {5: 5, 6: 5, 7: 5, 9: 5, 20: 5, 21: 5, 11: 11}
+
+
 def test_long_lists_and_borders(spark):
     """A thousand near copies that share all lists, and sets whose similarity is just at and just under the limit."""
     rnd = random.Random(2)
