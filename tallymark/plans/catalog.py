@@ -87,6 +87,31 @@ def scan_grid(spark, sf):
     return grid.select(*[F.try_element_at("cells", F.lit(i)).alias(c) for i, c in ((1, "key"), (2, "quoted"), (3, "nation"))])
 
 
+@query("""SELECT p_partkey AS "key", p_size || '" pipe' AS bare, p_type || ' "x" ' || p_brand AS inner_quotes,
+  p_brand || ', "new"' AS quoted, 4 + p_partkey % 3 AS width FROM part""")
+def scan_grid_bare_quotes(spark, sf):
+    """Quotes inside plain cells are text, those around a cell are not, and every row is as wide as it is."""
+    path = N.scratch(spark)
+    N.load(spark, sf, "part").select(F.concat(
+        F.concat_ws(",", "p_partkey", F.concat("p_size", F.lit('" pipe')), F.concat("p_type", F.lit(' "x" '), "p_brand"),
+                    F.concat(F.lit('"'), "p_brand", F.lit(', ""new"""'))),
+        F.expr("repeat(',', int(p_partkey % 3))"))).write.text(path)
+    grid = X.scan_grid(spark, path)
+    cell = lambda k: F.try_element_at("cells", F.lit(k))
+    return grid.select(cell(1).cast("long").alias("key"), cell(2).alias("bare"), cell(3).alias("inner_quotes"),
+                       cell(4).alias("quoted"), F.size("cells").cast("long").alias("width"))
+
+
+@query("""SELECT doc_id, nullif(text, '') AS text, source FROM documents""")
+def scan_grid_long_text(spark, sf):
+    """Whole documents as quoted cells: line ends, separators and quotes inside them stay text."""
+    path = N.scratch(spark)
+    N.load(spark, sf, "documents").select("doc_id", "text", "source").write.csv(
+        path, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cell = lambda k: F.try_element_at("cells", F.lit(k))
+    return X.scan_grid(spark, path).select(cell(1).cast("long").alias("doc_id"), cell(2).alias("text"), cell(3).alias("source"))
+
+
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def scan_json(spark, sf):
     path = N.scratch(spark)
@@ -106,12 +131,26 @@ def flatten_struct(spark, sf):
 @query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_filter(list_transform(string_split(text, chr(10)),
   lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM conversations)
   SELECT id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS content FROM t""")
-def scan_lines(spark, sf):
+def split_lines(spark, sf):
     df = N.load(spark, sf, "conversations")
     out = X.split_lines(df, F.col("conv_id") * 1000 + F.col("turn"), F.col("text"))
     return out.select(F.col("file_id").alias("id"), F.col("line").cast("long").alias("line"), "content")
 
 
+@query("""SELECT c_nationkey AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line, c_name AS content
+  FROM customer""")
+def scan_lines(spark, sf):
+    """One file a nation, its lines padded and every third followed by a blank one."""
+    path = N.scratch(spark)
+    rows = N.load(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", F.concat(
+        F.lit("  "), "c_name", F.lit("\t "), F.when(F.col("c_custkey") % 3 == 0, F.lit("\r\n \t")).otherwise(F.lit("\r"))).alias("value"))
+    rows.repartition(5, "nation").sortWithinPartitions("nation", "c_custkey").select("nation", "value").write.partitionBy(
+        "nation").text(path)
+    found = X.scan_lines(spark, path)
+    nation = F.regexp_extract("file_id", "nation=([0-9]+)", 1).cast("int")
+    return found.select(nation.alias("nation"), F.col("line").cast("long").alias("line"), "content")
+
+
 @query("""SELECT turn, line, content FROM (SELECT 1 AS turn, 1 AS line, '' AS content) WHERE false UNION ALL
   SELECT 0, CAST(count(*) AS INTEGER), 'records' FROM customer UNION ALL SELECT 1, 2 * CAST(count(*) AS INTEGER), 'lines' FROM customer""")
 def quoted_line_ends(spark, sf):

@@ -94,52 +94,102 @@ def split_lines(df: DataFrame, key: Column, text: Column) -> DataFrame:
         "file_id", (F.col("at") + 1).alias("line"), "content")
 
 
-def records(lines: DataFrame) -> DataFrame:
+def _cell_patterns(sep: str) -> tuple[str, str]:
+    """A cell that begins with a quote, up to where it ends outside quotes, and any other cell.
+
+    Quotes count only in a cell whose first character is one. Quantifiers are possessive: matching never goes back, so it
+    is linear and needs no stack.
+    """
+    out = f"[^\"{re.escape(sep)}]"
+    plain = f"[^{re.escape(sep)}]"
+    return f"\"[^\"]*+\"(?:{out}*+\"[^\"]*+\")*+{out}*+", f"(?:{out}{plain}*+)?+"
+
+
+def _line_machine(line: Column, sep: str) -> tuple[Column, Column]:
+    """Whether a line ends outside quotes when it begins a record, and when it begins inside quotes.
+
+    Together they are the line's transition function over the two states a line can begin in.
+    """
+    quoted, plain = _cell_patterns(sep)
+    cell, more = f"(?:{quoted}|{plain})", f"(?:{re.escape(sep)}(?:{quoted}|{plain}))*+\\z"
+    closing = quoted[1:]  # a quoted cell whose opening quote lies on an earlier line
+    has_quote = F.contains(line, F.lit('"'))
+    return ~has_quote | line.rlike(f"\\A{cell}{more}"), has_quote & line.rlike(f"\\A{closing}{more}")
+
+
+def records(lines: DataFrame, sep: str = ",") -> DataFrame:
     """``file_id, row_no, record``: lines joined where a quoted cell runs over a line end.
 
-    A line starts inside quotes when the quotes before it in the file are odd in number, which
-    is a running count over stretches of lines.
+    Reading cells is a finite-state machine. A line can begin in two states only, outside and inside quotes, so what it
+    does to them is one of four functions: keep (0), swap (1), lead outside (2) or lead inside (3). Functions are
+    composed in order: within a stretch of lines by a window, and over the stretches of a file by a window over one row
+    a stretch; a stretch counts its record starts for both states it may begin in. Lines that are a record by themselves
+    then stay where they are, the others meet by record. A quote that is never closed holds the rest of its file.
     """
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    counted = lines.select("*", F.floor((F.col("line_no") - 1) / _LINE_CHUNK).alias("chunk"), quotes.alias("q"))
-    if not counted.filter("q % 2 = 1").limit(1).count():
-        return lines.select("file_id", F.col("line_no").alias("row_no"), F.col("line").alias("record"))
+    outside, inside = _line_machine(F.col("line"), sep)
+    kind = F.when(outside, F.when(inside, 2).otherwise(0)).otherwise(F.when(inside, 1).otherwise(3))
+    chunked = lines.select("file_id", "line_no", "line", F.floor((F.col("line_no") - 1) / _LINE_CHUNK).alias("chunk"), kind.alias("kind"))
     inner = W.partitionBy("file_id", "chunk").orderBy("line_no")
-    across = W.partitionBy("file_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = counted.groupBy("file_id", "chunk").agg(F.sum("q").alias("n")).select(
-        "file_id", "chunk", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
-    upto = F.coalesce(F.sum("q").over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    opened = counted.withColumn("u", upto).join(totals, ["file_id", "chunk"])
-    opened = opened.withColumn("starts", (((F.col("u") + F.col("before")) % 2) == 0).cast("long"))
-    starts = opened.groupBy("file_id", "chunk").agg(F.sum("starts").alias("n")).select(
-        "file_id", "chunk", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("records_before"))
-    placed = opened.withColumn("r", F.sum("starts").over(inner.rowsBetween(W.unboundedPreceding, 0))).join(
-        starts, ["file_id", "chunk"])
-    joined = placed.groupBy("file_id", (F.col("records_before") + F.col("r")).alias("row_no")).agg(
+    upto = inner.rowsBetween(W.unboundedPreceding, 0)
+    read = chunked.withColumn("swaps", F.sum((F.col("kind") == 1).cast("long")).over(upto))
+    # The last function that leads to one state whatever came before, and the swaps up to it.
+    fixed = F.last(F.when(F.col("kind") >= 2, F.struct((F.col("kind") == 3).alias("inside"), F.col("swaps").alias("at"))), ignorenulls=True)
+    read = read.withColumn("fixed", fixed.over(upto))
+
+    def after(entry: Column, swaps: Column, fixed: Column) -> Column:
+        """Whether quotes are open after rows with these swaps and last constant, begun with ``entry``."""
+        odd = lambda n: n % 2 == 1
+        return F.when(fixed.isNull(), entry != odd(swaps)).otherwise(fixed.inside != odd(swaps - fixed.at))
+
+    for name, entry in (("out", F.lit(False)), ("in", F.lit(True))):
+        read = read.withColumn(f"after_{name}", after(entry, F.col("swaps"), F.col("fixed")))
+        read = read.withColumn(f"before_{name}", F.coalesce(F.lag(f"after_{name}").over(inner), entry))
+        read = read.withColumn(f"rows_{name}", F.sum((~F.col(f"before_{name}")).cast("long")).over(upto))
+    last = F.max_by(F.struct("after_out", "after_in", "rows_out", "rows_in"), "line_no")
+    stretches = read.groupBy("file_id", "chunk").agg(last.alias("s")).select(
+        "file_id", "chunk", "s.*", F.when(~F.col("s.after_out"), F.when(F.col("s.after_in"), 0).otherwise(2)).otherwise(
+            F.when(F.col("s.after_in"), 3).otherwise(1)).alias("kind"))
+    by_file = W.partitionBy("file_id").orderBy("chunk")
+    earlier = by_file.rowsBetween(W.unboundedPreceding, -1)
+    stretches = stretches.withColumn("swaps", F.sum((F.col("kind") == 1).cast("long")).over(by_file.rowsBetween(W.unboundedPreceding, 0)))
+    stretches = stretches.withColumn("fixed", fixed.over(earlier)).withColumn(
+        "entry", after(F.lit(False), F.coalesce(F.lag("swaps").over(by_file), F.lit(0)), F.col("fixed")))
+    begun = F.when(F.col("entry"), F.col("rows_in")).otherwise(F.col("rows_out"))
+    entries = stretches.withColumn("begun", begun).select(
+        "file_id", "chunk", "entry", F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("records_before"))
+    choose = lambda name: F.when(F.col("entry"), F.col(f"{name}_in")).otherwise(F.col(f"{name}_out"))
+    placed = read.join(entries, ["file_id", "chunk"]).select(
+        "file_id", "line_no", "line", (F.col("records_before") + choose("rows")).alias("row_no"),
+        (choose("before") | choose("after")).alias("part"))
+    alone = placed.filter(~F.col("part")).select("file_id", "row_no", F.col("line").alias("record"))
+    joined = placed.filter("part").groupBy("file_id", "row_no").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("parts"))
-    return joined.select("file_id", "row_no", F.array_join(F.transform("parts", lambda p: p.line), "\n").alias("record"))
+    return alone.unionByName(joined.select(
+        "file_id", "row_no", F.array_join(F.transform("parts", lambda p: p.line), "\n").alias("record")))
 
 
 def cells_of(rows: DataFrame, sep: str = ",") -> DataFrame:
-    """Splits ``record`` into ``cells`` by CSV rules; blank records become empty rows.
+    """Splits ``record`` into ``cells``, each row by itself and as wide as it is; blank records become empty rows.
 
-    The parser is given as many columns as the widest record can have, counted first.
+    A cell that both begins and ends with a quote loses them, and its doubled quotes are single; an empty cell is null.
     """
-    width = F.length("record") - F.length(F.replace("record", F.lit(sep), F.lit(""))) + 1
-    widest = rows.agg(F.max(width).alias("w")).first().w or 1
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(widest)])
-    options = {"sep": sep, "quote": '"', "escape": '"', "maxColumns": str(widest + 1), "mode": "PERMISSIVE"}
-    parsed = rows.select("*", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("p"),
-                         width.alias("_w"))
+    quoted, plain = _cell_patterns(sep)
+    cell = f"{re.escape(sep)}({quoted}(?={re.escape(sep)}|\\z)|\"(?s:.*+)|{plain})"
+    found = F.regexp_extract_all(F.concat(F.lit(sep), F.col("record")), F.lit(cell), 1)
+
+    def bare(c: Column) -> Column:
+        wrapped = c.startswith('"') & c.endswith('"')
+        inner = F.replace(F.substring(c, F.lit(2), F.greatest(F.length(c) - 2, F.lit(0))), F.lit('""'), F.lit('"'))
+        return F.nullif(F.when(wrapped, inner).otherwise(c), F.lit(""))
+
     blank = F.trim("record") == ""
-    cells = F.slice(F.array(*[F.col(f"p.c{i}") for i in range(widest)]), F.lit(1), F.col("_w"))
-    return parsed.select(*[c for c in rows.columns if c != "record"], F.when(
-        blank, F.array().cast("array<string>")).otherwise(cells).alias("cells"))
+    return rows.select(*[c for c in rows.columns if c != "record"], F.when(
+        blank, F.array().cast("array<string>")).otherwise(F.transform(found, bare)).alias("cells"))
 
 
 def scan_grid(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
     """``file_id, row_no, cells``: delimited files as raw grids, blank rows kept, rows from 1."""
-    return cells_of(records(numbered_lines(spark, paths)), sep)
+    return cells_of(records(numbered_lines(spark, paths), sep), sep)
 
 
 def scan_csv(spark: SparkSession, paths) -> DataFrame:

@@ -164,3 +164,41 @@ def test_a_file_damaged_in_the_middle_is_named(spark, tmp_path):
     lost = by[str(damaged)]
     assert lost.status == "partial" and 0 < lost.rows < 60000 and lost.error
     assert grid.count() == 60000 + lost.rows
+
+
+def machine(text, sep=","):
+    """The rows of a text, character by character: quotes count in cells that begin with one."""
+    text = text.removesuffix("\n")
+    rows, row, start, inside = [], [], 0, False
+    for i, c in enumerate([*text, None]):
+        if c is None or not inside and c in (sep, "\n"):
+            cell = text[start:i]
+            row.append((cell[1:-1].replace('""', '"') if cell[:1] == cell[-1:] == '"' else cell) or None)
+            start = i + 1
+            if c != sep:
+                rows.append(row)
+                row = []
+        elif c == '"' and text[start] == '"':
+            inside = not inside
+    return [[] if len(r) == 1 and not (r[0] or "").strip(" ") else r for r in rows]
+
+
+def test_the_composed_machine_reads_like_a_plain_one(spark, tmp_path, monkeypatch):
+    """Stretches of three lines, so that quotes open and close across many of them."""
+    monkeypatch.setattr(X, "_LINE_CHUNK", 3)
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice(['"', '"', ",", "\n", "a", "b", " ", '5"', ',"', '",', '""', '"\n'])
+                     for _ in range(rnd.randint(1, 60))) for _ in range(250)]
+    texts += ['a,b\n1,5" pipe\n2,x\n3,y\n4,z\n', 'n,"' + "," * 6000 + '"\n1,2\n', '"' + '""' * 50_000 + '",1',
+              ",".join(["x"] * 20_000) + "\n" + ",".join(['"q""q"'] * 20_000)]
+    for k, text in enumerate(texts):
+        (tmp_path / f"f{k}.csv").write_text(text)
+    found = {}
+    for r in X.scan_grid(spark, str(tmp_path)).collect():
+        found.setdefault(int(r.file_id.split("/f")[-1][:-4]), {})[r.row_no] = r.cells
+    for k, text in enumerate(texts):
+        rows = found.get(k, {})
+        blank = [[] if len(r) == 1 and not (r[0] or "").strip(" ") else r for r in (rows[n + 1] for n in range(len(rows)))]
+        assert blank == machine(text), text[:200]
+    assert found[250] == {1: ["a", "b"], 2: ["1", '5" pipe'], 3: ["2", "x"], 4: ["3", "y"], 5: ["4", "z"]}
+    assert [len(found[251][n]) for n in (1, 2)] == [2, 2]
