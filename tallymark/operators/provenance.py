@@ -31,67 +31,53 @@ FORMULAS = {
     "candidate_level_shift":
         "scan valid splits; compare segment medians and scale their difference by the global median absolute deviation",
 }
+#: What a row must be to stand behind a record: metric, whether only with a context, the rule, checks of columns by number.
+RULES = (
+    ("pearson_r", False, "Rows where {0} and {1} are both finite numbers", "numeric 0, numeric 1"),
+    ("spearman_rho", False, "Rows where {0} and {1} are both finite numbers", "numeric 0, numeric 1"),
+    ("cramers_v", False, "Rows where {0} and {1} are both non-missing", "present 0, present 1"),
+    ("group_mean_difference", True, "Rows with a finite {0} in one of {size} retained {1} groups", "numeric 0, levels 1"),
+    ("group_mean_difference", False, "Rows with a finite {0} and a non-missing {1} group", "numeric 0, present 1"),
+    ("missingness_mean_difference", False,
+     "Rows with a finite {0}; {1} is retained to define missing and present partitions", "numeric 0"),
+    ("category_share", False, "Rows where {0} is non-missing", "present 0"),
+    ("period_volume_trend", False, "Rows with a valid {0} date", "date 0"),
+    ("period_over_period_change", True, "Rows in the two compared {grain} periods ({kept})", "date 0, periods 0"),
+    ("period_over_period_change", False, "Rows with a valid {0} date", "date 0"),
+    ("target_time_trend", False, "Rows with a finite {0} and valid {1} date", "numeric 0, date 1"),
+    ("candidate_level_shift", False, "Rows with a finite {0} and valid {1} date", "numeric 0, date 1"),
+    ("iqr_outliers", False, "Rows where {0} is a finite number; fences are computed over all included values", "numeric 0"),
+)
+ANY_OTHER = "Rows with non-missing values for {all}"
+#: Reasons that a check can give.
+REASONS = {
+    "numeric": ("missing {0}", "non-numeric {0}"), "date": ("missing {0}", "invalid date {0}"), "present": ("missing {0}",),
+    "levels": ("missing {0}", "{0} outside retained groups"), "periods": ("invalid date {0}", "{0} outside compared periods"),
+}
 # ----------------------------------------------------------------------------
 
 # A check: its name, its column, the reasons it can give, and the reason column.
 Check = tuple[tuple, list[str], Column]
-
-
-def _numeric(t: Table, c: str) -> Check:
-    return ("numeric", c), [f"missing {c}", f"non-numeric {c}"], numeric_reason(t, c)
-
-
-def _date(t: Table, c: str) -> Check:
-    return ("date", c), [f"missing {c}", f"invalid date {c}"], date_reason(t, c)
-
-
-def _present(t: Table, c: str) -> Check:
-    return ("present", c), [f"missing {c}"], present_reason(t, c)
-
-
-def _levels(t: Table, c: str, levels: list[str]) -> Check:
-    return ("levels", c, *levels), [f"missing {c}", f"{c} outside retained groups"], level_reason(t, c, levels)
-
-
-def _periods(t: Table, c: str, periods: list[str], grain: str) -> Check:
-    reasons = [f"invalid date {c}", f"{c} outside compared periods"]
-    return ("periods", c, *periods), reasons, period_reason(t, c, periods, grain)
+_REASON_COLUMNS = {
+    "numeric": lambda t, c, item: numeric_reason(t, c), "date": lambda t, c, item: date_reason(t, c),
+    "present": lambda t, c, item: present_reason(t, c), "levels": lambda t, c, item: level_reason(t, c, list(item.context)),
+    "periods": lambda t, c, item: period_reason(t, c, list(item.context), item.grain),
+}
 
 
 def requirement(table: Table, item: Row) -> tuple[str, list[Check]]:
-    """The inclusion rule in words, and the checks a row must pass."""
-    columns, context = list(item.columns), item.context
-    first, second = columns[0], columns[-1]
-    match item.metric:
-        case "pearson_r" | "spearman_rho":
-            return (f"Rows where {first} and {second} are both finite numbers",
-                    [_numeric(table, first), _numeric(table, second)])
-        case "cramers_v":
-            return (f"Rows where {first} and {second} are both non-missing",
-                    [_present(table, first), _present(table, second)])
-        case "group_mean_difference" if context:
-            return (f"Rows with a finite {first} in one of {len(context)} retained {second} groups",
-                    [_numeric(table, first), _levels(table, second, list(context))])
-        case "group_mean_difference":
-            return (f"Rows with a finite {first} and a non-missing {second} group",
-                    [_numeric(table, first), _present(table, second)])
-        case "missingness_mean_difference":
-            return (f"Rows with a finite {first}; {second} is retained to define missing and present partitions",
-                    [_numeric(table, first)])
-        case "category_share":
-            return f"Rows where {first} is non-missing", [_present(table, first)]
-        case "period_over_period_change" if context:
-            return (f"Rows in the two compared {item.grain} periods ({' and '.join(context)})",
-                    [_date(table, first), _periods(table, first, list(context), item.grain)])
-        case "period_volume_trend" | "period_over_period_change":
-            return f"Rows with a valid {first} date", [_date(table, first)]
-        case "target_time_trend" | "candidate_level_shift":
-            return (f"Rows with a finite {first} and valid {second} date",
-                    [_numeric(table, first), _date(table, second)])
-        case "iqr_outliers":
-            return (f"Rows where {first} is a finite number; fences are computed over all included values",
-                    [_numeric(table, first)])
-    return (f"Rows with non-missing values for {' and '.join(columns)}", [_present(table, c) for c in columns])
+    """The inclusion rule in words, and the checks a row must pass, as the first fitting row of ``RULES`` has them."""
+    columns, context = list(item.columns), list(item.context or [])
+    fitting = [(rule, names) for metric, with_context, rule, names in RULES
+               if metric == item.metric and (context or not with_context)]
+    rule, names = fitting[0] if fitting else (ANY_OTHER, ", ".join(f"present {k}" for k in range(len(columns))))
+    words = {"size": len(context), "grain": item.grain, "kept": " and ".join(context), "all": " and ".join(columns)}
+    checks = []
+    for name, at in (one.split(" ") for one in names.split(", ")):
+        column = columns[int(at)]
+        key = (name, column, *(context if name in ("levels", "periods") else ()))
+        checks.append((key, [r.format(column) for r in REASONS[name]], _REASON_COLUMNS[name](table, column, item)))
+    return rule.format(columns[0], columns[-1], **words), checks
 
 
 class Provenance:

@@ -1087,10 +1087,35 @@ def source_rows(spark, sf):
     return Provenance(e.profile, durable(e.missingness_impact())).source_rows().select("row", "column", "value")
 
 
-@query()
+@query(f"""WITH {GAPPY}, o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS place_in, count(*) OVER () AS n FROM g),
+  q AS (SELECT min(price) AS lo, max(price) AS hi, round(quantile_cont(price, 0.5), 4) AS md, quantile_cont(price, 0.25) AS q1,
+    quantile_cont(price, 0.75) AS q3, quantile_cont(tier, 0.25) AS t1, quantile_cont(tier, 0.75) AS t3 FROM g),
+  levels AS (SELECT o_orderstatus AS l, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) AS k FROM g GROUP BY 1),
+  c AS (
+    SELECT min(o_orderkey) AS "row", 'first row' AS reason, 0 AS kind, 0 AS place FROM g UNION ALL
+    SELECT max(o_orderkey), 'last row', 0, 1 FROM g UNION ALL
+    SELECT arg_min(o_orderkey, (abs(price - md), o_orderkey)), 'median price', 1, 2 FROM g, q WHERE price IS NOT NULL UNION ALL
+    SELECT arg_min(o_orderkey, (abs(price - round(q1, 4)), o_orderkey)), 'lower quartile price', 1, 3 FROM g, q WHERE price IS NOT NULL UNION ALL
+    SELECT arg_min(o_orderkey, (abs(price - round(q3, 4)), o_orderkey)), 'upper quartile price', 1, 4 FROM g, q WHERE price IS NOT NULL UNION ALL
+    SELECT arg_min(o_orderkey, (abs(price - lo), o_orderkey)), 'minimum price', 1, 5 FROM g, q WHERE price IS NOT NULL UNION ALL
+    SELECT arg_min(o_orderkey, (abs(price - hi), o_orderkey)), 'maximum price', 1, 6 FROM g, q WHERE price IS NOT NULL UNION ALL
+    SELECT * FROM (SELECT o_orderkey, 'missing ' || concat_ws(', ', CASE WHEN price IS NULL THEN 'price' END,
+      CASE WHEN tier IS NULL THEN 'tier' END), 2, 0 FROM g WHERE price IS NULL OR tier IS NULL ORDER BY o_orderkey LIMIT 2) UNION ALL
+    SELECT min(o_orderkey), 'outlier in price', 3, 7 FROM g, q WHERE price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) UNION ALL
+    SELECT min(o_orderkey), 'outlier in tier', 3, 8 FROM g, q WHERE tier < t1 - 1.5 * (t3 - t1) OR tier > t3 + 1.5 * (t3 - t1) UNION ALL
+    SELECT min(o_orderkey), 'o_orderstatus = ' || l, 4, 8 + k FROM g JOIN levels ON l = o_orderstatus WHERE k <= 3 GROUP BY l, k UNION ALL
+    SELECT arg_min(o_orderkey, (o_orderdate, o_orderkey)), 'earliest o_orderdate', 5, 20 FROM g UNION ALL
+    SELECT arg_min(o_orderkey, (-epoch_us(o_orderdate), o_orderkey)), 'latest o_orderdate', 5, 21 FROM g),
+  base AS (SELECT * FROM c WHERE "row" IS NOT NULL), had AS (SELECT DISTINCT "row" FROM base), b AS (SELECT count(*) AS taken FROM had),
+  spread AS (SELECT o_orderkey AS "row", 'spread sample' AS reason, 6 AS kind, place_in AS place,
+    coalesce(sum(CASE WHEN h."row" IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY place_in ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new
+    FROM o LEFT JOIN had h ON h."row" = o_orderkey WHERE place_in > 0 AND place_in % greatest(1, n // 15) = 0),
+  picked AS (SELECT * FROM base UNION ALL SELECT "row", reason, kind, place FROM spread, b WHERE taken < 14 AND taken + new < 14)
+  SELECT "row", string_agg(reason, ' | ' ORDER BY kind, place, reason) AS reasons FROM picked GROUP BY 1 ORDER BY 1 LIMIT 14""")
 def representative_sample(spark, sf):
+    """All reasons of the sample as it is shown."""
     p = P.Profile(Table(N.gappy_orders(spark, sf), ORDER_COLUMNS, "o_orderkey"))
-    return R.representative_sample(p)
+    return R.representative_sample(p).select("row", F.array_join("reasons", " | ").alias("reasons"))
 
 
 @query("""WITH f AS (SELECT min(event_id) AS a, max(event_id) AS z FROM events),
