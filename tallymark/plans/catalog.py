@@ -187,49 +187,74 @@ def preview_rows(spark, sf):
 CUTOFF = dt.datetime(1998, 6, 1)
 
 
-@query("""SELECT id, created_at, kind FROM (SELECT 'a' || o_orderkey AS id, o_orderdate AS created_at, o_orderstatus AS kind,
-  o_custkey % 50 AS s FROM orders) WHERE s = 7 AND created_at >= TIMESTAMP '1998-06-01' ORDER BY created_at DESC, id LIMIT 20""")
+SAVED = """saved AS (SELECT 'a' || o_orderkey AS id, o_orderdate AS created_at, 's' || (o_custkey % 50) AS session_id,
+  o_orderstatus AS kind, o_orderkey AS k FROM orders)"""
+
+
+def _store(spark, sf) -> B.AnalysisStore:
+    """orders as saved analyses in a store of their own, partitioned by month."""
+    keeper = B.AnalysisStore(spark, N.scratch(spark), "month")
+    keeper.append(N.saved_analyses(spark, sf))
+    return keeper
+
+
+@query(f"""WITH {SAVED} SELECT id, created_at, kind FROM saved WHERE session_id = 's7' AND created_at >= TIMESTAMP '1998-06-01'
+  ORDER BY created_at DESC, id LIMIT 20""")
 def list_analyses(spark, sf):
     cutoff = B.retention_cutoff("30", CUTOFF + dt.timedelta(days=30))
-    return B.list_saved(N.saved_analyses(spark, sf), "s7", cutoff)
+    return _store(spark, sf).list("s7", cutoff).select("id", "created_at", "kind")
 
 
-@query("""SELECT 'a' || o_orderkey AS id, o_orderstatus AS kind, 's' || (o_custkey % 50) AS session_id FROM orders
-  WHERE o_orderkey % 10 = 3 AND o_orderdate >= TIMESTAMP '1998-06-01'""")
-def get_analysis(spark, sf):
-    """Point reads inside retention, asked for many ids at once."""
-    saved = N.saved_analyses(spark, sf)
-    asked = N.load(spark, sf, "orders").filter("o_orderkey % 10 = 3").select(F.concat(F.lit("a"), "o_orderkey").alias("id"))
-    return saved.join(asked, "id", "left_semi").filter(
-        B.inside_retention(F.col("created_at"), CUTOFF)).select("id", "kind", "session_id")
+@query(f"""WITH {SAVED} SELECT id, created_at, kind FROM saved WHERE session_id = 's7'""")
+def list_all_analyses(spark, sf):
+    """Without retention and without the limit of the list."""
+    return _store(spark, sf).list("s7", None, None).select("id", "created_at", "kind")
 
 
-@query("""SELECT 's' || (o_custkey % 50) AS session_id, count(*) AS expired FROM orders
-  WHERE o_orderdate < TIMESTAMP '1998-06-01' GROUP BY 1""")
-def sweep_expired(spark, sf):
-    saved = N.saved_analyses(spark, sf)
-    return saved.filter(~B.inside_retention(F.col("created_at"), CUTOFF)).groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("expired"))
+@query(f"""WITH {SAVED} SELECT id, kind, session_id, created_at FROM saved WHERE k % 499 = 3 AND created_at >= TIMESTAMP '1998-06-01'""")
+def get_analysis(spark, sf):
+    """Point reads: ids inside and outside retention, and one that never was."""
+    asked = [r.id for r in N.load(spark, sf, "orders").filter("o_orderkey % 499 = 3").select(
+        F.concat(F.lit("a"), "o_orderkey").alias("id")).collect()]
+    return _store(spark, sf).get([*asked, "never"], CUTOFF).select("id", "kind", "session_id", "created_at")
 
 
-@query("""SELECT id, kind FROM (SELECT 'a' || o_orderkey AS id, o_orderstatus AS kind, o_custkey % 50 AS s FROM orders)
-  WHERE NOT (s = 7 AND kind = 'F')""")
+@query(f"""WITH {SAVED}, left_over AS (SELECT * FROM saved WHERE NOT (session_id = 's7' AND created_at < TIMESTAMP '1998-06-01'))
+  SELECT session_id, count(*) AS "rows", min(created_at) AS oldest, (SELECT count(*) FROM saved) - (SELECT count(*) FROM left_over)
+  AS swept FROM left_over GROUP BY 1""")
+def sweep_expired(spark, sf):
+    """What each session still has on disk after one session's expired rows were swept."""
+    keeper = _store(spark, sf)
+    swept = keeper.sweep_expired("s7", CUTOFF)
+    return keeper.saved().groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"), F.min("created_at").alias("oldest")).withColumn(
+        "swept", F.lit(swept).cast("long"))
+
+
+@query(f"""WITH {SAVED} SELECT CAST(date_trunc('month', created_at) AS DATE) AS created_date, count(*) AS "rows" FROM saved
+  WHERE created_at >= TIMESTAMP '1998-06-15' GROUP BY 1""")
+def sweep_partitions(spark, sf):
+    """After a sweep of all sessions whole partitions are gone, and the one the cutoff falls in is rewritten."""
+    keeper = _store(spark, sf)
+    keeper.sweep_expired(None, dt.datetime(1998, 6, 15))
+    folder = F.regexp_extract("path", "created_date=([0-9-]+)", 1).cast("date")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(keeper.rows)
+    on_disk = files.select(folder.alias("created_date")).distinct()
+    return on_disk.join(keeper.saved().groupBy("created_date").agg(F.count(F.lit(1)).alias("rows")), "created_date", "left")
+
+
+@query(f"""WITH {SAVED} SELECT id, kind FROM saved WHERE NOT (session_id = 's7' AND kind = 'F')""")
 def delete_analysis(spark, sf):
     """What is left after a session's deletions, which only ever reach its own rows."""
-    saved = N.saved_analyses(spark, sf)
-    deleted = saved.filter("session_id = 's7' AND kind = 'F'").select("id", "session_id")
-    return saved.join(deleted, ["id", "session_id"], "left_anti").select("id", "kind")
+    keeper = _store(spark, sf)
+    asked = [r.id for r in keeper.saved().filter("kind = 'F' AND session_id IN ('s7', 's8')").select("id").collect()]
+    keeper.delete(asked, "s7")
+    return keeper.saved().select("id", "kind")
 
 
 @query("SELECT count(*) AS saved, 1 AS mine, 0 AS after_delete FROM orders")
 def save_analysis(spark, sf):
     """A result saved, listed and deleted again, beside a bulk of earlier ones."""
-    path = N.scratch(spark)
-    keeper = B.AnalysisStore(spark, path)
-    saved = N.saved_analyses(spark, sf).select(
-        "id", "created_at", "session_id", "kind", *[F.lit(None).cast("string").alias(c) for c in (
-            "filename", "file_type", "model", "question")], "payload", F.to_date("created_at").alias("created_date"))
-    saved.withColumn("created_date", F.trunc("created_date", "year")).write.partitionBy("created_date").parquet(keeper.rows)
+    keeper = _store(spark, sf)
     before = keeper.saved().count()
     facts = P.compute_stats(N.profile(spark, sf, "orders")).agg(F.count(F.lit(1)).alias("columns"))
     mine = keeper.save(facts, session_id="me", kind="analysis", filename="orders", file_type="table", now=CUTOFF)

@@ -141,4 +141,5 @@ def saved_analyses(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "orders").select(
         F.concat(F.lit("a"), "o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"),
         F.concat(F.lit("s"), F.col("o_custkey") % 50).alias("session_id"), F.col("o_orderstatus").alias("kind"),
+        *[F.lit(None).cast("string").alias(c) for c in ("filename", "file_type", "model", "question")],
         F.col("o_totalprice").cast("string").alias("payload"))

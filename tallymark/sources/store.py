@@ -1,18 +1,28 @@
-"""Saved analyses: an append-only parquet table partitioned by day, with deletions as records of their own."""
+"""Saved analyses: a parquet table partitioned by creation date, so that expiry drops folders and reads skip files.
+
+Files are sorted by session and id and carry bloom filters on both, so a point read opens the row group that holds the
+id and few others. Deleting rewrites the partitions that hold a row to delete, by dynamic partition overwrite; partitions
+that hold nothing else are removed whole. One writer at a time is assumed, as appends made during a rewrite are lost.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import math
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import durable
+
 # --- fixed values -----------------------------------------------------------
 LISTED = 20
 FIELDS = "id string, created_at timestamp_ntz, session_id string, kind string, filename string, file_type string, " \
          "model string, question string, payload string"
 # ----------------------------------------------------------------------------
+#: How the partition date is made from the moment of creation.
+GRAINS = ("day", "month", "year")
 
 
 def retention_cutoff(days: float | str | None, now: dt.datetime) -> dt.datetime | None:
@@ -30,36 +40,53 @@ def inside_retention(created_at: Column, cutoff: dt.datetime | None) -> Column:
     return F.lit(True) if cutoff is None else created_at >= F.lit(cutoff).cast("timestamp_ntz")
 
 
-def list_saved(saved: DataFrame, session_id: str, cutoff: dt.datetime | None) -> DataFrame:
-    """A session's analyses inside retention, newest first, without payloads."""
-    return saved.filter((F.col("session_id") == session_id) & inside_retention(F.col("created_at"), cutoff)).orderBy(
-        F.desc("created_at"), "id").limit(LISTED).drop("payload", "session_id", "created_date")
+def grain_start(moment: dt.datetime, grain: str) -> dt.date:
+    """The first day of the partition that holds the moment."""
+    return dt.date(moment.year, 1 if grain == "year" else moment.month, moment.day if grain == "day" else 1)
 
 
-def get_saved(saved: DataFrame, analysis_id: str, cutoff: dt.datetime | None) -> DataFrame:
-    return saved.filter((F.col("id") == analysis_id) & inside_retention(F.col("created_at"), cutoff))
+def list_saved(saved: DataFrame, session_id: str, cutoff: dt.datetime | None, limit: int | None = LISTED) -> DataFrame:
+    """A session's analyses inside retention, newest first, without payloads."""
+    rows = saved.filter((F.col("session_id") == session_id) & inside_retention(F.col("created_at"), cutoff)).drop(
+        "payload", "session_id", "created_date").orderBy(F.desc("created_at"), "id")
+    return rows if limit is None else rows.limit(limit)
 
 
-def expired(saved: DataFrame, session_id: str, cutoff: dt.datetime | None) -> DataFrame:
-    if cutoff is None:
-        return saved.limit(0)
-    return saved.filter((F.col("session_id") == session_id) & ~inside_retention(F.col("created_at"), cutoff))
+def get_saved(saved: DataFrame, ids: str | Iterable[str], cutoff: dt.datetime | None) -> DataFrame:
+    """The analyses with these ids that are inside retention; an expired one is as good as none."""
+    wanted = [ids] if isinstance(ids, str) else list(ids)
+    return saved.filter(F.col("id").isin(wanted) & inside_retention(F.col("created_at"), cutoff))
 
 
 class AnalysisStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.rows, self.gone = f"{path}/analyses", f"{path}/deleted"
+    def __init__(self, spark: SparkSession, path: str, grain: str = "day"):
+        if grain not in GRAINS:
+            raise ValueError(f"grain: one of {', '.join(GRAINS)}")
+        self.spark, self.grain, self.rows = spark, grain, f"{path}/analyses"
 
-    def _read(self, path: str, schema: str) -> DataFrame:
+    def _folder(self, path: str):
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath):
+        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
+
+    def saved(self, since: dt.datetime | None = None) -> DataFrame:
+        """All rows, or those in partitions that can hold rows from ``since`` on: other partitions are not listed."""
+        schema = f"{FIELDS}, created_date date"
+        system, path = self._folder(self.rows)
+        if not system.exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        rows = self.spark.read.schema(schema).parquet(self.rows)
+        return rows if since is None else rows.filter(F.col("created_date") >= F.lit(grain_start(since, self.grain)))
 
-    def saved(self) -> DataFrame:
-        deleted = self._read(self.gone, "id string, session_id string")
-        return self._read(self.rows, f"{FIELDS}, created_date date").join(deleted, ["id", "session_id"], "left_anti")
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        ordered = rows.repartitionByRange("created_date", "session_id", "id").sortWithinPartitions("created_date", "session_id", "id")
+        writer = ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("created_date")
+        for column in ("id", "session_id"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", True)
+        writer.parquet(self.rows)
+
+    def append(self, rows: DataFrame) -> None:
+        """Many results at once, in the columns of the table without the partition date."""
+        self._write(rows.withColumn("created_date", F.to_date(F.date_trunc(self.grain, "created_at"))), "append")
 
     def save(self, payload: DataFrame, *, session_id: str, kind: str, filename: str, file_type: str, model: str | None = None,
              question: str | None = None, now: dt.datetime) -> str:
@@ -67,32 +94,51 @@ class AnalysisStore:
         new_id = str(uuid.uuid4())
         known = {"id": new_id, "session_id": session_id, "kind": kind, "filename": filename, "file_type": file_type,
                  "model": model, "question": question or None}
-        row = payload.select(
+        self.append(payload.select(
             *[F.lit(v).cast("string").alias(k) for k, v in known.items()],
-            F.lit(now).cast("timestamp_ntz").alias("created_at"), F.to_json(F.struct("*")).alias("payload"))
-        row.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy("created_date").parquet(self.rows)
+            F.lit(now).cast("timestamp_ntz").alias("created_at"), F.to_json(F.struct("*")).alias("payload")))
         return new_id
 
-    def list(self, session_id: str, cutoff: dt.datetime | None) -> DataFrame:
-        return list_saved(self.saved(), session_id, cutoff)
-
-    def get(self, analysis_id: str, cutoff: dt.datetime | None) -> DataFrame:
-        return get_saved(self.saved(), analysis_id, cutoff)
-
-    def _drop(self, rows: DataFrame) -> int:
-        # Counted before and after, so only rows that were there count as removed.
-        n = rows.count()
-        if n:
-            rows.select("id", "session_id").write.mode("append").parquet(self.gone)
-        return n
-
-    def sweep_expired(self, session_id: str, cutoff: dt.datetime | None) -> int:
-        """Removes a session's expired rows; returns how many."""
-        return self._drop(expired(self.saved(), session_id, cutoff))
-
-    def delete(self, analysis_id: str, session_id: str) -> int:
-        """Removes one analysis of its own session; zero means not found."""
-        return self._drop(self.saved().filter((F.col("id") == analysis_id) & (F.col("session_id") == session_id)))
+    def list(self, session_id: str, cutoff: dt.datetime | None, limit: int | None = LISTED) -> DataFrame:
+        return list_saved(self.saved(cutoff), session_id, cutoff, limit)
+
+    def get(self, ids: str | Iterable[str], cutoff: dt.datetime | None) -> DataFrame:
+        return get_saved(self.saved(cutoff), ids, cutoff)
+
+    def _rewrite(self, gone: Column, rows: DataFrame) -> int:
+        """Takes the rows for which ``gone`` holds out of the files of their partitions; returns how many there were."""
+        gone = F.coalesce(gone, F.lit(False))
+        counts = rows.groupBy("created_date").agg(
+            F.count_if(gone).alias("gone"), F.count_if(~gone).alias("kept")).filter("gone > 0").collect()  # one row a partition
+        if any(c.kept for c in counts):
+            # A partition cannot be overwritten while it is read, so what stays is written aside first.
+            held = durable(rows.filter(F.col("created_date").isin([c.created_date for c in counts if c.kept]) & ~gone))
+            self._write(held, "overwrite")
+        for c in counts:
+            if not c.kept:
+                system, path = self._folder(f"{self.rows}/created_date={c.created_date}")
+                system.delete(path, True)
+        self.spark.catalog.refreshByPath(self.rows)
+        return sum(c.gone for c in counts)
+
+    def sweep_expired(self, session_id: str | None, cutoff: dt.datetime | None) -> int:
+        """Removes the expired rows of a session, or of all sessions, from the files; returns how many."""
+        if cutoff is None:
+            return 0
+        old = self.saved().filter(F.col("created_date") <= F.lit(grain_start(cutoff, self.grain)))
+        gone = ~inside_retention(F.col("created_at"), cutoff)
+        return self._rewrite(gone if session_id is None else gone & (F.col("session_id") == session_id), old)
+
+    def delete(self, ids: str | Iterable[str], session_id: str) -> int:
+        """Removes analyses of their own session from the files; zero means not found."""
+        wanted = [ids] if isinstance(ids, str) else list(ids)
+        gone = F.col("id").isin(wanted) & (F.col("session_id") == session_id)
+        dates = [r.created_date for r in self.saved().filter(gone).select("created_date").distinct().collect()]
+        return self._rewrite(gone, self.saved().filter(F.col("created_date").isin(dates))) if dates else 0
+
+    def compact(self) -> None:
+        """Every partition as few sorted files, after many small saves."""
+        self._write(durable(self.saved()), "overwrite")
 
 
 def export_result(result: DataFrame, path: str, now: dt.datetime) -> None:

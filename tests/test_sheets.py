@@ -202,3 +202,59 @@ def test_the_composed_machine_reads_like_a_plain_one(spark, tmp_path, monkeypatc
         assert blank == machine(text), text[:200]
     assert found[250] == {1: ["a", "b"], 2: ["1", '5" pipe'], 3: ["2", "x"], 4: ["3", "y"], 5: ["4", "z"]}
     assert [len(found[251][n]) for n in (1, 2)] == [2, 2]
+
+
+def rows_scanned(df):
+    """Rows that the file scan handed on when ``df`` was collected."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if hasattr(plan, "executedPlan") and plan.nodeName() == "AdaptiveSparkPlan" else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_store_partitions(spark, tmp_path):
+    store = AnalysisStore(spark, str(tmp_path / "store"), "month")
+    rows = spark.range(6000).selectExpr(
+        "concat('a', xxhash64(id)) AS id", "timestamp_ntz'2024-01-10 00:00:00' + make_dt_interval(id % 120) AS created_at",
+        "concat('s', id % 4) AS session_id", "'k' AS kind", "'f' AS filename", "'t' AS file_type", "string(null) AS model",
+        "string(null) AS question", "repeat('x', 50) AS payload")
+    store.append(rows)
+
+    def files():
+        return {p.relative_to(store.rows): p.stat().st_mtime_ns for p in sorted((tmp_path / "store").rglob("*.parquet"))}
+
+    before = files()
+    months = {p.parts[0] for p in before}
+    assert months == {f"created_date=2024-0{m}-01" for m in range(1, 6)}
+    cutoff = dt.datetime(2024, 3, 15)
+    gone = rows.filter("created_at < '2024-03-15'").count()
+    assert store.sweep_expired(None, cutoff) == gone and store.sweep_expired(None, cutoff) == 0
+    after = files()
+    assert {p.parts[0] for p in after} == {f"created_date=2024-0{m}-01" for m in range(3, 6)}
+    later = {p: t for p, t in before.items() if p.parts[0] > "created_date=2024-03-01"}
+    assert later == {p: t for p, t in after.items() if p.parts[0] > "created_date=2024-03-01"}
+    assert store.saved().count() == 6000 - gone and store.saved().filter("created_at < '2024-03-15'").count() == 0
+    plan = store.list("s1", dt.datetime(2024, 4, 20))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(created_date" in plan and "2024-04-01" in plan
+    assert store.delete("never", "s1") == 0 and store.sweep_expired("s1", None) == 0
+    store.compact()
+    assert store.saved().count() == 6000 - gone
+    assert AnalysisStore(spark, str(tmp_path / "none")).saved().count() == 0
+    with pytest.raises(ValueError):
+        AnalysisStore(spark, "x", "week")
+
+
+def test_a_point_read_opens_one_row_group(spark, tmp_path):
+    spark.conf.set("parquet.block.size", 64 * 1024)
+    try:
+        store = AnalysisStore(spark, str(tmp_path / "store"), "year")
+        store.append(spark.range(40_000).selectExpr(
+            "concat('a', xxhash64(id)) AS id", "timestamp_ntz'2024-01-10 00:00:00' AS created_at", "'s' AS session_id", "'k' AS kind",
+            "'f' AS filename", "'t' AS file_type", "string(null) AS model", "string(null) AS question", "string(hash(id)) AS payload"))
+        wanted = store.saved().filter("payload = string(hash(17L))").first().id
+        spark.conf.set("spark.sql.parquet.filterPushdown", "true")
+        read = store.get(wanted, None)
+        assert read.count() == 1 and rows_scanned(read) < 40_000 / 4
+    finally:
+        spark.conf.unset("parquet.block.size")
