@@ -7,8 +7,10 @@ needs to know about the rest arrives as one summary row per stretch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import values as V
@@ -79,6 +81,58 @@ def read_rows(grid: DataFrame) -> DataFrame:
         F.size(F.array_distinct("words")).alias("distinct"), (filled == 0).alias("blank"))
 
 
+def _same_start(a: Column, b: Column) -> Column:
+    """Whether two summaries of one column lead to the same decisions: the sums agree, and so does having enough values."""
+    scale = F.greatest(F.lit(1.0), F.abs(a.s), F.abs(b.s))
+    same = (a.col == b.col) & (F.abs(a.s - b.s) <= 1e-13 * scale) & (
+        (a.n >= MIN_CONTRIBUTORS) == (b.n >= MIN_CONTRIBUTORS)) & ((a.n == b.n) | (a.n >= MIN_CONTRIBUTORS))
+    return F.coalesce(same, F.lit(False))
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order, stretch by stretch: a row is compared with the sums of the rows kept so far, and kept if it is none."""
+    kinds = pa.schema([
+        ("file_id", pa.string()), ("chunk", pa.int64()),
+        ("found", pa.list_(pa.struct([("row_no", pa.int64()), ("comparable", pa.int64()), ("matched", pa.int64()),
+                                      ("matched_columns", pa.list_(pa.int32()))]))),
+        ("kept", pa.list_(pa.struct([("col", pa.int32()), ("s", pa.float64()), ("n", pa.int64())])))])
+    key, start, own, found, out = None, {}, {}, [], []  # own: sums and counts of the rows kept in the stretch itself
+
+    def closed():
+        return {"file_id": key[0], "chunk": key[1], "found": found, "kept": [{"col": c, "s": s, "n": n} for c, (s, n) in own.items()]}
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("file_id", "chunk", "row_no", "numbers", "second_header", "labelled", "entry")]
+        for file_id, chunk, row_no, numbers, second_header, labelled, entry in zip(*columns, strict=True):
+            if (file_id, chunk) != key:
+                if key is not None:
+                    out.append(closed())
+                start = {e["col"]: (e["s"], e["n"]) for e in entry or ()}
+                key, own, found = (file_id, chunk), {}, []
+            if second_header:
+                continue
+            comparable, equal = 0, []
+            values = [(c, v) for c, v in enumerate(numbers) if v is not None]
+            for c, v in values:
+                (before, m), (above, n) = start.get(c, (0.0, 0)), own.get(c, (0.0, 0))
+                above += before
+                if m + n >= MIN_CONTRIBUTORS:
+                    comparable += 1
+                    if abs(v - above) <= SUM_TOLERANCE * max(1.0, abs(v), abs(above)):
+                        equal.append(c)
+            hit = bool(equal) and 2 * len(equal) >= comparable
+            if hit:
+                found.append({"row_no": row_no, "comparable": comparable, "matched": len(equal), "matched_columns": equal})
+            elif not labelled:
+                for c, v in values:
+                    above, n = own.get(c, (0.0, 0))
+                    own[c] = (above + v, n + 1)
+        yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        out = []
+    if key is not None:
+        yield pa.RecordBatch.from_pylist([closed()], schema=kinds)
+
+
 def modal_width(rows: DataFrame) -> DataFrame:
     """The most common non-blank span per sheet, ties to the wider."""
     counts = rows.filter("span > 0").groupBy("file_id", "span").agg(F.count(F.lit(1)).alias("n"))
@@ -219,59 +273,61 @@ class Sheets:
 
     # -- rows that restate the rows above them ------------------------------
 
-    @cached_property
-    def _cells(self) -> DataFrame:
-        """The numbers under the headers in long form."""
-        return self.data.select(
-            *STRETCH, "row_no", (F.col("second_header") | F.col("label").isNotNull()).alias("set_aside"),
-            "second_header", F.posexplode("numbers").alias("col", "value")).filter("value IS NOT NULL")
-
-    def _matches(self, set_aside: DataFrame | None) -> DataFrame:
-        """Rows whose numbers equal the sums of the kept rows above, given the rows set aside so far."""
-        cells = self._cells
-        if set_aside is not None:
-            extra = set_aside.select("file_id", "row_no", F.lit(True).alias("_extra"))
-            cells = cells.join(extra, ["file_id", "row_no"], "left").withColumn(
-                "set_aside", F.col("set_aside") | F.col("_extra").isNotNull()).drop("_extra")
-        kept = F.when(~F.col("set_aside"), F.col("value"))
-        inner = W.partitionBy("file_id", "col", "chunk").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
+    def _carried(self, kept: DataFrame) -> DataFrame:
+        """``file_id, chunk, entry``: what the rows kept in earlier stretches add up to, for stretches after the first."""
         across = W.partitionBy("file_id", "col").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-        totals = cells.groupBy("file_id", "col", "chunk").agg(F.sum(kept).alias("s"), F.count(kept).alias("n"))
-        carried = totals.select(
-            "file_id", "col", "chunk", F.coalesce(F.sum("s").over(across), F.lit(0.0)).alias("s0"),
-            F.coalesce(F.sum("n").over(across), F.lit(0)).alias("n0"))
-        run = cells.select(
-            "*", F.coalesce(F.sum(kept).over(inner), F.lit(0.0)).alias("s1"), F.count(kept).over(inner).alias("n1"),
-        ).join(carried, ["file_id", "col", "chunk"])
-        above = F.col("s0") + F.col("s1")
-        comparable = (F.col("n0") + F.col("n1")) >= MIN_CONTRIBUTORS
-        scale = F.greatest(F.lit(1.0), F.abs("value"), F.abs(above))
-        equal = comparable & (F.abs(F.col("value") - above) <= SUM_TOLERANCE * scale)
-        per_row = run.filter("NOT second_header").groupBy("file_id", "chunk", "row_no").agg(
-            F.count_if(comparable).alias("comparable"), F.count_if(equal).alias("matched"),
-            F.array_sort(F.collect_set(F.when(equal, F.col("col")))).alias("matched_columns"))
-        return per_row.filter((F.col("matched") > 0) & (F.col("matched") * 2 >= F.col("comparable")))
+        by_column = kept.select(*STRETCH, F.inline("kept")).groupBy(*STRETCH, "col").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        # Every later stretch of a sheet, also one where the column has no number itself.
+        later = self._later.join(by_column.select("file_id", "col").distinct(), "file_id")
+        begun = later.join(by_column, ["file_id", "chunk", "col"], "left").select(
+            *STRETCH, "col", F.coalesce(F.sum("s").over(across), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n").over(across), F.lit(0)).alias("n"))
+        return begun.filter("n > 0").groupBy(*STRETCH).agg(
+            F.array_sort(F.collect_list(F.struct("col", "s", "n"))).alias("entry"))
 
     @cached_property
-    def arithmetic(self) -> DataFrame:
-        """Rows that restate the rows above, once no row's answer changes any more.
+    def _later(self) -> DataFrame:
+        """The stretches of sheets that have more than one."""
+        own = self.data.select(*STRETCH).distinct()
+        several = own.groupBy("file_id").agg(F.count(F.lit(1)).alias("stretches")).filter("stretches > 1").select("file_id")
+        return durable(own.join(several, "file_id", "left_semi"))
+
+    def _folded(self, rows: DataFrame, entries: DataFrame) -> DataFrame:
+        """One row a stretch: the rows in it that restate the rows above, and what its kept rows add up to."""
+        ordered = rows.join(entries, STRETCH, "left").select(
+            *STRETCH, "row_no", "numbers", "second_header", F.col("label").isNotNull().alias("labelled"), "entry")
+        ordered = ordered.repartition(*STRETCH).sortWithinPartitions(*STRETCH, "row_no")
+        out = ("file_id string, chunk long, found array<struct<row_no:long,comparable:long,matched:long,matched_columns:array<int>>>, "
+               "kept array<struct<col:int,s:double,n:long>>")
+        return ordered.mapInArrow(_fold, out)
 
-        Each row's answer depends only on rows above it, so there is one stable answer; rounds run
-        over all sheets at once and end when a round repeats the last. Labelled rows are set aside from
-        the start, so only unlabelled totals cost another round.
+    @cached_property
+    def arithmetic(self) -> DataFrame:
+        """Rows that restate the rows above: a fold over the rows of a sheet, in stretches side by side.
+
+        What a stretch does depends on the rows before it only through a summary: for each column the sum of the kept
+        values and whether there are enough of them. Each stretch is first folded as if all unlabelled rows before it
+        were kept, and its own kept rows are summed up; the summaries added in order tell each stretch what really came
+        before it. Stretches whose summary differs from what was assumed, as an unlabelled total stood before them, are
+        folded again. A sheet of one stretch takes one pass; a later pass settles at least the first stretch that was
+        wrong, so there are never more passes than stretches, and for rows that add up to nothing one is enough.
         """
-        unlabelled = self.data.filter("label IS NULL").select("file_id", "row_no")
-        aside, found = None, durable(self._matches(None))
-        while True:
-            now = durable(found.select("file_id", "row_no").join(unlabelled, ["file_id", "row_no"], "left_semi"))
-            if aside is None:
-                changed = now.limit(1).count()
-            else:
-                changed = now.exceptAll(aside).limit(1).count() + aside.exceptAll(now).limit(1).count()
-            if not changed:
-                return found
-            aside = now
-            found = durable(self._matches(aside))
+        rows = self.data
+        plain = rows.filter("label IS NULL AND NOT second_header").join(self._later.select("file_id").distinct(), "file_id", "left_semi")
+        assumed = plain.select(*STRETCH, F.posexplode("numbers").alias("col", "v")).filter("v IS NOT NULL").groupBy(*STRETCH, "col").agg(
+            F.sum("v").alias("s"), F.count("v").alias("n"))
+        entries = durable(self._carried(assumed.groupBy(*STRETCH).agg(F.collect_list(F.struct("col", "s", "n")).alias("kept"))))
+        done = durable(self._folded(rows, entries))
+        most = self._later.groupBy("file_id").count().agg(F.max("count")).first()[0] or 0
+        for _ in range(most):
+            now = durable(self._carried(done.join(self._later, STRETCH, "left_semi")))
+            old = entries.withColumnRenamed("entry", "before")
+            same = F.coalesce(F.forall(F.zip_with("entry", "before", _same_start), lambda x: x), F.lit(False))
+            changed = durable(now.join(old, STRETCH, "full").filter(~same).select(*STRETCH))
+            if not changed.count():
+                break
+            again = self._folded(rows.join(changed, STRETCH, "left_semi"), now)
+            entries, done = now, durable(done.join(changed, STRETCH, "left_anti").unionByName(again))
+        return durable(done.select(*STRETCH, F.inline("found")))
 
     def arithmetic_match(self) -> DataFrame:
         return self.arithmetic.select("file_id", "row_no", "comparable", "matched", "matched_columns")

@@ -258,3 +258,61 @@ def test_a_point_read_opens_one_row_group(spark, tmp_path):
         assert read.count() == 1 and rows_scanned(read) < 40_000 / 4
     finally:
         spark.conf.unset("parquet.block.size")
+
+
+def seeded_sheets(n):
+    """Sheets with unlabelled and labelled totals, running totals, zeros, gaps and second headers."""
+    rnd, out = random.Random(11), {}
+    for k in range(n):
+        width = rnd.randint(1, 4)
+        rows, sums = [["name", *[f"m{c}" for c in range(width)]]], [[] for _ in range(width)]
+        for i in range(rnd.randint(3, 22)):
+            kind = rnd.random()
+            if kind < 0.12 and i > 1:
+                cells = [str(sum(s)) if rnd.random() < 0.8 else str(rnd.randint(0, 9)) for s in sums]
+                rows.append([rnd.choice(["", "Total", "all", None]), *cells])
+            elif kind < 0.17:
+                rows += [[], ["part", *["units"] * width]]
+            elif kind < 0.22:
+                rows.append([])
+            else:
+                values = [rnd.choice([0, 0, 1, 2, 5, 10]) if rnd.random() < 0.85 else None for _ in range(width)]
+                rows.append([f"r{i}", *[None if v is None else str(v) for v in values]])
+                for s, v in zip(sums, values):
+                    s += [] if v is None else [v]
+        out[f"s{k:03d}"] = rows
+    out["zeros"] = [["k", "v"]] + [["a", "0"]] * 40
+    out["running"] = [["k", "v"]] + [["a", str(v)] for v in (1, 1, 2, 2, 4, 6, 6, 12, 3, 15, 15, 30, 30)]
+    return out
+
+
+def plain_fold(rows):
+    kept, found = [], []
+    for r in rows:
+        if r.second_header:
+            continue
+        comparable, equal = 0, []
+        for c, v in enumerate(r.numbers):
+            above = [k[c] for k in kept if c < len(k) and k[c] is not None]
+            if v is not None and len(above) >= 2:
+                comparable += 1
+                if abs(v - sum(above)) <= 1e-9 * max(1, abs(v), abs(sum(above))):
+                    equal.append(c)
+        if equal and 2 * len(equal) >= comparable:
+            found.append((r.row_no, comparable, len(equal), equal))
+        elif r.label is None:
+            kept.append(r.numbers)
+    return found
+
+
+@pytest.mark.parametrize("stretch", [3, 10_000])
+def test_stretches_fold_like_a_plain_fold(spark, monkeypatch, stretch):
+    monkeypatch.setattr(G, "CHUNK_ROWS", stretch)
+    sheets = G.Sheets(grid_of(spark, seeded_sheets(250)))
+    data, found = {}, {}
+    for r in sheets.data.orderBy("row_no").collect():
+        data.setdefault(r.file_id, []).append(r)
+    for r in sheets.arithmetic_match().orderBy("row_no").collect():
+        found.setdefault(r.file_id, []).append((r.row_no, r.comparable, r.matched, list(r.matched_columns)))
+    expected = {k: plain_fold(rows) for k, rows in data.items()}
+    assert found == {k: f for k, f in expected.items() if f} and len(found) > 100
