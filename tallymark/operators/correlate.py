@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values as V
-from ..session import shuffle_width
+from ..session import durable
+from .comoments import as_arrays, matrix_of, pearson_matrix, product_sums
 from .profile import Profile
-from .ranks import average_ranks
+from .ranks import attach_ranks
 from .table import Table, chunks
 
 # --- fixed values -----------------------------------------------------------
@@ -24,8 +28,6 @@ GRID_CELLS = 20
 MATRIX_COLUMNS = 8
 # ----------------------------------------------------------------------------
 PAIRS_PER_SCAN = 40
-# Rows of a value and its rank that may be broadcast.
-BROADCAST_RANKS = 200_000
 
 
 def column_pairs(columns: list[str]) -> list[tuple[str, str]]:
@@ -43,68 +45,93 @@ def _q(c: str) -> Column:
     return F.col(V.quoted(c))
 
 
-def pair_moments(numbers: DataFrame, pairs: list[tuple[str, str]], name: str) -> DataFrame:
-    """``a, b, n, <name>`` for each pair, all pairs of a chunk in one scan."""
-    out = None
+def _exact_moments(numbers: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Coefficients by centred aggregates, a few pairs a scan: for pairs whose sums lie close to rounding."""
+    found = {}
     for part in chunks(pairs, PAIRS_PER_SCAN):
-        structs = [
-            F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"),
-                F.count_if(_q(a).isNotNull() & _q(b).isNotNull()).alias("n"),
-                pearson_of(_q(a), _q(b)).alias(name))
-            for a, b in part
-        ]
-        one = numbers.agg(F.array(*structs).alias("s")).select(F.inline("s"))
-        out = one if out is None else out.unionByName(one)
+        row = numbers.agg(*[pearson_of(_q(a), _q(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
+        found |= {pair: row[f"r{i}"] for i, pair in enumerate(part)}
+    return found
+
+
+def _moments(numbers: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[int, float | None]]:
+    """Complete rows and Pearson coefficient of each pair, all pairs in one scan."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    n, r, unsure = pearson_matrix(numbers, columns)
+    at = {c: k for k, c in enumerate(columns)}
+    exact = _exact_moments(numbers, [p for p in pairs if unsure[at[p[0]], at[p[1]]]])
+    out = {}
+    for pair in pairs:
+        i, k = at[pair[0]], at[pair[1]]
+        value = exact[pair] if pair in exact else (None if np.isnan(r[i, k]) else float(r[i, k]))
+        out[pair] = (int(n[i, k]), value)
     return out
 
 
-def _attach_rank(rows: DataFrame, column: str, distinct_bound: int, row_count: int) -> DataFrame:
-    """Replaces a column by the average rank of its values.
+def _ranked(numbers: DataFrame, counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float | None]:
+    """Pearson coefficients of the ranks, ranked over each pair's complete rows, all pairs in one pass.
 
-    Few distinct values: the rank table is small and is broadcast (its size is the
-    distinct count, checked here). Many: rows meet their rank by a shuffle on the value,
-    with every value holding a large share of the rows spread over several tasks.
+    A column is ranked once for all pairs that keep all its rows, and once more for each pair with gaps. Every such
+    ranking is a key; all keys are counted, ranked and joined together, and rows meet again with all their ranks.
     """
-    counts = rows.groupBy(_q(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).filter("_v IS NOT NULL")
-    ranked = average_ranks(counts, [], "_v", "_n", rows_bound=distinct_bound)
-    others = [c for c in rows.columns if c != column]
-    kept = [*[_q(c) for c in others], F.col("rank").alias(column)]
-    if distinct_bound <= BROADCAST_RANKS:
-        small = F.broadcast(ranked.select("_v", "rank"))
-        return rows.join(small, _q(column) == F.col("_v"), "left").select(*kept)
-    width = shuffle_width(rows.sparkSession)
-    heavy = max(row_count // (4 * width), 1)
-    # At most 4 * width values can each hold this share of the rows.
-    hot = F.broadcast(counts.filter(F.col("_n") > heavy).select(F.col("_v").alias("_hot")))
-    salted = rows.join(hot, _q(column) == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(width))).otherwise(0))
-    spread = ranked.withColumn(
-        "_s", F.explode(F.when(F.col("_n") > heavy, F.sequence(F.lit(0), F.lit(width - 1))).otherwise(
-            F.array(F.lit(0)))))
-    return salted.join(
-        spread, (_q(column) == F.col("_v")) & (F.col("_salt") == F.col("_s")), "left").select(*kept)
+    columns = list(dict.fromkeys(c for pair in counts for c in pair))
+    at, width = {c: k for k, c in enumerate(columns)}, len(columns)
+    rows = durable(as_arrays(numbers, columns, F.monotonically_increasing_id().alias("id")))
+    totals = rows.agg(F.array(*[F.count(F.col("x")[k]) for k in range(width)])).first()[0]
+    keys: dict[tuple[int, int], int] = {}
+    sizes: list[int] = []
+
+    def key(own: int, other: int, n: int) -> int:
+        name = (own, own if totals[own] == n else other)
+        if name not in keys:
+            keys[name] = len(keys)
+            sizes.append(n)
+        return keys[name]
+
+    wanted = [(key(at[a], at[b], n), key(at[b], at[a], n)) for (a, b), n in counts.items()]
+    own, other = (np.array(x) for x in zip(*keys))
+
+    def cells(batches):
+        for batch in batches:
+            x = matrix_of(batch, width)
+            ids, there = batch.column("id").to_numpy(), ~np.isnan(x)
+            for k, (c, partner) in enumerate(zip(own, other)):
+                both = there[:, c] & there[:, partner]
+                yield pa.record_batch([pa.array(ids[both]), pa.array(np.full(int(both.sum()), k, np.int32)), pa.array(x[both, c] + 0.0)],
+                                      names=["id", "key", "value"])
+
+    ranked = attach_ranks(rows.mapInArrow(cells, "id long, key int, value double"), ["key"], "value")
+    middle = F.element_at(F.array(*[F.lit((n + 1) / 2) for n in sizes]), F.col("key") + 1)
+    whole = ranked.groupBy("id").agg(F.collect_list(F.struct("key", (F.col("rank") - middle).alias("z"))).alias("cells"))
+    t = product_sums(whole.select("cells"), [a for a, _ in wanted], [b for _, b in wanted], len(keys))
+    out = {}
+    for i, pair in enumerate(counts):
+        spread = math.sqrt(t["aa"][i]) * math.sqrt(t["bb"][i])
+        out[pair] = max(-1.0, min(1.0, float(t["ab"][i]) / spread)) if spread > 0 else None
+    return out
+
+
+def pair_moments(numbers: DataFrame, pairs: list[tuple[str, str]], name: str = "pearson") -> DataFrame:
+    """``a, b, n, <name>`` for each pair; one record a pair comes from the driver."""
+    found = _moments(numbers, pairs)
+    return numbers.sparkSession.createDataFrame(
+        [(a, b, n, r) for (a, b), (n, r) in found.items()], f"a string, b string, n long, `{name}` double")
 
 
 def spearman(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``a, b, n, spearman``: Pearson of the ranks, ranked over each pair's complete rows.
+    """``a, b, n, spearman``: Pearson of the ranks, ranked over each pair's complete rows."""
+    counts = {pair: n for pair, (n, _) in _moments(table.readings, pairs).items()}
+    found = _ranked(table.readings, counts)
+    return table.spark.createDataFrame([(a, b, counts[a, b], r) for (a, b), r in found.items()], "a string, b string, n long, spearman double")
 
-    Columns without gaps share one ranking; a pair with gaps is ranked on its own rows.
-    """
-    facts = table.facts
-    whole = {c for pair in pairs for c in pair if facts[c].numbers == facts[c].row_count}
-    shared = [p for p in pairs if p[0] in whole and p[1] in whole]
-    groups = [shared] if shared else []
-    groups += [[p] for p in pairs if p not in shared]
-    out = None
-    for group in groups:
-        columns = list(dict.fromkeys(c for pair in group for c in pair))
-        rows = table.readings.select(*[_q(c) for c in columns]).dropna(subset=[V.quoted(c) for c in columns])
-        for c in columns:
-            rows = _attach_rank(rows, c, table.distinct_bound(c), facts[c].row_count)
-        one = pair_moments(rows, group, "spearman")
-        out = one if out is None else out.unionByName(one)
-    return out
+
+def coefficients(table: Table, pairs: list[tuple[str, str]], ranks: bool = True) -> DataFrame:
+    """``a, b, n, pearson, spearman`` for each pair, unrounded; the number of scans does not depend on the number of pairs."""
+    moments = _moments(table.readings, pairs)
+    ranked = _ranked(table.readings, {pair: n for pair, (n, _) in moments.items()}) if ranks else {}
+    return table.spark.createDataFrame(
+        [(a, b, n, r, ranked.get((a, b))) for (a, b), (n, r) in moments.items()],
+        "a string, b string, n long, pearson double, spearman double")
 
 
 def correlate(
@@ -120,12 +147,7 @@ def correlate(
               "coverage double, rows_considered long, strength string, small_sample boolean, caveat string")
     if not pairs:
         return table.spark.createDataFrame([], schema)
-    found = pair_moments(table.readings, pairs, "pearson")
-    if method == "pearson":
-        found = found.withColumn("spearman", F.lit(None).cast("double"))
-    else:
-        # One row per pair on both sides.
-        found = found.join(F.broadcast(spearman(table, pairs).drop("n")), ["a", "b"], "left")
+    found = coefficients(table, pairs, ranks=method != "pearson")
     p, s = F.col("pearson"), F.col("spearman")
     by_rank = p.isNull() | (s.isNotNull() & (F.abs(s) - F.abs(p) >= METHOD_GAP))
     coefficient = F.when(by_rank, s).otherwise(p)
@@ -146,8 +168,10 @@ def correlate(
             V.correlation_strength(F.col("c")).alias("strength"),
             (F.col("n") <= SMALL_SAMPLE).alias("small_sample"),
             F.nullif(caveat, F.lit("")).alias("caveat"))
-        .orderBy(F.desc(F.abs("coefficient")), F.collate("a", "UNICODE"), F.collate("b", "UNICODE")).limit(limit)
+        .orderBy(F.desc(F.abs("coefficient")), F.collate("a", "UNICODE"), F.collate("b", "UNICODE"))
     )
+    if limit is not None:
+        reported = reported.limit(limit)
     if touching is not None:
         reported = reported.filter((F.col("a") == touching) | (F.col("b") == touching))
     return reported

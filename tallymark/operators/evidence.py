@@ -11,7 +11,8 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import values as V
-from .correlate import MIN_PAIRS, MIN_REPORTED, METHOD_GAP, SMALL_SAMPLE, _attach_rank, correlate, pearson_of
+from .correlate import MIN_PAIRS, MIN_REPORTED, METHOD_GAP, SMALL_SAMPLE, correlate, pearson_of
+from .ranks import attach_ranks
 from .infer import categorical_association, welch
 from .profile import Profile
 from .shifts import level_shift, ordered_series
@@ -322,7 +323,7 @@ class Evidence:
             return self.none()
         place, value = F.col("position"), F.col("value")
         pairs = self.series.select("position", "value")
-        ranked = _attach_rank(pairs, "value", self.table.distinct_bound(self.target), self.row_count)
+        ranked = attach_ranks(pairs, [], "value").select("position", F.col("rank").alias("value"))
         found = pairs.agg(F.count(F.lit(1)).alias("n"), pearson_of(place.cast("double"), value).alias("p")).join(
             F.broadcast(ranked.agg(pearson_of(place.cast("double"), value).alias("s"))))
         p, s = F.col("p"), F.col("s")

@@ -102,7 +102,7 @@ def categorical_association(table: Table, pairs: list[tuple[str, str]]) -> DataF
     return chi_square(contingency(table, pairs))
 
 
-def ks_two_sample(values: DataFrame, keys: list[str], *, distinct_bound: int | None = None) -> DataFrame:
+def ks_two_sample(values: DataFrame, keys: list[str]) -> DataFrame:
     """Largest gap between the two running shares, per key.
 
     ``values`` holds ``keys, value, current`` (a boolean). Equal values are counted
@@ -110,7 +110,7 @@ def ks_two_sample(values: DataFrame, keys: list[str], *, distinct_bound: int | N
     """
     steps = values.filter("value IS NOT NULL").groupBy(*keys, "value").agg(
         F.count_if(~F.col("current")).alias("n_base"), F.count_if(F.col("current")).alias("n_cur"))
-    run = running_before(steps, keys, ["value"], ["n_base", "n_cur"], rows_bound=distinct_bound)
+    run = running_before(steps, keys, ["value"], ["n_base", "n_cur"])
     totals = steps.groupBy(*keys).agg(F.sum("n_base").alias("baseline_n"), F.sum("n_cur").alias("current_n"))
     share = [
         (F.col(f"{s}_before") + F.col(s)) / F.col(t) for s, t in (("n_base", "baseline_n"), ("n_cur", "current_n"))

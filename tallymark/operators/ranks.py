@@ -17,8 +17,6 @@ from ..functions.values import quoted
 from ..session import durable, shuffle_width
 from .table import chunks
 
-# Rows of a few plain columns one task may sort; above it the sliced form is used.
-ONE_TASK_ROWS = 1_000_000
 # Values one search may gather at its end.
 GATHERED_VALUES = 100_000
 # Distinct values the in-memory exact percentile may keep per column.
@@ -33,18 +31,8 @@ def in_slices(df: DataFrame, order: list[str]) -> DataFrame:
     return durable(df.repartitionByRange(n, *order).withColumn("_slice", F.spark_partition_id()))
 
 
-def running_before(
-    df: DataFrame, keys: list[str], order: list[str], measures: list[str], *, rows_bound: int | None
-) -> DataFrame:
-    """Adds ``<measure>_before``: the sum over strictly earlier rows of the same key.
-
-    ``order`` must be unique within a key. ``rows_bound`` is a known upper bound on
-    the rows per key, or None; only under a small bound does one task sort a key.
-    """
-    if rows_bound is not None and rows_bound <= ONE_TASK_ROWS:
-        w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-        w = w.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"{m}_before") for m in measures])
+def running_before(df: DataFrame, keys: list[str], order: list[str], measures: list[str]) -> DataFrame:
+    """Adds ``<measure>_before``: the sum over strictly earlier rows of the same key. ``order`` must be unique within a key."""
     sliced = in_slices(df, [*keys, *order])
     inner = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     outer = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_slice")
@@ -58,7 +46,7 @@ def running_before(
     joined = sliced.select(
         "*", *[F.coalesce(F.sum(m).over(inner), F.lit(0)).alias(f"{m}_before") for m in measures]
     ).join(
-        carried,
+        carried if keys else F.broadcast(carried),  # without keys one row a slice
         on=[F.col("_slice") == F.col("_s"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]],
     )
     return joined.select(
@@ -67,23 +55,38 @@ def running_before(
     )
 
 
-def with_position(df: DataFrame, order: list[str], *, rows_bound: int | None, name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, order: list[str], *, name: str = "position") -> DataFrame:
     """0-based place of each row in the order."""
-    ones = running_before(df.withColumn("_one", F.lit(1)), [], order, ["_one"], rows_bound=rows_bound)
+    ones = running_before(df.withColumn("_one", F.lit(1)), [], order, ["_one"])
     return ones.withColumnRenamed("_one_before", name).drop("_one")
 
 
-def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str, *, rows_bound: int | None) -> DataFrame:
+def average_ranks(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
     """Adds ``rank`` to value counts: 1-based, ties share the mean of the places they cover."""
-    ranked = running_before(counts, keys, [value], [n], rows_bound=rows_bound)
+    ranked = running_before(counts, keys, [value], [n])
     return ranked.withColumn("rank", F.col(f"{n}_before") + (F.col(n) + 1) / 2).drop(f"{n}_before")
 
 
-def rank_average(df: DataFrame, column: Column, *, distinct_bound: int | None = None) -> DataFrame:
+def rank_average(df: DataFrame, column: Column) -> DataFrame:
     """``value, n, rank`` over the non-null values of a column."""
     counts = df.select(column.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(
         F.count(F.lit(1)).alias("n"))
-    return average_ranks(counts, [], "value", "n", rows_bound=distinct_bound)
+    return average_ranks(counts, [], "value", "n")
+
+
+def attach_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with the average ``rank`` of their value among the rows of their key; rows without a value are dropped.
+
+    Values are counted and ranked; each row then meets its value. A value that holds a large share of all rows is
+    broadcast, of which there can only be a few for each partition, so its rows stay where they are.
+    """
+    on = [*keys, value]
+    rows = rows.filter(F.col(value).isNotNull())
+    ranked = durable(average_ranks(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), keys, value, "_n"))
+    heavy = (ranked.agg(F.sum("_n")).first()[0] or 0) // (4 * shuffle_width(rows.sparkSession)) + 1
+    hot = F.broadcast(ranked.filter(F.col("_n") >= heavy).drop("_n"))
+    mild = ranked.filter(F.col("_n") < heavy).drop("_n")
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(mild, on))
 
 
 def beside_totals(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,7 +106,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     counts, and the wanted places are read off the running counts.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_before(counts, keys, [value], ["_n"], rows_bound=None)
+    placed = running_before(counts, keys, [value], ["_n"])
     totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     at = beside_totals(placed, totals, keys)
 

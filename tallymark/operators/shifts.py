@@ -38,7 +38,7 @@ def ordered_series(table: Table, date_column: str, target: str) -> DataFrame:
     rows = table.df.select(
         D.micros(table.moment(date_column)).alias("at"), table.order_column().cast("long").alias("row"),
         table.number(target).alias("value")).filter("at IS NOT NULL AND value IS NOT NULL")
-    return durable(with_position(rows, ["at", "row"], rows_bound=table.row_count))
+    return durable(with_position(rows, ["at", "row"]))
 
 
 def mad(df: DataFrame, value: str = "value") -> dict[str, float]:

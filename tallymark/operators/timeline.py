@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import dates as D, values as V
-from .ranks import ONE_TASK_ROWS, in_slices, order_statistics
+from .ranks import in_slices, order_statistics
 from .table import Table
 
 # --- fixed values -----------------------------------------------------------
@@ -134,9 +134,6 @@ class Timeline:
         """Positive steps between consecutive distinct moments, in microseconds."""
         distinct = self._moments().groupBy("ts").agg(F.count(F.lit(1)).alias("n")).select(
             D.micros(F.col("ts")).alias("at"), "n")
-        if self.facts.dates <= ONE_TASK_ROWS:
-            whole = W.partitionBy(F.lit(0)).orderBy("at")
-            return distinct.select("n", (F.col("at") - F.lag("at").over(whole)).alias("step"))
         sliced = in_slices(distinct, ["at"])
         # One row per slice: where the nearest earlier slice ended.
         ends = sliced.groupBy("_slice").agg(F.max("at").alias("end"))
@@ -144,7 +141,7 @@ class Timeline:
             F.col("_slice").alias("_s"), F.lag("end").over(W.partitionBy(F.lit(0)).orderBy("_slice")).alias("carried"))
         inner = W.partitionBy("_slice").orderBy("at")
         joined = sliced.withColumn("prev", F.lag("at").over(inner)).join(
-            before, F.col("_slice") == F.col("_s"), "left")
+            F.broadcast(before), F.col("_slice") == F.col("_s"), "left")
         return joined.select("n", (F.col("at") - F.coalesce("prev", "carried")).alias("step"))
 
     def irregular_intervals(self) -> DataFrame:

@@ -835,6 +835,30 @@ def correlate(spark, sf):
     return out.select("a", "b", "method", "coefficient", "n", "coverage")
 
 
+def _positions(spark, sf) -> Table:
+    """Every position of the vectors as a column; the last eight have gaps of their own."""
+    vectors = N.load(spark, sf, "embeddings")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    x = [F.get("embedding", F.lit(k)).cast("double") for k in range(width)]
+    return Table(vectors.select(*[
+        F.when(F.col("vec_id") % (k - width + 12) != 0, c).alias(f"e{k}") if k >= width - 8 else c.alias(f"e{k}") for k, c in enumerate(x)]))
+
+
+@query("""WITH w AS (SELECT max(len(embedding)) AS w FROM embeddings),
+  l AS (SELECT vec_id, p - 1 AS p, CAST(embedding[p] AS DOUBLE) AS x FROM embeddings, w, unnest(range(1, w + 1)) t(p)
+    WHERE p - 1 < w - 8 OR vec_id % (p - 1 - w + 12) <> 0),
+  j AS (SELECT a.p AS p, b.p AS q, a.x AS x, b.x AS y FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.p < b.p),
+  r AS (SELECT *, rank() OVER (PARTITION BY p, q ORDER BY x) + (count(*) OVER (PARTITION BY p, q, x) - 1) / 2 AS rx,
+    rank() OVER (PARTITION BY p, q ORDER BY y) + (count(*) OVER (PARTITION BY p, q, y) - 1) / 2 AS ry FROM j)
+  SELECT 'e' || p AS a, 'e' || q AS b, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman
+  FROM r GROUP BY p, q""")
+def correlate_positions(spark, sf):
+    """All pairs of the positions of the vectors at once, with gaps: one scan for Pearson, one pass for ranks."""
+    t = _positions(spark, sf)
+    return C.coefficients(t, C.column_pairs(t.columns)).select(
+        "a", "b", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
 @query("""SELECT c_custkey AS "row", round(c_nationkey, 4) AS x, round(c_acctbal, 4) AS y FROM customer""")
 def scatter_points(spark, sf):
     return C.scatter_points(N.table(spark, sf, "customer", row_id="c_custkey"), "c_nationkey", "c_acctbal")

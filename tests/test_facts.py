@@ -68,19 +68,40 @@ def test_sliced_ranks_do_not_depend_on_partitioning(spark, parts):
     rng = np.random.default_rng(3)
     v = rng.integers(0, 500, 3000).astype(float)
     df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(parts)
-    got = {r.value: r["rank"] for r in R.rank_average(df, F.col("v"), distinct_bound=None).collect()}
+    got = {r.value: r["rank"] for r in R.rank_average(df, F.col("v")).collect()}
     for x in (v.min(), v.max(), v[17]):
         assert got[x] == (v < x).sum() + ((v == x).sum() + 1) / 2
 
 
-def test_salted_ranks_equal_broadcast_ranks(spark, monkeypatch):
+def test_coefficients_of_many_gappy_columns(spark):
+    """Against plain ones, pair by pair: gaps, ties, a hot value, a constant column, one with two values, one nearly empty."""
     rng = np.random.default_rng(5)
-    rows = [(float(7 if rng.random() < 0.4 else rng.integers(0, 900)), float(rng.normal())) for _ in range(3000)]
-    t = Table(spark.createDataFrame(rows, "a double, b double"))
-    small = C.spearman(t, [("a", "b")]).first().spearman
-    monkeypatch.setattr(C, "BROADCAST_RANKS", 10)
-    monkeypatch.setattr(R, "ONE_TASK_ROWS", 10)
-    assert C.spearman(t, [("a", "b")]).first().spearman == pytest.approx(small, abs=1e-12)
+    n, width = 700, 9
+    x = rng.normal(size=(n, width)) * 10.0 ** np.arange(width) + 1e6
+    x[:, 1] = np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 90, n))
+    x[:, 2] += x[:, 0]
+    x[:, 3] = 4.25
+    x[rng.random((n, width)) < np.array([0, 0, 0, 0, 0.1, 0.5, 0.1, 0.9, 0.2])] = np.nan
+    x[5:, 8] = np.where(np.isnan(x[5:, 7]), x[5:, 8], 3.0)  # constant where column 7 is there
+    x[:5, 8] = np.nan
+    names = [f"c{k}" for k in range(width)]
+    frame = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{c} double" for c in names))
+    found = {(r.a, r.b): r for r in C.coefficients(Table(frame.repartition(4)), C.column_pairs(names)).collect()}
+    assert len(found) == 36
+
+    def ranks(v):
+        return np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+
+    def corr(a, b):
+        return None if len(a) == 0 or np.ptp(a) == 0 or np.ptp(b) == 0 else float(np.corrcoef(a, b)[0, 1])
+
+    for (a, b), r in found.items():
+        p, q = x[:, int(a[1])], x[:, int(b[1])]
+        both = ~np.isnan(p) & ~np.isnan(q)
+        assert r.n == both.sum()
+        assert r.pearson == (None if corr(p[both], q[both]) is None else pytest.approx(corr(p[both], q[both]), abs=1e-9))
+        assert r.spearman == (None if r.pearson is None else pytest.approx(corr(ranks(p[both]), ranks(q[both])), abs=1e-12))
+    assert found["c7", "c8"].pearson is None and found["c0", "c3"].pearson is None
 
 
 def test_large_magnitudes_correlate_exactly(spark):
