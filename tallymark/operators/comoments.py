@@ -47,7 +47,8 @@ def summed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return out
 
 
-def _rows(matrices: dict[str, np.ndarray]) -> pa.RecordBatch:
+def matrix_rows(matrices: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A task's sums as ``summed`` takes them: one record a row of the matrices."""
     size = len(next(iter(matrices.values())))
     return pa.record_batch(
         [pa.array(range(size), pa.int32()), *[pa.array(list(m), pa.list_(pa.float64())) for m in matrices.values()]],
@@ -74,7 +75,7 @@ def pearson_matrix(numbers: DataFrame, columns: list[str]) -> tuple[np.ndarray,
                 s += x.T @ m
                 q += (x * x).T @ m
                 c += x.T @ x
-        yield _rows({"n": n, "s": s, "q": q, "c": c})
+        yield matrix_rows({"n": n, "s": s, "q": q, "c": c})
 
     t = summed(as_arrays(numbers, columns), run, ["n", "s", "q", "c"], width, width)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -107,6 +108,6 @@ def product_sums(rows: DataFrame, left: list[int], right: list[int], width: int)
                     sums["ab"][0, part] += np.einsum("ij,ij->j", x, y)
                     sums["aa"][0, part] += np.einsum("ij,ij->j", x, x)
                     sums["bb"][0, part] += np.einsum("ij,ij->j", y, y)
-        yield _rows(sums)
+        yield matrix_rows(sums)
 
     return {n: m[0] for n, m in summed(rows, run, ["ab", "aa", "bb"], 1, len(a)).items()}

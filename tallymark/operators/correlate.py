@@ -214,9 +214,9 @@ def scatter(table: Table, a: str, b: str) -> DataFrame:
     return density_grid(table, a, b).withColumn("kind", F.lit("grid"))
 
 
-def correlation_matrix(profile: Profile, reported: DataFrame | None = None) -> DataFrame:
-    """Symmetric grid over the first eight numeric columns; an unreported pair is null, never 0."""
-    shown = profile.numeric[:MATRIX_COLUMNS]
+def correlation_matrix(profile: Profile, reported: DataFrame | None = None, shown_columns: int | None = MATRIX_COLUMNS) -> DataFrame:
+    """Symmetric grid over the leading numeric columns; an unreported pair is null, never 0."""
+    shown = profile.numeric[:shown_columns]
     if reported is None:
         reported = correlate(profile.table, profile.numeric)
     sides = reported.select("a", "b", "coefficient").unionByName(

@@ -6,6 +6,7 @@ by strength, size and claim.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -89,9 +90,22 @@ def pooled_effect(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2
     return F.when(pooled != 0, (m1 - m2) / pooled)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a report shows; None shows all. Everything is computed either way, and cut only where it is reported."""
+
+    groups: int | None = MAX_GROUPS
+    association_columns: int | None = ASSOCIATION_COLUMNS
+    outlier_columns: int | None = OUTLIER_COLUMNS
+    evidence: int | None = MAX_EVIDENCE
+
+
+ALL = Limits(None, None, None, None)
+
+
 class Evidence:
-    def __init__(self, profile: Profile, target: str | None = None):
-        self.profile, self.table, self.target = profile, profile.table, target
+    def __init__(self, profile: Profile, target: str | None = None, limits: Limits = Limits()):
+        self.profile, self.table, self.target, self.limits = profile, profile.table, target, limits
         self.spark, self.row_count = self.table.spark, self.table.row_count
 
     def none(self) -> DataFrame:
@@ -123,18 +137,16 @@ class Evidence:
     # -- target by group and by missingness ---------------------------------
 
     def group_stats(self) -> DataFrame:
-        """Count, mean and both variances of the target for the retained levels of each category."""
+        """Count, mean and both variances of the target for every level of each category, and the level's place by rows."""
         columns = [c for c in self.profile.categories() if c != self.target]
-        kept = [(c, t.value) for c in columns for t in self.profile.levels[c].top[:MAX_GROUPS]]
         cells = F.array(*[F.struct(F.lit(c).alias("column"), self.table.level(c).alias("level")) for c in columns])
-        y = self.table.number(self.target).alias("y")
-        rows = self.table.df.select(y, F.inline(cells)).filter("level IS NOT NULL AND y IS NOT NULL")
-        # At most six retained levels per category column.
-        levels = self.spark.createDataFrame(kept, "column string, level string")
-        stats = rows.join(F.broadcast(levels), ["column", "level"]).groupBy("column", "level").agg(
-            F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var_pop"),
+        rows = self.table.df.select(self.table.number(self.target).alias("y"), F.inline(cells)).filter("level IS NOT NULL")
+        stats = rows.groupBy("column", "level").agg(
+            F.count(F.lit(1)).alias("rows"), F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("var_pop"),
             F.var_samp("y").alias("var_samp"))
-        return stats.filter(F.col("n") >= MIN_GROUP)
+        # A category has at most 25 levels.
+        w = W.partitionBy("column").orderBy(F.desc("rows"), F.collate("level", "UNICODE"))
+        return stats.withColumn("level_place", F.row_number().over(w)).filter(F.col("n") >= MIN_GROUP)
 
     def group_differences(self) -> DataFrame:
         columns = [c for c in self.profile.categories() if c != self.target]
@@ -142,8 +154,11 @@ class Evidence:
             return self.none()
         w = W.partitionBy("column").orderBy(F.desc("mean"), F.collate("level", "UNICODE"))
         group = F.struct("level", "n", "mean", "var_pop", "var_samp")
+        shown = self.group_stats()
+        if self.limits.groups is not None:
+            shown = shown.filter(F.col("level_place") <= self.limits.groups)
         ends = (
-            self.group_stats().withColumn("place", F.row_number().over(w)).groupBy("column").agg(
+            shown.withColumn("place", F.row_number().over(w)).groupBy("column").agg(
                 F.min_by(group, "place").alias("top"), F.max_by(group, "place").alias("bottom"),
                 F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"),
                 F.transform(F.array_sort(F.collect_list(F.struct("place", "level"))), lambda x: x.level).alias("levels"))
@@ -212,7 +227,6 @@ class Evidence:
         columns = self.profile.categories(at_least=2)
         if self.target in columns:
             columns = [self.target, *[c for c in columns if c != self.target]]
-        columns = columns[:ASSOCIATION_COLUMNS]
         return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]
                 if self.target is None or self.target in (a, b)]
 
@@ -220,7 +234,9 @@ class Evidence:
         pairs = self.association_pairs()
         if not pairs:
             return self.none()
-        found = categorical_association(self.table, pairs).filter(F.col("cramers_v") >= MIN_ASSOCIATION)
+        columns = list(dict.fromkeys(c for pair in pairs for c in pair))[: self.limits.association_columns]
+        found = categorical_association(self.table, pairs).filter(
+            (F.col("cramers_v") >= MIN_ASSOCIATION) & F.col("a").isin(columns) & F.col("b").isin(columns))
         v = F.col("cramers_v")
         strength = V.association_strength(v)
         caveat = F.concat_ws(
@@ -373,7 +389,7 @@ class Evidence:
         rows = [
             (c, *self.profile.fences(c), self.profile.outlier_count(c), self.table.facts[c].numbers)
             for c in order if c in self.profile.numeric and self.profile.outlier_count(c)
-        ][:OUTLIER_COLUMNS]
+        ][: self.limits.outlier_columns]
         found = self.spark.createDataFrame(rows, "column string, low double, high double, n long, valid long")
         c, n, valid = F.col("column"), F.col("n"), F.col("valid")
         return evidence_record(
@@ -393,7 +409,7 @@ class Evidence:
         "volume_trend", "period_change", "time_trend", "candidate_shift", "outliers",
     )
 
-    def build(self, limit: int | None = MAX_EVIDENCE) -> DataFrame:
+    def build(self) -> DataFrame:
         # Each family is at most a few dozen records by now.
         parts = [settle(getattr(self, family)()) for family in self.FAMILIES]
-        return rank_evidence(reduce(DataFrame.unionByName, parts), limit)
+        return rank_evidence(reduce(DataFrame.unionByName, parts), self.limits.evidence)

@@ -5,9 +5,16 @@ Nothing here is corrected for multiple tests; results say so where they are repo
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import distributions as S, values as V
+from ..session import durable
+from .comoments import matrix_rows, summed
 from .ranks import beside_totals, running_before
 from .table import Table
 
@@ -18,6 +25,8 @@ SPARSE_EXPECTED = 5
 KS_METHOD = "two-sample KS, asymptotic p-value"
 WELCH_METHOD = "Welch two-sample t test"
 # ----------------------------------------------------------------------------
+# Levels of all coded columns together: a task holds a square of them.
+CODED_LEVELS = 1000
 
 
 def sample_summary(df: DataFrame, value: Column, *keys: str) -> DataFrame:
@@ -63,7 +72,66 @@ def welch_test(df: DataFrame, value: Column, side: Column, *keys: str) -> DataFr
 
 
 def contingency(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``a, b, left, right, n``: joint counts of all pairs, one scan and one shuffle."""
+    """``a, b, left, right, n``: joint counts of all pairs in one scan.
+
+    Columns with few levels are coded as unit vectors, and one product of matrices a batch holds the joint counts of all
+    their pairs, so nothing moves but the sums of the tasks. Pairs with a column of many levels are counted by level.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    levels = _few_levels(table, columns)
+    coded = [p for p in pairs if p[0] in levels and p[1] in levels]
+    rest = [p for p in pairs if p not in set(coded)]
+    parts = ([_coded_counts(table, coded, levels)] if coded else []) + ([_listed_counts(table, rest)] if rest else [])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _few_levels(table: Table, columns: list[str]) -> dict[str, list[str]]:
+    """The levels of the columns with the fewest, while all of them together are at most ``CODED_LEVELS``."""
+    distinct = durable(table.df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), table.level(c).alias("level")) for c in columns]))).filter("level IS NOT NULL").distinct())
+    sizes = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()  # one record a column
+    kept, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r.n, r.column)):
+        total += r.n
+        if total <= CODED_LEVELS:
+            kept.append(r.column)
+    found = distinct.filter(F.col("column").isin(kept)).groupBy("column").agg(F.sort_array(F.collect_set("level")).alias("levels"))
+    out = {c: [] for c in columns if c not in {r.column for r in sizes}}
+    return out | {r.column: r.levels for r in found.collect()}
+
+
+def _coded_counts(table: Table, pairs: list[tuple[str, str]], levels: dict[str, list[str]]) -> DataFrame:
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    starts, names = {}, []
+    for c in columns:
+        starts[c] = len(names)
+        names += levels[c]
+    size = len(names)
+    schema = "a string, b string, left string, right string, n long"
+    if not size:
+        return table.spark.createDataFrame([], schema)
+    sets = [pa.array(levels[c], pa.string()) for c in columns]
+
+    def run(batches):
+        counts = np.zeros((size, size))
+        for batch in batches:
+            units = np.zeros((batch.num_rows, size))
+            for k, c in enumerate(columns):
+                at = pc.index_in(batch.column(k), value_set=sets[k]).fill_null(-1).to_numpy(zero_copy_only=False)
+                rows = np.flatnonzero(at >= 0)
+                units[rows, starts[c] + at[rows]] = 1.0
+            counts += units.T @ units
+        yield matrix_rows({"n": counts})
+
+    n = summed(table.df.select(*[table.level(c).alias(f"l{k}") for k, c in enumerate(columns)]), run, ["n"], size, size)["n"]
+    found = []
+    for a, b in pairs:
+        joint = n[starts[a]: starts[a] + len(levels[a]), starts[b]: starts[b] + len(levels[b])]
+        found += [(a, b, levels[a][i], levels[b][k], int(joint[i, k])) for i, k in zip(*np.nonzero(joint))]
+    return table.spark.createDataFrame(found, schema)
+
+
+def _listed_counts(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
     cells = F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), table.level(a).alias("left"), table.level(b).alias("right"))
         for a, b in pairs

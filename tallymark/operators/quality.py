@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import values as V
@@ -17,8 +20,8 @@ MISSING_ISSUE, MISSING_HIGH, DUPLICATE_HIGH = 10, 40, 5
 MAX_ISSUES = 12
 SUMMARY_CHARS = 4000
 # ----------------------------------------------------------------------------
-DIRECT_ROWS = 50_000_000
-BROADCAST_KEYS = 1_000_000
+# The most bits of the filter of repeated rows (32 MB); a piece of it that one task puts together; bits a hash sets.
+BLOOM_BITS, BLOOM_PIECE, HASHES = 1 << 28, 1 << 16, 4
 
 
 def unique_counts(table: Table, columns: list[str] | None = None) -> DataFrame:
@@ -42,20 +45,68 @@ def _row_key(table: Table):
 def duplicate_rows(table: Table) -> DataFrame:
     """Rows beyond the first with the same full tuple, as one row.
 
-    On a big table whole rows are not shuffled: an eight-byte hash is counted first,
-    and only rows whose hash repeats are compared in full.
+    One plan for every size: eight-byte hashes are counted, rows whose hash repeats are compared in full. A Bloom filter
+    of the repeated hashes, of a size that follows their number up to a bound, is applied where the rows lie; what it lets
+    through by mistake only adds groups of one. Equal rows are counted before they move, so no group is large.
     """
     rows = table.df.select(*_row_key(table))
     names = [V.quoted(c) for c in table.columns]
-    if table.row_count > DIRECT_ROWS:
-        hashed = rows.withColumn("_h", F.xxhash64(*names))
-        repeated = durable(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"))
-        if repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-            rows = hashed.join(F.broadcast(repeated), "_h", "left_semi").drop("_h")
-    groups = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = rows.withColumn("_h", F.xxhash64(*names))
+    repeated = durable(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"))
+    n = repeated.count()
+    if not n:
+        return table.spark.createDataFrame([(0,)], "duplicate_rows long")
+    marked = table.spark.sparkContext.broadcast(_bloom(repeated, n))
+
+    @F.pandas_udf("boolean")
+    def met(h: pd.Series) -> pd.Series:
+        return pd.Series(_in_bloom(marked.value, h.to_numpy()))
+
+    maybe = hashed.filter(met("_h")).drop("_h")
+    groups = maybe.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Where a hash sets its bits: four of them, from its two halves."""
+    a, b = h.view(np.uint64) >> np.uint64(32), h.view(np.uint64) & np.uint64(0xFFFFFFFF)
+    return [((a + np.uint64(k) * b) & np.uint64(bits - 1)).astype(np.int64) for k in range(HASHES)]
+
+
+def _bloom(hashes: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the column, made in pieces by tasks and put together on the driver; ``BLOOM_BITS`` at most."""
+    bits = min(BLOOM_BITS, max(BLOOM_PIECE, 1 << (12 * n).bit_length()))
+
+    def place(batches):
+        for batch in batches:
+            h = batch.column("_h").to_numpy()
+            at = np.unique(np.concatenate(_places(h, bits)))
+            yield pa.record_batch([pa.array(at), pa.array((at // BLOOM_PIECE).astype(np.int32))], names=["bit", "piece"])
+
+    def gather(batches):
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, piece = batch.column("bit").to_numpy(), batch.column("piece").to_numpy()
+            for k in np.unique(piece).tolist():
+                pieces.setdefault(k, np.zeros(BLOOM_PIECE, bool))[at[piece == k] % BLOOM_PIECE] = True
+        if pieces:
+            yield pa.record_batch([pa.array(list(pieces), pa.int32()), pa.array([np.packbits(x).tobytes() for x in pieces.values()])],
+                                  names=["piece", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    placed = hashes.mapInArrow(place, "bit long, piece int").distinct().repartition("piece")
+    for r in placed.mapInArrow(gather, "piece int, bits binary").collect():  # BLOOM_BITS / 8 bytes at most
+        out[r.piece * BLOOM_PIECE // 8: (r.piece + 1) * BLOOM_PIECE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _in_bloom(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    found = np.ones(len(h), bool)
+    for at in _places(h, 8 * len(marks)):
+        found &= (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
 class Quality:
     def __init__(self, profile: Profile):
         self.profile, self.table = profile, profile.table
@@ -115,8 +166,8 @@ class Quality:
             duplicate_share.alias("_dup"))
         return scored.withColumn("health_grade", V.health_grade(F.col("health_score")))
 
-    def issues(self) -> DataFrame:
-        """Issues by severity, then in column order; at most twelve."""
+    def issues(self, limit: int | None = MAX_ISSUES) -> DataFrame:
+        """Issues by severity, then in column order; the first ``limit`` of them."""
         columns = self._columns
 
         def found(condition, severity, message, step):
@@ -148,7 +199,8 @@ class Quality:
         for part in parts:
             out = out.unionByName(part)
         rank = F.array_position(F.array(*map(F.lit, ("high", "medium", "low"))), F.col("severity"))
-        return out.orderBy(rank, "at", "step").limit(MAX_ISSUES).select("severity", "message")
+        ordered = out.orderBy(rank, "at", "step").select("severity", "message")
+        return ordered if limit is None else ordered.limit(limit)
 
     def summary_line(self) -> DataFrame:
         """The whole profile in one line of text, at most 4,000 characters."""

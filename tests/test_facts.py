@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymark.operators import correlate as C, infer as I, ranks as R, shifts as H, timeline as L
+from tallymark.operators import correlate as C, infer as I, quality as Q, ranks as R, shifts as H, timeline as L
 from tallymark.operators.evidence import Evidence
 from tallymark.operators.profile import Profile
 from tallymark.operators.provenance import Provenance
@@ -194,3 +194,27 @@ def test_comparison(spark):
     assert "schema.added" in metrics and "schema.removed" in metrics and "numeric.mean_shift" in metrics
     same = Comparison(Profile(Table(old)), Profile(Table(old))).findings().collect()
     assert [r.metric for r in same] == ["stable"]
+
+
+def test_joint_counts_coded_and_listed_are_equal(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [tuple(None if rng.random() < 0.1 else f"v{rng.integers(0, k)}" for k in (2, 5, 40)) + (None,) for _ in range(900)]
+    t = Table(spark.createDataFrame(rows, "a string, b string, c string, d string").repartition(3))
+    pairs = C.column_pairs(["a", "b", "c", "d"])
+    found = []
+    for most in (1000, 10, 0):
+        monkeypatch.setattr(I, "CODED_LEVELS", most)
+        found.append(sorted(tuple(r) for r in I.contingency(t, pairs).collect()))
+    assert found[0] == found[1] == found[2] and len({r[:2] for r in found[0]}) == 3
+
+
+def test_duplicates_are_counted_whatever_the_filter_lets_through(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 400)), None if rng.random() < 0.3 else float(rng.integers(0, 3)), "t") for _ in range(3000)]
+    t = Table(spark.createDataFrame([*rows, *[(-1, 0.5, "hot")] * 2000], "a int, b double, c string").repartition(5))
+    expected = 5000 - len({*rows, (-1, 0.5, "hot")})
+    assert Q.duplicate_rows(t).first().duplicate_rows == expected
+    monkeypatch.setattr(Q, "BLOOM_BITS", 64)
+    monkeypatch.setattr(Q, "BLOOM_PIECE", 64)
+    assert Q.duplicate_rows(t).first().duplicate_rows == expected
+    assert Q.duplicate_rows(Table(spark.range(50).toDF("a"))).first().duplicate_rows == 0
