@@ -177,21 +177,22 @@ def correlate(
     return reported
 
 
-def _pair(table: Table, a: str, b: str, *extra: Column) -> DataFrame:
+def paired_values(table: Table, a: str, b: str, *extra: Column) -> DataFrame:
+    """``x, y`` of the rows where both read as numbers."""
     both = table.df.select(*extra, table.number(a).alias("x"), table.number(b).alias("y"))
     return both.filter("x IS NOT NULL AND y IS NOT NULL")
 
 
 def scatter_points(table: Table, a: str, b: str) -> DataFrame:
     """Every complete pair with its row; ``scatter`` draws a grid instead above ``SCATTER_POINTS`` pairs."""
-    rows = _pair(table, a, b, table.order_column().alias("row"))
+    rows = paired_values(table, a, b, table.order_column().alias("row"))
     return rows.select(
         "row", V.round_sig(F.col("x")).alias("x"), V.round_sig(F.col("y")).alias("y"))
 
 
 def density_grid(table: Table, a: str, b: str, cells: int = GRID_CELLS) -> DataFrame:
     """Every complete pair in exactly one cell of an even grid; only filled cells, in order."""
-    rows = _pair(table, a, b)
+    rows = paired_values(table, a, b)
     ends = rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if ends[0] is None:
         return table.spark.createDataFrame([], "x_cell int, y_cell int, count long")
@@ -208,7 +209,7 @@ def density_grid(table: Table, a: str, b: str, cells: int = GRID_CELLS) -> DataF
 
 def scatter(table: Table, a: str, b: str) -> DataFrame:
     """Points where they fit, else the grid; ``kind`` says which."""
-    small = _pair(table, a, b).limit(SCATTER_POINTS + 1).count() <= SCATTER_POINTS
+    small = paired_values(table, a, b).limit(SCATTER_POINTS + 1).count() <= SCATTER_POINTS
     if small:
         return scatter_points(table, a, b).withColumn("kind", F.lit("points"))
     return density_grid(table, a, b).withColumn("kind", F.lit("grid"))

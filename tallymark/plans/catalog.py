@@ -5,17 +5,17 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import dates as D, distributions as S, values as V
 from ..operators import compare as M, correlate as C, infer as I, profile as P, quality as Q, rollups as U
 from ..operators import sample as R, sheets as G, shifts as H, timeline as L
 from ..operators.evidence import Evidence, rank_evidence
 from ..operators.provenance import Provenance
-from ..operators.ranks import grouped_quantiles, rank_average
+from ..operators.ranks import grouped_quantiles, rank_average, with_position
 from ..operators.table import (
-    Table, date_reason, drop_heavy_fields, level_reason, numeric_reason, period_reason, present_reason,
-    select_columns,
+    Table, UnknownColumn, date_reason, drop_heavy_fields, level_reason, numeric_reason, period_reason, present_reason,
+    resolve_target as find_target, select_columns,
 )
 from ..session import durable
 from ..sources import files as X, store as B
@@ -165,6 +165,22 @@ def quoted_line_ends(spark, sf):
         F.col("t").alias("turn"), F.col("n").cast("int").alias("line"), F.col("what").alias("content"))
 
 
+@query("""WITH c AS (SELECT c_custkey, c_name, c_nationkey % 3 AS kind FROM customer)
+  SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY c_custkey) AS line_no, c_name || ' é漢' AS line FROM c""")
+def decode(spark, sf):
+    """One file in each encoding, told by its mark: UTF-8, UTF-16 little and big end first."""
+    path = N.scratch(spark)
+    c = N.load(spark, sf, "customer").withColumn("kind", F.col("c_nationkey") % 3)
+    place = F.row_number().over(W.partitionBy("kind").orderBy("c_custkey"))
+    text = F.concat(F.when(place == 1, F.lit("﻿")).otherwise(""), "c_name", F.lit(" é漢"))
+    rows = c.select("kind", "c_custkey", text.alias("value"))
+    for kind, encoding in enumerate(("UTF-8", "UTF-16LE", "UTF-16BE")):
+        rows.filter(F.col("kind") == kind).coalesce(1).sortWithinPartitions("c_custkey").select("value").write.csv(
+            f"{path}/kind={kind}", encoding=encoding, quote="\x01", ignoreLeadingWhiteSpace=False)
+    found = X.numbered_lines(spark, path)
+    return found.select(F.regexp_extract("file_id", "kind=([0-9])", 1).cast("int").alias("kind"), "line_no", "line")
+
+
 @query("""SELECT o_orderstatus AS dataset, 'ok' AS status, count(*) AS "rows" FROM orders GROUP BY 1
   UNION ALL SELECT 'missing', 'error', 0""")
 def scan_many(spark, sf):
@@ -296,11 +312,18 @@ def parse_formatted(spark, sf):
         F.count("x").alias("read"), F.round(F.sum("x"), 2).alias("total"))
 
 
-@query("""SELECT 'price_text' AS "column", 'negated parentheses|currency|percent|thousands' AS formats
-  UNION ALL SELECT 'ship_text', ''""")
+@query(f"""WITH {MESSY}, f AS (SELECT l_orderkey % 5 AS shape, max(abs(price_num)) >= 1000 AS thousands FROM m GROUP BY 1)
+  SELECT shape, CASE shape WHEN 0 THEN 'currency' || CASE WHEN thousands THEN '|thousands' ELSE '' END
+    WHEN 1 THEN 'negated parentheses' || CASE WHEN thousands THEN '|thousands' ELSE '' END WHEN 2 THEN 'percent' ELSE '' END AS formats
+  FROM f UNION ALL SELECT 9, 'negated parentheses|currency|percent' || CASE WHEN bool_or(thousands) THEN '|thousands' ELSE '' END FROM f""")
 def number_formats(spark, sf):
-    m = Table(N.messy_lineitem(spark, sf), ["price_text", "ship_text"])
-    return m.column_facts().select("column", F.array_join("formats", "|").alias("formats"))
+    """The notations of each way a price is written, and of all together (9)."""
+    m, out = durable(N.messy_lineitem(spark, sf).select("l_orderkey", "price_text")), None
+    for shape in (0, 1, 2, 3, 4, 9):
+        rows = m.filter(F.lit(shape == 9) | (F.col("l_orderkey") % 5 == shape)).select("price_text")
+        one = Table(rows).column_facts().select(F.lit(shape).cast("long").alias("shape"), F.array_join("formats", "|").alias("formats"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""WITH {MESSY} SELECT l_returnflag AS flag, count(price_num) AS n, round(min(price_num), 4) AS low,
@@ -316,8 +339,7 @@ def numeric_values(spark, sf):
   WHERE gappy_quantity IS NOT NULL AND gappy_price IS NOT NULL""")
 def paired_values(spark, sf):
     m = Table(N.messy_lineitem(spark, sf))
-    rows = m.df.select("l_orderkey", m.number("gappy_quantity").alias("x"), m.number("gappy_price").alias("y"))
-    return rows.filter("x IS NOT NULL AND y IS NOT NULL").withColumn("y", F.round("y", 4))
+    return C.paired_values(m, "gappy_quantity", "gappy_price", F.col("l_orderkey")).withColumn("y", F.round("y", 4))
 
 
 @query(f"""WITH {MESSY} SELECT l_linenumber AS line, count(gappy_quantity) AS covered, count(*) AS total,
@@ -376,25 +398,23 @@ def choose_granularity(spark, sf):
     return o.withColumn("grain", D.choose_granularity(F.col("days")))
 
 
-def _ladder_sql(x: str, steps, last: str) -> str:
-    return "CASE " + " ".join(f"WHEN {x} >= {s} THEN '{w}'" for w, s in steps) + f" ELSE '{last}' END"
-
-
 _R = "(o_totalprice / 250000 - 1)"
-_WEAK = {"very strong": "moderate", "strong": "weak", "moderate": "negligible", "weak": "negligible", "negligible": "negligible"}
 
 
-@query(f"""SELECT r, d, v, CASE r {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _WEAK.items())} END AS weaker, count(*) AS n
-  FROM (SELECT {_ladder_sql(f'abs({_R})', zip(V.STRENGTHS, V.CORRELATION_STEPS), 'negligible')} AS r,
-  {_ladder_sql(f'abs({_R} * 1.5)', zip(V.STRENGTHS, V.EFFECT_STEPS), 'negligible')} AS d,
-  {_ladder_sql(f'abs({_R})', V.ASSOCIATION_STEPS, 'negligible')} AS v FROM orders) GROUP BY ALL""")
+@query(f"""WITH x AS (SELECT abs{_R} AS r FROM orders), w AS (SELECT
+    CASE WHEN r >= 0.9 THEN 'very strong' WHEN r >= 0.7 THEN 'strong' WHEN r >= 0.5 THEN 'moderate' WHEN r >= 0.3 THEN 'weak' ELSE 'negligible' END AS r,
+    CASE WHEN 1.5 * r >= 1.2 THEN 'very strong' WHEN 1.5 * r >= 0.8 THEN 'strong' WHEN 1.5 * r >= 0.5 THEN 'moderate' WHEN 1.5 * r >= 0.2
+      THEN 'weak' ELSE 'negligible' END AS d,
+    CASE WHEN r >= 0.5 THEN 'strong' WHEN r >= 0.3 THEN 'moderate' WHEN r >= 0.1 THEN 'weak' ELSE 'negligible' END AS v FROM x),
+  l AS (SELECT ['very strong', 'strong', 'moderate', 'weak', 'negligible'] AS names)
+  SELECT r, d, v, names[least(list_position(names, r) + 1, 5)] AS weaker1, names[least(list_position(names, r) + 2, 5)] AS weaker2,
+    names[least(list_position(names, r) + 3, 5)] AS weaker3, count(*) AS n FROM w, l GROUP BY ALL""")
 def strength_ladders(spark, sf):
     x = F.expr(_R)
     o = N.load(spark, sf, "orders").select(
-        V.correlation_strength(x).alias("r"), V.effect_strength(x * 1.5).alias("d"),
-        V.association_strength(F.abs(x)).alias("v"))
-    return o.withColumn("weaker", V.weaken(F.col("r"), F.lit(2))).groupBy("r", "d", "v", "weaker").agg(
-        F.count(F.lit(1)).alias("n"))
+        V.correlation_strength(x).alias("r"), V.effect_strength(x * 1.5).alias("d"), V.association_strength(F.abs(x)).alias("v"))
+    weaker = {f"weaker{k}": V.weaken(F.col("r"), F.lit(k)) for k in (1, 2, 3)}
+    return o.withColumns(weaker).groupBy("r", "d", "v", *weaker).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT p_partkey, round(p_retailprice - p_size, 4) AS delta,
@@ -434,6 +454,21 @@ def normalize_date_cells(spark, sf):
 
 # -- projections and predicates ---------------------------------------------------
 
+@query("""WITH asked AS (SELECT unnest(['l_tax', 'o_totalprice', 'L_TAX', '']) AS target), c AS (SELECT column_name AS c FROM
+  information_schema.columns WHERE table_name = 'lineitem')
+  SELECT target, CASE WHEN c IS NOT NULL THEN target ELSE 'refused' END AS single, c AS batch FROM asked LEFT JOIN c ON c = target""")
+def resolve_target(spark, sf):
+    """A target that is not there is refused for one table and left out in a batch."""
+    columns, rows = N.load(spark, sf, "lineitem").columns, []
+    for target in ("l_tax", "o_totalprice", "L_TAX", ""):
+        try:
+            single = find_target(target, columns)
+        except UnknownColumn:
+            single = "refused"
+        rows.append((target, single, find_target(target, columns, strict=False)))
+    return spark.createDataFrame(rows, "target string, single string, batch string")
+
+
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders", name="select_columns")
 def selected_columns(spark, sf):
     return select_columns(N.load(spark, sf, "orders"), ["o_totalprice", " o_orderkey", "o_orderstatus"])[0]
@@ -499,15 +534,15 @@ def numeric_summary_messy(spark, sf):
     return p.numeric_summary().select("column", "valid", "missing", "invalid", "coverage", "mean", "median")
 
 
-@query(f"""WITH {LONG}, q AS (SELECT "column", count(v) AS n, avg(v) AS a, stddev_samp(v) / sqrt(count(v)) AS e FROM u GROUP BY 1)
-  SELECT "column", round(e, 4) AS standard_error, n - 1 AS degrees_freedom, true AS interval_is_1_96 FROM q""")
+@query(f"""WITH {LONG}, q AS (SELECT "column", count(v) AS n, avg(v) AS a, stddev_samp(v) / sqrt(count(v)) AS e, count(v) - 1.0 AS k FROM u
+  GROUP BY 1), z AS (SELECT 1.959963984540054 AS z), t AS (SELECT "column", n, a, e, z + (z ** 3 + z) / (4 * k)
+    + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * k ** 2) + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * k ** 3) AS t FROM q, z)
+  SELECT "column", round(e, 4) AS standard_error, n - 1 AS degrees_freedom, round(a - t * e, 3) AS lower, round(a + t * e, 3) AS upper FROM t""")
 def mean_ci(spark, sf):
-    """Above thousands of values the t interval reaches 1.96 standard errors either way."""
+    """The interval against the expansion of the t quantile in powers of one over the degrees of freedom."""
     out = N.profile(spark, sf, "lineitem", MEASURES).numeric_summary()
-    reach = (F.col("mean_ci.upper") - F.col("mean_ci.lower")) / (2 * F.col("mean_ci.standard_error"))
-    return out.select(
-        "column", "mean_ci.standard_error", "mean_ci.degrees_freedom",
-        ((reach > 1.5) & (reach < 2.6)).alias("interval_is_1_96"))
+    return out.select("column", "mean_ci.standard_error", "mean_ci.degrees_freedom",
+                      F.round("mean_ci.lower", 3).alias("lower"), F.round("mean_ci.upper", 3).alias("upper"))
 
 
 @query(f"""WITH {LONG} SELECT "column", round(quantile_cont(v, 0.05), 4) AS p05, round(quantile_cont(v, 0.25), 4) AS q1,
@@ -787,10 +822,11 @@ def _pairs_sql(columns: list[str], body, source: str) -> str:
         f"SELECT '{a}' AS a, '{b}' AS b, {body(a, b)} FROM {source}" for a, b in C.column_pairs(columns))
 
 
-@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b" for a, b in C.column_pairs(MEASURES)))
+@query("""WITH c AS (SELECT column_name AS c, ordinal_position AS p FROM information_schema.columns
+  WHERE table_name = 'lineitem' AND data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT'))
+  SELECT x.c AS a, y.c AS b FROM c x JOIN c y ON x.p < y.p""")
 def column_pairs(spark, sf):
-    p = N.profile(spark, sf, "lineitem", [*MEASURES, "l_returnflag"])
-    return spark.createDataFrame(C.column_pairs(p.numeric), "a string, b string")
+    return spark.createDataFrame(C.column_pairs(N.profile(spark, sf, "lineitem").numeric), "a string, b string")
 
 
 GAPS = ["gappy_quantity", "gappy_price", "gappy_tax"]
@@ -888,15 +924,18 @@ def sample_summary(spark, sf):
     return out.select("flag", "n", *[F.round(c, 4).alias(c) for c in ("mean", "variance", "std")])
 
 
-@query("""SELECT p_size, n, true AS inverts, true AS orders FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 2)""")
+@query("""WITH t AS (SELECT DISTINCT p_size, p_size / 10.0 AS t FROM part)
+  SELECT p_size, round(1 - 2 * atan(t) / pi(), 9) AS tail1, round(1 - t / sqrt(2 + t * t), 9) AS tail2,
+    round(1 - 0.75 * t / sqrt(1 + t * t / 4) * (1 - t * t / (12 * (1 + t * t / 4))), 9) AS tail4,
+    round(tan(pi() * (p_size / 102.0)), 6) AS critical1,
+    round(p_size / 51.0 * sqrt(2 / (1 - (p_size / 51.0) ** 2)), 6) AS critical2,
+    round(2 * sqrt(cos(acos(sqrt(1 - (p_size / 51.0) ** 2)) / 3) / sqrt(1 - (p_size / 51.0) ** 2) - 1), 6) AS critical4 FROM t""")
 def student_t(spark, sf):
-    """The critical value and the tail are each other's inverse, and tails shrink as degrees of freedom grow."""
-    sizes = N.load(spark, sf, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    df = (F.col("n") - 1).cast("double")
-    t = sizes.withColumn("t", S.student_critical(df, 0.95))
-    return t.select(
-        "p_size", "n", (F.abs(S.student_tail(F.col("t"), df) - 0.05) < 1e-9).alias("inverts"),
-        ((F.col("t") > 1.9599) & (S.student_cdf(F.col("t"), df) > 0.97)).alias("orders"))
+    """Tails and critical values at 1, 2 and 4 degrees of freedom, where they have closed forms."""
+    sizes = durable(N.load(spark, sf, "part").select("p_size").distinct())
+    t, df = F.col("p_size") / 10, {k: F.lit(float(k)) for k in (1, 2, 4)}
+    tails = sizes.select("p_size", *[F.round(S.student_tail(t, d), 9).alias(f"tail{k}") for k, d in df.items()])
+    return tails.withColumns({f"critical{k}": F.round(S.student_critical(d, F.col("p_size") / 51), 6) for k, d in df.items()})
 
 
 _WELCH = """w AS (SELECT l_returnflag AS flag, count(*) FILTER (NOT c) AS n1, avg(l_extendedprice) FILTER (NOT c) AS m1,
@@ -1090,18 +1129,21 @@ def outlier_evidence(spark, sf):
     return out.select("claim", "value", "sample_size", "strength")
 
 
-@query("""SELECT claim, strength, size FROM (SELECT 'order ' || o_orderkey AS claim, CASE o_orderpriority WHEN '1-URGENT' THEN 'very strong'
+@query("""WITH e AS (SELECT 'order ' || o_orderkey AS claim, CASE o_orderpriority WHEN '1-URGENT' THEN 'very strong'
   WHEN '2-HIGH' THEN 'strong' WHEN '3-MEDIUM' THEN 'moderate' WHEN '5-LOW' THEN 'weak' ELSE 'negligible' END AS strength,
-  o_totalprice AS size FROM orders WHERE o_orderpriority <> '1-URGENT' OR o_orderkey % 200 = 0)
-  ORDER BY CASE strength WHEN 'very strong' THEN 0 WHEN 'strong' THEN 1 WHEN 'moderate' THEN 2 WHEN 'weak' THEN 3 ELSE 4 END,
-  size DESC, claim LIMIT 20""")
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS size FROM orders)
+  SELECT claim, strength, size, row_number() OVER (ORDER BY list_position(['very strong', 'strong', 'moderate', 'weak', 'negligible'], strength),
+    size DESC NULLS LAST, claim) - 1 AS place FROM e""")
 def ranked_evidence(spark, sf):
+    """All orders ranked as records, those without a number last within their strength."""
     words = F.expr("""CASE o_orderpriority WHEN '1-URGENT' THEN 'very strong' WHEN '2-HIGH' THEN 'strong'
       WHEN '3-MEDIUM' THEN 'moderate' WHEN '5-LOW' THEN 'weak' ELSE 'negligible' END""")
-    o = N.load(spark, sf, "orders").filter("o_orderpriority <> '1-URGENT' OR o_orderkey % 200 = 0").select(
+    o = N.load(spark, sf, "orders").select(
         F.concat(F.lit("order "), "o_orderkey").alias("claim"), words.alias("strength"),
-        F.col("o_totalprice").alias("value"))
-    return rank_evidence(o).select("claim", "strength", F.col("value").alias("size"))
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("value"))
+    ranked = durable(rank_evidence(o, limit=None).select("claim", "strength", F.col("value").alias("size")))
+    # The rows lie in order of rank; partitions keep it.
+    return ranked.withColumn("at", F.monotonically_increasing_id()).transform(lambda r: with_position(r, ["at"], name="place")).drop("at")
 
 
 @query()
@@ -1193,10 +1235,19 @@ NEW = """b AS (SELECT l_quantity, l_extendedprice * 1.25 AS l_extendedprice, CAS
   AS l_returnflag, l_linestatus, l_tax FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')"""
 
 
-@query("""SELECT * FROM (VALUES ('l_quantity', 'numeric', 'numeric', 'shared', false), ('l_extendedprice', 'numeric', 'numeric', 'shared', false),
-  ('l_discount', 'numeric', NULL, 'removed', false), ('l_returnflag', 'categorical', 'categorical', 'shared', false),
-  ('l_linestatus', 'categorical', 'categorical', 'shared', false), ('code', 'numeric', 'categorical', 'shared', true),
-  ('l_tax', NULL, 'numeric', 'added', false)) t("column", baseline_type, current_type, status, type_changed)""")
+def _types_sql(source: str) -> str:
+    """The type of each column by its texts, half of which must read as numbers."""
+    return f"""(SELECT "column", CASE WHEN avg(CAST(try_cast(v AS DOUBLE) IS NOT NULL AS INTEGER)) >= 0.5 THEN 'numeric' ELSE 'categorical' END AS t
+    FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM ({source})) ON COLUMNS(*) INTO NAME "column" VALUE v) GROUP BY 1)"""
+
+
+@query(f"""WITH a AS {_types_sql("SELECT l_quantity, l_extendedprice, l_discount, l_returnflag, l_linestatus, l_tax::VARCHAR AS code FROM lineitem "
+                                 "WHERE l_shipdate < TIMESTAMP '1998-01-01'")},
+  b AS {_types_sql("SELECT l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_tax, 'T' || l_tax AS code FROM lineitem "
+                   "WHERE l_shipdate >= TIMESTAMP '1998-01-01'")}
+  SELECT coalesce(a."column", b."column") AS "column", a.t AS baseline_type, b.t AS current_type,
+    CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' ELSE 'shared' END AS status, coalesce(a.t <> b.t, false) AS type_changed
+  FROM a FULL JOIN b ON a."column" = b."column" """)
 def schema_diff(spark, sf):
     return _compare(spark, sf).schema_diff().drop("baseline_position", "current_position")
 
@@ -1273,8 +1324,19 @@ def shift_strips(spark, sf):
 
 # -- rollups ----------------------------------------------------------------------
 
-@query(f"""WITH {MESSY} SELECT 'Column types' AS label, 3 AS settled, 1 AS open UNION ALL SELECT 'Outlier checks', 4, 0 UNION ALL
-  SELECT 'Numeric pairs', 1, 5""")
+_READ = [*GAPS, "price_num"]
+
+
+@query(f"""WITH {MESSY}, p AS (""" + _pairs_sql(_READ, lambda a, b: f"corr({a}, {b}) AS p, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n", "m")
+       + "), s AS (" + " UNION ALL ".join(_spearman_sql(a, b, "m") for a, b in C.column_pairs(_READ)) + """),
+  j AS (SELECT CASE WHEN abs(spearman) - abs(p) >= 0.2 THEN spearman ELSE p END AS c FROM p JOIN s USING (a, b) WHERE p.n >= 3),
+  l AS (SELECT "column", count(v) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM (
+    UNPIVOT (SELECT gappy_quantity, gappy_price, gappy_tax, price_num FROM m) ON COLUMNS(*) INTO NAME "column" VALUE v) GROUP BY 1),
+  k AS (SELECT count(price_num) AS num, count(*) FILTER (NOT price_blank AND price_num IS NULL) AS txt FROM m)
+  SELECT 'Column types' AS label, 4 - CAST(mixed AS INTEGER) AS settled, CAST(mixed AS INTEGER) AS open
+    FROM (SELECT greatest(num, txt) < 0.8 * (num + txt) AS mixed FROM k) UNION ALL
+  SELECT 'Outlier checks', count(*) FILTER (n >= 8 AND q3 > q1), count(*) FILTER (NOT (n >= 8 AND q3 > q1)) FROM l UNION ALL
+  SELECT 'Numeric pairs', least(10, count(*) FILTER (abs(c) >= 0.3)), 6 - least(10, count(*) FILTER (abs(c) >= 0.3)) FROM j""")
 def read_ledger(spark, sf):
     p = P.Profile(Table(N.messy_lineitem(spark, sf), [*GAPS, "price_text"]))
     return U.read_ledger(p)
@@ -1317,7 +1379,8 @@ def completeness_track(spark, sf):
     return U.completeness_track(P.Profile(Table(N.messy_lineitem(spark, sf), ["price_text", "gappy_tax"])))
 
 
-@query("""SELECT * FROM (VALUES ('numeric', 8), ('text', 2), ('date', 1)) t(type, columns)""")
+@query("""SELECT CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT') THEN 'numeric' WHEN data_type = 'VARCHAR' THEN 'text'
+  ELSE 'date' END AS type, count(*) AS columns FROM information_schema.columns WHERE table_name = 'lineitem' GROUP BY 1""")
 def kind_counts(spark, sf):
     return U.kind_counts(N.profile(spark, sf, "lineitem"))
 
@@ -1381,9 +1444,18 @@ def row_span(spark, sf):
     return grid.groupBy(G.row_span(F.col("cells")).alias("span")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT 'c' || o_custkey AS file_id, 3 AS width FROM orders")
+@query("""WITH r AS (SELECT o_custkey AS k, 1 + CAST(floor(o_totalprice) AS BIGINT) % 4 AS span, count(*) AS n FROM orders GROUP BY 1, 2)
+  SELECT 'c' || k AS file_id, span AS width FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, span DESC) AS p FROM r)
+  WHERE p = 1""")
 def modal_width(spark, sf):
-    return G.modal_width(G.read_rows(N.order_sheets(spark, sf)))
+    """Ragged sheets: a row is as wide as its order's price says, and blank rows lie between."""
+    o = N.load(spark, sf, "orders")
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    span = (F.floor("o_totalprice") % 4 + 1).cast("int")
+    rows = o.select(F.concat(F.lit("c"), "o_custkey").alias("file_id"), (2 * F.row_number().over(w)).cast("long").alias("row_no"),
+                    F.concat(F.array_repeat(F.lit("x"), span), F.array(F.lit(" "), F.lit(None).cast("string"))).alias("cells"))
+    blank = rows.withColumn("row_no", F.col("row_no") + 1).withColumn("cells", F.array(F.lit(""), F.lit(None).cast("string")))
+    return G.modal_width(G.read_rows(rows.unionByName(blank))).select("file_id", F.col("width").cast("long").alias("width"))
 
 
 @query(f"""WITH {SHEET} SELECT 'c' || k AS file_id, 3 AS row_no, 1.0 AS reach, 1.0 AS distinct_share,
