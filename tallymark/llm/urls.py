@@ -7,7 +7,7 @@ greatest product of word probabilities, where an unknown piece costs more the lo
 path shapes are worked on once and joined back; pieces of names meet the word counts in a join, not in a broadcast.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; digits in names and paths
-count as one token ``#``; a page without tokens has the prior; a tie is allowed; repeated rows get equal verdicts;
+count as one token ``#``; hosts and paths may be of any length; a page without tokens has the prior; a tie is allowed; repeated rows get equal verdicts;
 an empty table gives none; other columns are not read.
 """
 
@@ -25,6 +25,8 @@ RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"))
 LONGEST_WORD = 20
+#: Letters of a name that are looked up together.
+STRETCH = 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,60 +65,94 @@ def tokens_of(column: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"[^\W0-9_]+|#"), 0)
 
 
+class Split:
+    """The most probable words of a name, read in stretches from left to right; of equal ones the longest last word wins.
+
+    ``feed`` takes the next letters with up to ``LONGEST_WORD`` - 1 that follow them, and the counts of the known pieces
+    that begin in them.
+    """
+
+    def __init__(self, total: int):
+        self.total, self.letters = total, []
+        self.best, self.cut = [0.0], [0]
+
+    def feed(self, part: str, own: int, counts: dict[str, int]) -> None:
+        best, cut, total = self.best, self.cut, self.total
+        begun = len(self.letters)
+        self.letters += part[:own]
+        unknown = math.log(1 / (total + 1))
+        for at in range(own):
+            here = best[begun + at]
+            for end in range(at + 1, min(at + LONGEST_WORD, len(part)) + 1):
+                n = counts.get(part[at:end])
+                value = here + (math.log(n / total) if n else unknown - (end - at) * math.log(10))
+                place = begun + end
+                if place == len(best):
+                    best.append(value)
+                    cut.append(begun + at)
+                elif value > best[place]:
+                    best[place], cut[place] = value, begun + at
+
+    def words(self) -> list[str]:
+        name, out = "".join(self.letters), []
+        end = len(name)
+        while end:
+            out.append(name[self.cut[end]:end])
+            end = self.cut[end]
+        return out[::-1]
+
+
 def split_names(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """name, words for every distinct name of letters."""
-    size = F.length("name")
-    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda at: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), size - at + 1)), lambda n: F.substring("name", at, n)))))
-    found = names.select("name", F.explode(pieces).alias("word")).join(counts, "word").groupBy("name").agg(
-        F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))  # at most 20 pieces a letter
-
-    @F.pandas_udf("array<string>")
-    def viterbi(name: pd.Series, known: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([
-            best_split(text, {} if ws is None else dict(zip(ws, ns, strict=True)), total)
-            for text, ws, ns in zip(name, known, n, strict=True)])
-
-    return names.join(found, "name", "left").select("name", viterbi("name", "known", "n").alias("words"))
-
-
-def best_split(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The words of the most probable split; of equal ones that with the longest last word."""
-    best, cut = [0.0], [0]
-    for end in range(1, len(name) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            piece = name[start:end]
-            p = math.log(counts[piece] / total) if counts.get(piece) else math.log(1 / (total + 1)) - len(piece) * math.log(10)
-            options.append((best[start] + p, -start))
-        value, start = max(options)
-        best.append(value)
-        cut.append(-start)
-    words, end = [], len(name)
-    while end:
-        words.append(name[cut[end]:end])
-        end = cut[end]
-    return words[::-1]
+    """name, words for every distinct name of letters.
+
+    A name is cut into stretches of ``STRETCH`` letters; the pieces that begin in one meet the word counts, and the
+    stretches of a name are then read in order, so a name of any length costs in proportion to it.
+    """
+    keyed = names.select(F.sha2("name", 256).alias("key"), "name")
+    pieces_of = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(STRETCH), F.length("part"))), lambda at: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("part") - at + 1)), lambda n: F.substring("part", at, n)))))
+    stretches = keyed.select("key", "name", F.explode(F.sequence(F.lit(0), F.floor((F.length("name") - 1) / STRETCH).cast("int"))).alias("k"))
+    stretches = stretches.select("key", "k", F.substring("name", F.col("k") * STRETCH + 1, F.lit(STRETCH + LONGEST_WORD - 1)).alias("part"))
+    found = stretches.select("key", "k", F.explode(pieces_of).alias("word")).join(counts, "word").groupBy("key", "k").agg(
+        F.collect_list("word").alias("known"), F.collect_list("n").alias("n"))  # at most 20 pieces a letter of the stretch
+
+    def read(frames):
+        key, split, done = None, None, []
+        for frame in frames:
+            for one, part, known, n in zip(frame["key"], frame["part"], frame["known"], frame["n"], strict=True):
+                if one != key:
+                    if key is not None:
+                        done.append((key, split.words()))
+                    key, split = one, Split(total)
+                split.feed(part, min(STRETCH, len(part)), {} if known is None else dict(zip(known, n, strict=True)))
+            yield pd.DataFrame(done, columns=["key", "words"])
+            done = []
+        if key is not None:
+            yield pd.DataFrame([(key, split.words())], columns=["key", "words"])
+
+    ordered = stretches.join(found, ["key", "k"], "left").repartition("key").sortWithinPartitions("key", "k")
+    return keyed.join(ordered.mapInPandas(read, "key string, words array<string>"), "key").select("name", "words")
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
     """``key``, ``host``, ``path``, ``rule``, ``verdict``, ``block_log_odds`` (null where a rule decides)."""
+    # Hosts and path shapes go by digests, as each is told once for every token in it.
     rows = apply_rules(parsed(pages, key, url), rules).withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
-    rows = saved(rows)
+    rows = saved(rows.withColumn("host_key", F.sha2("host", 256)).withColumn("shape_key", F.sha2("shape", 256)))
     counts = saved(word_counts(pages, html))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     block = F.coalesce(F.sum(F.when(F.col("ruled") == "block", 1)), F.lit(0))
     allow = F.coalesce(F.sum(F.when(F.col("ruled") == "allow", 1)), F.lit(0))
 
-    hosts = rows.groupBy("host").agg(block.alias("block"), allow.alias("allow"))
-    names = hosts.select("host", "block", "allow", F.explode(tokens_of(F.col("host"))).alias("name"))
+    hosts = rows.groupBy("host_key", "host").agg(block.alias("block"), allow.alias("allow"))
+    names = hosts.select("host_key", "block", "allow", F.explode(tokens_of(F.col("host"))).alias("name"))
     split = saved(split_names(names.select("name").where("name <> '#'").distinct(), counts, total))
     host_words = names.join(split, "name", "left").select(
-        "host", "block", "allow", F.explode(F.coalesce("words", F.array("name"))).alias("word"))
-    shapes = rows.groupBy("shape").agg(block.alias("block"), allow.alias("allow"))
-    path_words = shapes.select("shape", "block", "allow", F.explode(tokens_of(F.col("shape"))).alias("word"))
-    tokens = saved(host_words.select(F.lit("host").alias("kind"), F.col("host").alias("of"), "word", "block", "allow").unionAll(
-        path_words.select(F.lit("path").alias("kind"), F.col("shape").alias("of"), "word", "block", "allow")))
+        "host_key", "block", "allow", F.explode(F.coalesce("words", F.array("name"))).alias("word"))
+    shapes = rows.groupBy("shape_key", "shape").agg(block.alias("block"), allow.alias("allow"))
+    path_words = shapes.select("shape_key", "block", "allow", F.explode(tokens_of(F.col("shape"))).alias("word"))
+    tokens = saved(host_words.select(F.lit("host").alias("kind"), F.col("host_key").alias("of"), "word", "block", "allow").unionAll(
+        path_words.select(F.lit("path").alias("kind"), F.col("shape_key").alias("of"), "word", "block", "allow")))
     bag = saved(tokens.groupBy("kind", "word").agg(F.sum("block").alias("b"), F.sum("allow").alias("a")))
     blocked, allowed = rows.agg(block, allow).first()
     v, b, a = bag.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
@@ -128,7 +164,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
         return sums.where(F.col("kind") == kind).select(F.col("of").alias(of), F.col("odds").alias(f"{kind}_odds"))
 
     prior = math.log((blocked + 1) / (allowed + 1))
-    free = rows.where("rule is null").join(side("host", "host"), "host", "left").join(side("path", "shape"), "shape", "left")
+    free = rows.where("rule is null").join(side("host", "host_key"), "host_key", "left").join(
+        side("path", "shape_key"), "shape_key", "left")
     odds = F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("path_odds", F.lit(0.0)) + prior
     free = free.withColumn("odds", odds).withColumn("ruled", F.when(F.col("odds") > 0, "block").otherwise("allow"))
     columns = ["id", "host", "path", "rule", "ruled", "odds"]

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -211,18 +212,119 @@ def test_a_small_language_keeps_its_contexts_in_a_large_corpus(spark):
     assert all(among[k] > alone[k] - 2 for k in alone)
 
 
+def plain_split(name, counts, total):
+    """The most probable words by all earlier cuts of each end; of equal ones the longest last word."""
+    best, cut = [0.0], [0]
+    for end in range(1, len(name) + 1):
+        options = []
+        for start in range(max(0, end - urls.LONGEST_WORD), end):
+            piece = name[start:end]
+            p = math.log(counts[piece] / total) if counts.get(piece) else math.log(1 / (total + 1)) - len(piece) * math.log(10)
+            options.append((best[start] + p, -start))
+        value, start = max(options)
+        best.append(value)
+        cut.append(-start)
+    words, end = [], len(name)
+    while end:
+        words.append(name[cut[end]:end])
+        end = cut[end]
+    return words[::-1]
+
+
+def all_splits(name):
+    """Every way to cut the name."""
+    if not name:
+        yield []
+    for k in range(1, len(name) + 1):
+        for rest in all_splits(name[k:]):
+            yield [name[:k], *rest]
+
+
 def test_best_split_is_the_most_probable():
-    counts = {"th": 30, "the": 50, "he": 10, "ha": 20, "a": 5, "t": 2}
+    rnd, counts = random.Random(7), {"the": 50, "he": 9, "t": 3, "art": 20, "heart": 4, "a": 30, "ar": 2, "rt": 2, "hear": 1}
     total = sum(counts.values())
 
     def p(w):
         return math.log(counts[w] / total) if w in counts else math.log(1 / (total + 1)) - len(w) * math.log(10)
 
-    for name in ("thethe", "thaha", "hathe", "zth", "aaaa"):
-        ways = [[name[i:j] for i, j in zip((0, *c), (*c, len(name)))] for r in range(len(name))
-                for c in itertools.combinations(range(1, len(name)), r)]
-        assert math.isclose(sum(map(p, urls.best_split(name, counts, total))), max(sum(map(p, w)) for w in ways))
-    assert urls.best_split("", counts, total) == []
+    for _ in range(60):
+        name = "".join(rnd.choice("thear") for _ in range(rnd.randint(1, 10)))
+        found = plain_split(name, counts, total)
+        assert math.isclose(sum(map(p, found)), max(sum(map(p, w)) for w in all_splits(name)))
+
+
+def test_names_are_split_in_stretches_as_in_one_piece(spark, monkeypatch):
+    monkeypatch.setattr(urls, "STRETCH", 30)
+    rnd, counts = random.Random(3), {"the": 50, "he": 9, "t": 3, "art": 20, "heart": 4, "a": 30, "ar": 2, "rt": 2, "hear": 1, "éa": 7}
+    names = {"".join(rnd.choice(["t", "h", "e", "a", "r", "t", "é"]) for _ in range(rnd.choice([1, 5, 29, 30, 31, 49, 50, 61, 400]))) for _ in range(120)}
+    out = urls.split_names(spark.createDataFrame([(n,) for n in names], "name string").repartition(3),
+                           spark.createDataFrame(list(counts.items()), "word string, n long"), sum(counts.values())).collect()
+    assert {r.name: r.words for r in out} == {n: plain_split(n, counts, sum(counts.values())) for n in names}
+
+
+def test_a_very_long_host_is_judged(spark):
+    host = "theheart" * 25_000
+    pages = spark.createDataFrame([(1, f"http://{host}.org/x", "<p>the heart</p>"), (2, "http://the.net/es/", "the"), (3, "http://com/", "")],
+                                  "page_id long, url string, html string")
+    out = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert out[1].host == f"{host}.org" and out[1].verdict in ("allow", "block") and out[1].block_log_odds is not None
+
+
+def test_verdicts_are_those_of_a_plain_bayes(spark):
+    """The whole operator again, page by page."""
+    rnd = random.Random(12)
+    vocab = ["the", "cheap", "pills", "news", "river", "art", "shop"]
+    hosts = ["".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 3))) + rnd.choice([".example.com", ".net", ".org", "12.org", ".com"]) for _ in range(40)]
+    rows = [(k, f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'es', 'fr', 'de', 'Shop-7'])}/{rnd.choice(vocab)}{rnd.randint(0, 30)}?q=1",
+             f"<p>{' '.join(rnd.choice(vocab) for _ in range(12))}</p>") for k in range(400)]
+    rows += [rows[0], (401, None, "the"), (402, "http://zzz/", None), (403, "http://123.4/5", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r.page_id: r for r in urls.judge(pages).collect()}
+
+    counts = {}
+    for _, _, page in rows:
+        for w in re.split("[^a-z]+", re.sub("<[^>]*>", " ", (page or "").lower())):
+            if 1 <= len(w) <= 20:
+                counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+
+    def tokens(text):
+        return re.findall(r"[^\W0-9_]+|#", re.sub("[0-9]+", "#", text.lower()))
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0]
+        return host.lower(), re.match("[^?#]*", rest[len(host):])[0]
+
+    def ruled(host, path):
+        fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    def bag(host, path):
+        named = [w for t in tokens(host) for w in (["#"] if t == "#" else plain_split(t, counts, total))]
+        return [("host", w) for w in named] + [("path", w) for w in tokens(path)]
+
+    seen = {"block": {}, "allow": {}}
+    pages_of = {"block": 0, "allow": 0}
+    words = set()
+    for _, url, _ in rows:
+        host, path = parts(url)
+        verdict, held = ruled(host, path), bag(host, path)
+        words.update(held)
+        if verdict:
+            pages_of[verdict] += 1
+            for w in held:
+                seen[verdict][w] = seen[verdict].get(w, 0) + 1
+    v, b, a = len(words), sum(seen["block"].values()), sum(seen["allow"].values())
+    for k, url, _ in rows:
+        host, path = parts(url)
+        verdict, r = ruled(host, path), found[k]
+        if verdict is None:
+            odds = math.log((pages_of["block"] + 1) / (pages_of["allow"] + 1)) + sum(
+                math.log((seen["block"].get(w, 0) + 1) / (b + v + 1)) - math.log((seen["allow"].get(w, 0) + 1) / (a + v + 1)) for w in bag(host, path))
+            assert r.block_log_odds == pytest.approx(odds, abs=1e-9)
+            verdict = "block" if odds > 0 else "allow"
+        assert (r.host, r.path, r.verdict) == (host, path, verdict)
 
 
 def test_url_verdicts(spark):
