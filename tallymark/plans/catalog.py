@@ -736,7 +736,26 @@ def issues(spark, sf):
     return Q.Quality(P.Profile(Table(N.gappy_orders(spark, sf), ["price", "tier", "mix"]))).issues()
 
 
-@query()
+def _one_decimal(x: str) -> str:
+    return f"(CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS INTEGER) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END)"
+
+
+@query(f"""{_SCORE}, x AS (SELECT *, (SELECT count(*) FILTER (price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)) FROM g, c) AS op,
+    (SELECT count(*) FILTER (tier < t1 - 1.5 * (t3 - t1) OR tier > t3 + 1.5 * (t3 - t1)) FROM g, c) AS ot, round(100.0 * dup / n, 1) AS dp FROM s),
+  i AS (SELECT CASE WHEN mp >= 40 THEN 0 ELSE 1 END AS sev, 0 AS pos, 0 AS step, '"price" is missing ' || {_one_decimal("mp")} || '% of its values' AS msg
+      FROM x WHERE mp >= 10 UNION ALL
+    SELECT CASE WHEN mt >= 40 THEN 0 ELSE 1 END, 1, 0, '"tier" is missing ' || {_one_decimal("mt")} || '% of its values' FROM x WHERE mt >= 10 UNION ALL
+    SELECT 0, 2, 1, '"mix" mixes value types (only ' || CAST(same AS INTEGER) || '% consistent)' FROM x UNION ALL
+    SELECT 2, 0, 3, '"price" has ' || op || ' statistical outlier' || CASE WHEN op = 1 THEN '' ELSE 's' END FROM x WHERE op > 0 UNION ALL
+    SELECT 2, 1, 3, '"tier" has ' || ot || ' statistical outlier' || CASE WHEN ot = 1 THEN '' ELSE 's' END FROM x WHERE ot > 0 UNION ALL
+    SELECT CASE WHEN 100.0 * dup / n >= 5 THEN 0 ELSE 1 END, 9, 0, dup || ' duplicate row' || CASE WHEN dup = 1 THEN '' ELSE 's' END || ' (' ||
+      {_one_decimal("dp")} || '%)' FROM x WHERE dup > 0)
+  SELECT 'Health ' || CASE WHEN score >= 89.5 THEN 'A' WHEN score >= 79.5 THEN 'B' WHEN score >= 69.5 THEN 'C' WHEN score >= 59.5 THEN 'D' ELSE 'F' END
+    || ' (' || CAST(greatest(0, round(score)) AS INTEGER) || '/100), ' || n || ' rows, ' || dup || ' duplicate rows. Columns — price: numeric'
+    || CASE WHEN mp > 0 THEN ', ' || {_one_decimal("mp")} || '% missing' ELSE '' END || CASE WHEN op > 0 THEN ', ' || op || ' outliers' ELSE '' END
+    || ' | tier: numeric' || CASE WHEN mt > 0 THEN ', ' || {_one_decimal("mt")} || '% missing' ELSE '' END
+    || CASE WHEN ot > 0 THEN ', ' || ot || ' outliers' ELSE '' END || ' | mix: mixed. Issues — '
+    || (SELECT string_agg(msg, '; ' ORDER BY sev, pos, step) FROM i) || '.' AS summary FROM x""")
 def profile_summary_line(spark, sf):
     return Q.Quality(P.Profile(Table(N.gappy_orders(spark, sf), ["price", "tier", "mix"]))).summary_line()
 
@@ -1146,8 +1165,50 @@ def ranked_evidence(spark, sf):
     return ranked.withColumn("at", F.monotonically_increasing_id()).transform(lambda r: with_position(r, ["at"], name="place")).drop("at")
 
 
-@query()
+_UNDATED = ["o_orderstatus", "o_orderpriority", "price", "tier", "mix"]
+_KINDS = ["o_orderstatus", "o_orderpriority", "mix"]
+
+
+def _fence_sql(c: str) -> str:
+    return f"""SELECT '{c} has ' || n || ' value(s) outside the IQR fences (' || {_ntext('round(round(lo, 4), 2)')} || ' to ' || {_ntext('round(round(hi, 4), 2)')}
+    || ')' AS claim, 'iqr_outliers' AS metric, CAST(n AS DOUBLE) AS value, CASE WHEN 1.0 * n / valid >= 0.05 THEN 'moderate' ELSE 'weak' END AS strength,
+    valid AS sample_size FROM (SELECT count({c}) FILTER ({c} < lo OR {c} > hi) AS n, count({c}) AS valid, any_value(lo) AS lo, any_value(hi) AS hi
+    FROM g, (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo,
+      quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM g)) WHERE n > 0"""
+
+
+# The evidence of a table without dates and target: correlations, associations, leading levels and outliers.
+_EVIDENCE = f"""{_levels_sql(_KINDS, "g", GAPPY + ", ")},
+  rp AS ({_pairs_sql(["price", "tier"], lambda a, b: f"count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS p", "g")}),
+  rs AS ({_spearman_sql("price", "tier", "g")}),
+  rc AS (SELECT a, b, rp.n, abs(spearman) - abs(p) >= 0.2 AS ranked, round(CASE WHEN abs(spearman) - abs(p) >= 0.2 THEN spearman ELSE p END, 4) AS r
+    FROM rp JOIN rs USING (a, b)),
+  av AS (SELECT a, b, n, cramers_v AS v, CASE WHEN cramers_v >= 0.5 THEN 'strong' WHEN cramers_v >= 0.3 THEN 'moderate' ELSE 'weak' END AS st
+    FROM ({" UNION ALL ".join(f"SELECT * FROM {_chi_sql(a, b, 'g')}" for a, b in C.column_pairs(_KINDS))}) WHERE cramers_v >= 0.1),
+  top AS (SELECT "column", level, valid, uniq, round(100.0 * n / valid, 1) AS share FROM c JOIN t USING ("column")
+    QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, level) = 1),
+  e AS (SELECT a || ' and ' || b || CASE WHEN r > 0 THEN ' rise together (' ELSE ' move in opposite directions (' END || CASE WHEN ranked THEN 'spearman '
+      ELSE 'pearson ' END || CASE WHEN r >= 0 THEN '+' ELSE '' END || {_ntext('r')} || ')' AS claim, CASE WHEN ranked THEN 'spearman_rho' ELSE 'pearson_r' END AS metric,
+      r AS value, CASE WHEN abs(r) >= 0.9 THEN 'very strong' WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength,
+      n AS sample_size FROM rc WHERE abs(r) >= 0.3 AND n >= 3 UNION ALL
+    SELECT a || ' and ' || b || ' have ' || st || ' categorical association (Cramér''s V ' || {_ntext('v')} || ')', 'cramers_v', v, st, n FROM av UNION ALL
+    SELECT "column" || ' is dominated by "' || level || '" (' || {_ntext('share')} || '% of ' || valid || ' values across ' || uniq || ' levels)', 'category_share',
+      share, CASE WHEN share >= 60 THEN 'strong' WHEN share >= 35 THEN 'moderate' ELSE 'weak' END, valid FROM top WHERE share >= 20 AND valid >= 8 UNION ALL
+    {_fence_sql('price')} UNION ALL {_fence_sql('tier')})"""
+
+
+def _undated(spark, sf) -> Evidence:
+    return Evidence(P.Profile(Table(N.gappy_orders(spark, sf), _UNDATED)))
+
+
+@query(f"{_EVIDENCE} SELECT * FROM e")
 def build_evidence(spark, sf):
+    """All that a table without dates and target shows; the families of dates and targets have rows of their own."""
+    return _undated(spark, sf).build().select("claim", "metric", "value", "strength", "sample_size")
+
+
+@query()
+def build_target_evidence(spark, sf):
     return _orders_evidence(spark, sf).build().drop("statistics", "context")
 
 
@@ -1302,9 +1363,37 @@ def comparison_summary(spark, sf):
         F.col("current_columns").cast("int").alias("current_columns"), "shared_columns", "completeness_delta")
 
 
-@query()
+def _leader_sql(c: str) -> str:
+    def side(t):
+        return (f"(SELECT {c} AS l, round(100.0 * count(*) / (SELECT count({c}) FROM {t}), 1) AS share FROM {t} WHERE {c} IS NOT NULL "
+                f"GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+    return (f"SELECT 'low' AS severity, '{c} has a new leading category' AS title, x.l || ' (' || {_ntext('x.share')} || '%) to ' || y.l || ' (' || "
+            f"{_ntext('y.share')} || '%).' AS detail, 'categorical.dominant' AS metric, '{c}' AS columns FROM {side('a')} x, {side('b')} y WHERE x.l <> y.l")
+
+
+@query(f"""WITH {OLD}, {NEW}, w AS ({_side_welch('l_quantity')} UNION ALL {_side_welch('l_extendedprice')}),
+  d AS (SELECT "column" AS c, n1, n2, round(m1, 4) AS m1, round(m2, 4) AS m2, m2 - m1 AS diff, sqrt(v1 / n1 + v2 / n2) AS se, 1.959963984540054 AS z,
+    (v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) AS k FROM w),
+  q AS (SELECT *, z + (z ** 3 + z) / (4 * k) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * k ** 2) AS tc, round((m2 - m1) / abs(m1) * 100, 1) AS pct FROM d),
+  ks AS (SELECT * FROM {_side_ks('l_quantity')} UNION ALL SELECT * FROM {_side_ks('l_extendedprice')}),
+  n AS (SELECT (SELECT count(*) FROM a) AS a, (SELECT count(*) FROM b) AS b), r AS (SELECT *, round(100.0 * (b - a) / a, 1) AS pct FROM n),
+  both_text AS (SELECT *, {_ntext('m1')} || ' to ' || {_ntext('m2')} AS means FROM q)
+  SELECT 'high' AS severity, '1 shared column changed type' AS title, 'code: numeric to categorical' AS detail, 'schema.type' AS metric, 'code' AS columns
+  UNION ALL SELECT 'medium', '1 column added', 'l_tax', 'schema.added', 'l_tax' UNION ALL SELECT 'medium', '1 column removed', 'l_discount', 'schema.removed', 'l_discount'
+  UNION ALL SELECT 'medium', 'Row count ' || CASE WHEN pct > 0 THEN 'increased ' ELSE 'decreased ' END || {_ntext('abs(pct)')} || '%', a || ' to ' || b || ' rows.', 'rows', ''
+    FROM r WHERE abs(pct) >= 10
+  UNION ALL SELECT 'medium', c || ' mean difference excludes zero at 95% confidence', means || '; difference ' || {_ntext('round(diff, 4)')} || ', 95% CI '
+    || {_ntext('round(diff - tc * se, 4)')} || ' to ' || {_ntext('round(diff + tc * se, 4)')} || '. Exploratory and unadjusted across columns.', 'numeric.mean_shift', c
+    FROM both_text WHERE abs(diff) > tc * se
+  UNION ALL SELECT 'low', c || ' mean ' || CASE WHEN pct > 0 THEN 'increased ' ELSE 'decreased ' END || {_ntext('abs(pct)')} || '%',
+    means || '; descriptive change, before significance testing.', 'numeric.mean', c FROM both_text WHERE abs(diff) <= tc * se AND abs(pct) >= 10
+  UNION ALL SELECT 'medium', "column" || ' distribution shifted', 'Two-sample KS D=' || {_ntext('statistic')}
+    || '. This tests the full distribution and is exploratory and unadjusted across columns.', 'numeric.distribution_shift', "column" FROM ks WHERE statistic >= 0.2
+  UNION ALL {_leader_sql('l_returnflag')} UNION ALL {_leader_sql('l_linestatus')}""")
 def findings(spark, sf):
-    return _compare(spark, sf).findings()
+    """All findings of the two sides; p-values are left out of their texts, the interval's ends are compared."""
+    bare = F.regexp_replace("detail", r", p=[0-9.e-]+\. ", ". ")
+    return _compare(spark, sf).findings().withColumn("detail", bare).withColumn("columns", F.array_join("columns", ","))
 
 
 @query(f"""WITH {OLD}, {NEW}, k AS (SELECT * FROM {_side_ks('l_quantity')} UNION ALL SELECT * FROM {_side_ks('l_extendedprice')}),
@@ -1349,9 +1438,16 @@ def unsettled_reads(spark, sf):
     return U.unsettled_reads(P.Profile(Table(N.messy_lineitem(spark, sf), [*GAPS, "price_text"]))).select("text", "n")
 
 
-@query()
+@query(f"""{_EVIDENCE}, f AS (SELECT * FROM (VALUES (0, 'Correlations', true, 'two numeric columns', ['pearson_r', 'spearman_rho']),
+    (1, 'Group differences', false, 'a numeric target column', ['group_mean_difference', 'missingness_mean_difference']),
+    (2, 'Associations', true, 'two category columns', ['cramers_v']), (3, 'Dominant levels', true, 'a category column', ['category_share']),
+    (4, 'Time patterns', false, 'a date column with six dated rows', ['period_volume_trend']),
+    (5, 'Level shifts', false, 'a date column and a numeric target', ['candidate_level_shift']),
+    (6, 'Outliers', true, 'a numeric column', ['iqr_outliers'])) v(place, family, applicable, needs, metrics))
+  SELECT place, family, applicable, needs, (SELECT count(*) FROM e WHERE list_contains(metrics, metric)) AS found FROM f""")
 def family_coverage(spark, sf):
-    e = _orders_evidence(spark, sf)
+    """A table without dates and target: those families do not apply."""
+    e = _undated(spark, sf)
     return U.family_coverage(e, durable(e.build()))
 
 
