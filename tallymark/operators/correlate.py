@@ -100,7 +100,8 @@ def _ranked(numbers: DataFrame, counts: dict[tuple[str, str], int]) -> dict[tupl
                 yield pa.record_batch([pa.array(ids[both]), pa.array(np.full(int(both.sum()), k, np.int32)), pa.array(x[both, c] + 0.0)],
                                       names=["id", "key", "value"])
 
-    ranked = attach_ranks(rows.mapInArrow(cells, "id long, key int, value double"), ["key"], "value")
+    # Written once, as they are counted, and joined in two ways.
+    ranked = attach_ranks(durable(rows.mapInArrow(cells, "id long, key int, value double")), ["key"], "value")
     middle = F.element_at(F.array(*[F.lit((n + 1) / 2) for n in sizes]), F.col("key") + 1)
     whole = ranked.groupBy("id").agg(F.collect_list(F.struct("key", (F.col("rank") - middle).alias("z"))).alias("cells"))
     t = product_sums(whole.select("cells"), [a for a, _ in wanted], [b for _, b in wanted], len(keys))
