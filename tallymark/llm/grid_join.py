@@ -28,6 +28,8 @@ COSINE = 0.95
 DIRECTIONS = 12
 BLOCK = 512
 FAN = 4  # parts an interval is split into
+#: Vectors of one group of blocks that a task holds, in bytes.
+GROUP_BYTES = 32 << 20
 #: Allowance for rounding wherever a bound decides without a look.
 SLACK = 1e-6
 
@@ -155,28 +157,51 @@ def candidates(made: DataFrame, reach: float) -> DataFrame:
 
 
 def compare(pairs: DataFrame, made: DataFrame, cosine: float, reach: float) -> DataFrame:
-    """(id, n, other): how many vectors a point links with in the pair of blocks, and points spanning its links there."""
-    whole = made.select("block", "ids", "weights", "x", "centre", "radius")
-    sides = [whole.select(*[F.col(c).alias(s if c == "block" else s + c) for c in whole.columns]) for s in ("a", "b")]
+    """(id, n, other): how many vectors a point links with in the pair of blocks, and points spanning its links there.
+
+    Blocks are taken in groups of neighbours: a task gets the blocks of two groups once and all their pairs to compare, so
+    a block is sent once for each group it meets and not for each block.
+    """
+    count, dims = made.agg(F.count("*"), F.max(F.size("centre"))).first()
+    width = int(made.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = GROUP_BYTES // (BLOCK * 8 * max(dims or 1, 1))
+    group = int(max(1, min(most, count / (8 * width) ** 0.5)))  # several pairs of groups for each partition
+    near = [F.floor(F.col(c) / group).cast("long").alias(f"g{c}") for c in ("a", "b")]
+    todo = saved(pairs.select("a", "b", *near).groupBy("ga", "gb").agg(F.collect_list(F.struct("a", "b")).alias("todo")))
+    whole = made.select(F.floor(F.col("block") / group).cast("long").alias("g"), "block", "ids", "weights", "x", "centre", "radius")
+    sides = todo.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("g"))
+    sent = sides.join(whole, "g").drop("g")
+    asked = todo.withColumn("block", F.lit(-1).cast("long"))  # comes first of its pair of groups
+    rows = sent.unionByName(asked, allowMissingColumns=True).repartition("ga", "gb").sortWithinPartitions("ga", "gb", "block")
 
     def run(frames):
+        asked_now, held = [], {}
         for frame in frames:
             for r in frame.itertuples(index=False):
-                out = linked(r)
-                if out is not None:
-                    yield out
-
-    def linked(r):
-        ids_a, ids_b = np.frombuffer(r.aids, np.int64), np.frombuffer(r.bids, np.int64)
-        w_a, w_b = np.frombuffer(r.aweights, np.int64), np.frombuffer(r.bweights, np.int64)
-        same = r.a == r.b
-        apart = float(np.linalg.norm(np.asarray(r.acentre) - np.asarray(r.bcentre))) + r.aradius + r.bradius
+                if r.block >= 0:
+                    held[r.block] = r
+                    continue
+                yield from compared(asked_now, held)
+                asked_now, held = r.todo, {}
+        yield from compared(asked_now, held)
+
+    def compared(asked_now, held):
+        for p in asked_now:
+            out = linked(held[p["a"]], held[p["b"]])
+            if out is not None:
+                yield out
+
+    def linked(one, two):
+        ids_a, ids_b = np.frombuffer(one.ids, np.int64), np.frombuffer(two.ids, np.int64)
+        w_a, w_b = np.frombuffer(one.weights, np.int64), np.frombuffer(two.weights, np.int64)
+        same = one.block == two.block
+        apart = float(np.linalg.norm(np.asarray(one.centre) - np.asarray(two.centre))) + one.radius + two.radius
         if apart < reach - SLACK:  # every vector of one links with every one of the other
             n_a, n_b = np.full(len(ids_a), w_b.sum()), np.full(len(ids_b), w_a.sum())
             other_a, other_b = np.full(len(ids_a), ids_b[0]), np.full(len(ids_b), ids_a[0])
             spans = [(ids_a, other_a), (ids_b, other_b)]
         else:
-            x, y = (np.frombuffer(v, float).reshape(len(i), -1) for v, i in ((r.ax, ids_a), (r.bx, ids_b)))
+            x, y = (np.frombuffer(v, float).reshape(len(i), -1) for v, i in ((one.x, ids_a), (two.x, ids_b)))
             ok = x.astype(np.float32) @ y.astype(np.float32).T >= cosine - 1e-4
             if not ok.any():
                 return None
@@ -205,7 +230,7 @@ def compare(pairs: DataFrame, made: DataFrame, cosine: float, reach: float) -> D
             _, at = np.unique(leader[rows], return_index=True)
             yield ids_a[rows[at]], np.full(len(at), ids_b[k])
 
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInPandas(run, "id long, n long, other long, link boolean")
+    return rows.mapInPandas(run, "id long, n long, other long, link boolean")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
