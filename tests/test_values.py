@@ -83,3 +83,9 @@ def test_half_day_clocks_are_dates(spark):
     found = {r.k: str(r.d) for r in df.select("k", D.to_date(F.col("c"), TEXT).alias("d")).collect()}
     assert [found[k] for k in range(5)] == [
         "2024-03-01 22:00:00", "2024-03-01 00:05:00", "2024-03-01 09:30:15", "None", "2024-03-01 22:00:00"]
+
+
+def test_only_midnight_itself_drops_the_clock(spark):
+    cells = ["2024-01-05 00:00:00", "2024-01-05 00:00:00.25", "2024-01-05 00:00:00.000001", "2024-01-05 00:00:07", "2024-01-05 13:30:00", None]
+    got = read(spark, cells, lambda c: D.normalize_date_cell(c.cast("timestamp_ntz")))
+    assert got == ["2024-01-05", "2024-01-05 00:00", "2024-01-05 00:00", "2024-01-05 00:00", "2024-01-05 13:30", None]
