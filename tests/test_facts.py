@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from tallymark.operators.quality import Quality
 from tallymark.operators.sample import representative_sample
 from tallymark.operators.table import Table, UnknownColumn, resolve_target, select_columns
 from tallymark.operators.compare import Comparison
+from tallymark.plans.catalog import QUERIES
 from tallymark.session import durable
+from tallymark.sources import store as B
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +222,25 @@ def test_duplicates_are_counted_whatever_the_filter_lets_through(spark, monkeypa
     monkeypatch.setattr(Q, "BLOOM_PIECE", 64)
     assert Q.duplicate_rows(t).first().duplicate_rows == expected
     assert Q.duplicate_rows(Table(spark.range(50).toDF("a"))).first().duplicate_rows == 0
+
+
+def test_saved_results_are_got_by_a_table_of_ids(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    saved = [(f"a{k}", start + dt.timedelta(days=k), "s", "k", None, None, None, None, "{}") for k in range(60)]
+    keeper = B.AnalysisStore(spark, str(tmp_path), "month")
+    keeper.append(spark.createDataFrame(saved, B.FIELDS))
+    asked = [f"a{k}" for k in range(0, 60, 2)] + ["a4", "a40", "never", None]
+    cutoff, table = start + dt.timedelta(days=30), spark.createDataFrame([(k,) for k in asked], "id string")
+    expected = [f"a{k}" for k in range(30, 60, 2)]
+    assert sorted(r.id for r in keeper.get(table, cutoff).collect()) == expected
+    assert sorted(r.id for r in keeper.get(asked[:-1], cutoff).collect()) == expected
+    assert [r.id for r in keeper.get("a44", cutoff).collect()] == ["a44"] and keeper.get("a4", cutoff).count() == 0
+
+
+def test_the_query_of_saved_results_asks_for_every_tenth(spark, tmp_path):
+    orders = [(k, k % 7, "O", dt.datetime(1998, 7, 1), 1.0) for k in range(200)]
+    spark.createDataFrame(
+        orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_totalprice double"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["get_analysis"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in found) == sorted(f"a{k}" for k in range(200) if k % 10 == 3)
