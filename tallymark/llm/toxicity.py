@@ -1,15 +1,15 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled documents is the example set. Terms are kept that occur in toxic examples more often than
-chance allows (likelihood ratio); a term counts for no more documents than there are different words that it follows, so
-copies of one document prove nothing. Document frequencies of the kept terms are counted over all documents. The examples stand in an inverted
-index whose lists are cut into blocks with their greatest weight; a document visits blocks in the order of their upper
-bounds and stops when no block can still reach its k nearest. The votes of those neighbours, weighted by similarity,
-become a probability through a monotone curve fitted to the examples (each without itself); the neighbours are the
-evidence.
-
-Defined results: null and empty texts, and texts without any kept term, have no neighbours and get the rate of the
-examples without neighbours; ties of similarity go to the smaller example id; repeated rows get equal scores; without
+A bounded sample of labelled documents is the example set. All words of the examples are terms, and all of them count in
+the cosine. A term's weight grows with its likelihood ratio, by which it occurs in toxic examples more often than chance
+allows; for that ratio a term counts for no more documents than there are different words that it follows, so copies of
+one document prove nothing. Document frequencies of the terms are counted over all documents. The examples stand in an
+inverted index: a document adds up the posting lists of its terms, so each example's similarity is exact. The votes of
+the k nearest, weighted by similarity, become a probability through a monotone curve fitted to the examples (each without
+itself); the neighbours are the evidence.
+
+Defined results: null and empty texts, and texts without any word of the examples, have no neighbours and get the rate of
+the examples without neighbours; ties of similarity go to the smaller example id; repeated rows get equal scores; without
 labels all scores are 0; other columns are not read.
 """
 
@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import batched, repeat
 
-import ahocorasick
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tallymark.llm.common import fold
@@ -29,12 +32,12 @@ from tallymark.llm.examples import labelled, monotone
 
 #: Bounds of the example set; everything else covers all documents.
 EXAMPLES = 8000
-TERMS = 2000
-#: Likelihood ratio (twice the log) that a term needs, and the contexts it must be found in.
-RATIO = 35.0
-CONTEXTS = 5
 NEIGHBOURS = 15
+#: Documents compared at a time, and the longest posting lists, which are multiplied as one matrix.
 BLOCK = 64
+COMMON = 256
+#: Weights are whole multiples of 1 / GRAIN, so sums of products are exact in any order.
+GRAIN = 2.0 ** 26
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -42,75 +45,107 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-class Finder:
-    """Counts the kept terms in a text: a keyword automaton finds them, and only whole tokens count."""
+def counted(text: str | None, terms: dict[str, int]) -> dict[int, int]:
+    """How often each known term stands in a text."""
+    return Counter(terms[t] for t in tokens(text) if t in terms)
 
-    def __init__(self, terms: dict[str, int]):
-        self.automaton = ahocorasick.Automaton()
-        for term, k in terms.items():
-            self.automaton.add_word(term, (k, len(term)))
-        if terms:
-            self.automaton.make_automaton()
-        self.any = bool(terms)
 
-    def __call__(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        if self.any and text:
-            text = text.lower()
-            for end, (k, size) in self.automaton.iter(text):
-                if not (text[end + 1: end + 2].isalnum() or end >= size and text[end - size].isalnum()):
-                    found[k] = found.get(k, 0) + 1
-        return found
+@dataclass
+class Lists:
+    """One posting list a term, one after the other: the examples that hold it, with their weights."""
+
+    starts: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, terms: int) -> Lists:
+        order = np.argsort(term, kind="stable")
+        return cls(np.searchsorted(term[order], np.arange(terms + 1)), row[order], weight[order], size)
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row in the matrix of the longest lists, or -1, and that matrix."""
+        lengths = np.diff(self.starts)
+        longest = np.argsort(-lengths, kind="stable")[:COMMON]
+        slot, matrix = np.full(len(lengths), -1), np.zeros((len(longest), self.size))
+        slot[longest] = np.arange(len(longest))
+        for k, t in enumerate(longest.tolist()):
+            matrix[k, self.rows[self.starts[t]:self.starts[t + 1]]] = self.weights[self.starts[t]:self.starts[t + 1]]
+        return slot, matrix
+
+    def similarities(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The products of some vectors with every example."""
+        slot, matrix = self.common
+        dense = np.zeros((len(vectors), len(matrix)))
+        for k, (at, w) in enumerate(vectors):
+            dense[k, slot[at][slot[at] >= 0]] = w[slot[at] >= 0]
+        out = dense @ matrix
+        for k, (at, w) in enumerate(vectors):
+            at, w = at[slot[at] < 0], w[slot[at] < 0]
+            lengths = self.starts[at + 1] - self.starts[at]
+            where = np.arange(lengths.sum()) + np.repeat(self.starts[at] - np.cumsum(lengths) + lengths, lengths)
+            out[k] += np.bincount(self.rows[where], self.weights[where] * np.repeat(w, lengths), self.size)
+        return out
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples, term by term, in blocks of ``BLOCK`` neighbouring examples."""
+    """Unit vectors of the examples; ``weights`` as posting lists, or as a matrix of examples x terms that becomes such lists."""
 
     terms: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # with the weight that binds a term to the label
     ids: np.ndarray
     y: np.ndarray
-    weights: np.ndarray  # examples x kept terms; rows of one block stand together
-    most: np.ndarray  # terms x blocks: the greatest weight
+    weights: Lists | np.ndarray
+    most: np.ndarray | None  # greatest weights of blocks of a matrix; the lists need no bounds
     empty_rate: float
     curve: tuple[np.ndarray, np.ndarray]
 
+    def __post_init__(self):
+        self.lists = self.weights
+        if not isinstance(self.lists, Lists):
+            row, term = np.nonzero(self.weights)
+            self.lists = Lists.of(row, term, self.weights[row, term], *self.weights.shape)
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         at = np.array(sorted(counts), np.int64)
         w = (1 + np.log([counts[k] for k in at.tolist()])) * self.idf[at]
-        return at, w / np.linalg.norm(w)
+        return at, np.rint(w / np.linalg.norm(w) * GRAIN) / GRAIN
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples with a similarity above 0, exactly; ``without`` leaves one out."""
-        bounds = w @ self.most[at]
-        found, sims = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(sims) >= k and bounds[block] < sims[k - 1] - 1e-12:
-                break
-            lo = block * BLOCK
-            s = self.weights[lo: lo + BLOCK][:, at] @ w
-            new = np.flatnonzero(s > 0) + lo
-            new = new[new != without]
-            found, sims = np.concatenate([found, new]), np.concatenate([sims, s[new - lo]])
-            best = np.lexsort((self.ids[found], -np.round(sims, 12)))[:k]
-            found, sims = found[best], sims[best]
-        return found, sims
+        return self._best(self.lists.similarities([(at, w)])[0], k, without)
+
+    def _best(self, sims: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        if without >= 0:
+            sims[without] = 0
+        found = np.flatnonzero(sims > 0)
+        if len(found) > k:  # what can be among the k after rounding
+            found = found[sims[found] >= np.partition(sims[found], -k)[-k] - 2e-12]
+        best = found[np.lexsort((self.ids[found], -np.round(sims[found], 12)))[:k]]
+        return best, sims[best]
 
     def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
         return float((sims * self.y[found]).sum() / sims.sum())
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        if counts:
-            found, sims = self.nearest(*self.vector(counts), NEIGHBOURS)
-            if len(found):
-                p = float(np.interp(self.vote(found, sims), *self.curve))
-                return p, self.ids[found].tolist(), np.round(sims, 6).tolist()
+    def all_nearest(self, many: Iterable[dict[int, int]], without: Iterable[int] = repeat(-1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The neighbours of each of many documents; one without known terms has none."""
+        for part in batched(zip(many, without), BLOCK):
+            sims = iter(self.lists.similarities([self.vector(c) for c, _ in part if c]))
+            for c, out in part:
+                yield self._best(next(sims), NEIGHBOURS, out) if c else (np.zeros(0, np.int64), np.zeros(0))
+
+    def score(self, found: np.ndarray, sims: np.ndarray) -> tuple[float, list[int], list[float]]:
+        if len(found):
+            p = float(np.interp(self.vote(found, sims), *self.curve))
+            return p, self.ids[found].tolist(), np.round(sims, 6).tolist()
         return self.empty_rate, [], []
 
 
-def choose_terms(examples: DataFrame, n: int, positive: int) -> list[str]:
-    """Terms bound to the label, strongest first."""
+def weigh_terms(examples: DataFrame, n: int, positive: int) -> dict[str, float]:
+    """All terms of the examples with a weight: 1 and the likelihood ratio (twice the log) by which a term is bound to the label."""
     def contexts(batches):
         for frame in batches:
             rows = set()
@@ -125,7 +160,7 @@ def choose_terms(examples: DataFrame, n: int, positive: int) -> list[str]:
     by = seen.groupBy("term").agg(
         F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0)).alias("a"),
         F.coalesce(F.sum(F.when(F.col("y") != 1, F.col("n"))), F.lit(0)).alias("b"))
-    by = by.select("term", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).where(f"a >= {CONTEXTS}")
+    by = by.select("term", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
 
     def part(seen_, expected):
         return F.when(seen_ > 0, seen_ * F.log(seen_ / expected)).otherwise(0.0)
@@ -133,56 +168,70 @@ def choose_terms(examples: DataFrame, n: int, positive: int) -> list[str]:
     k, rest = F.col("a") + F.col("b"), n - positive
     ratio = 2 * (part(F.col("a"), k * positive / n) + part(F.col("b"), k * rest / n)
                  + part(positive - F.col("a"), (n - k) * positive / n) + part(rest - F.col("b"), (n - k) * rest / n))
-    by = by.where((F.col("a") * rest > F.col("b") * positive)).withColumn("ratio", ratio).where(f"ratio > {RATIO}")
-    return [r.term for r in by.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
+    bound = F.when(F.col("a") * rest > F.col("b") * positive, F.greatest(ratio, F.lit(0.0))).otherwise(0.0)
+    found = by.select("term", (1 + bound).alias("weight")).toArrow().sort_by("term")
+    return dict(zip(found["term"].to_pylist(), found["weight"].to_pylist(), strict=True))
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int], text: str) -> tuple[int, np.ndarray]:
-    """Over all documents; one row per kept term and task is all that moves."""
+def document_frequencies(docs: DataFrame, shared: Broadcast, text: str) -> tuple[int, np.ndarray]:
+    """Over all documents; one row per term and task is all that moves."""
     def run(batches):
-        total, seen, find = 0, Counter(), Finder(terms)
+        total, seen, known = 0, Counter(), shared.value
         for frame in batches:
             total += len(frame)
             for value in frame["text"]:
-                seen.update(find(value).keys())
-        yield pd.DataFrame([(-1, total), *sorted(seen.items())], columns=["term", "n"])
+                seen.update({t for t in tokens(value) if t in known})
+        yield pd.DataFrame([(-1, total), *sorted((known[t], c) for t, c in seen.items())], columns=["term", "n"])
 
     found = docs.select(F.col(text).alias("text")).mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n"))
-    by = dict(found.collect())
-    return by.get(-1, 0), np.array([by.get(k, 0) for k in range(len(terms))], float)
+    found = found.toDF("term", "n").toArrow()
+    by = np.zeros(len(shared.value) + 1)
+    by[found["term"].to_numpy() + 1] = found["n"].to_numpy()
+    return int(by[0]), by[1:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
         examples: int = EXAMPLES) -> Index:
     sample = labelled(docs, labels, label, examples, key=key, text=text)
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    terms = {t: k for k, t in enumerate(choose_terms(sample, n, positive))} if 0 < positive < n else {}
-    total, df = document_frequencies(docs, terms, text)
+    weighed = weigh_terms(sample, n, positive) if n else {}
+    spread = docs.sparkSession.sparkContext.broadcast
+    terms = {t: k for k, t in enumerate(weighed)}
+    known = spread(terms)
+    total, df = document_frequencies(docs, known, text)
 
     def vectors(batches):
-        find = Finder(terms)
         for frame in batches:
-            found = [sorted(find(t).items()) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "at": [[k for k, _ in f] for f in found],
-                                "n": [[c for _, c in f] for f in found]})
+            found = [sorted(counted(t, known.value).items()) for t in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "at": [np.array([k for k, _ in f], np.int32).tobytes() for f in found],
+                                "n": [np.array([c for _, c in f], np.int32).tobytes() for f in found]})
 
     kind = dict(sample.dtypes)["id"]
-    rows = sample.mapInPandas(vectors, f"id {kind}, y int, at array<int>, n array<int>").collect()
-    bare = [r.y for r in rows if not r.at]
-    rows = sorted((r for r in rows if r.at), key=lambda r: (r.at, r.n, r.id))  # alike examples share blocks
-    index = Index(terms, np.log((1 + total) / (1 + df)) + 1, np.array([r.id for r in rows]),
-                  np.array([r.y for r in rows], float), np.zeros((len(rows), len(terms))), np.zeros((len(terms), 0)),
-                  sum(bare) / (len(bare) + 1.0), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    queries = [index.vector(dict(zip(r.at, r.n, strict=True))) for r in rows]
-    for k, (at, w) in enumerate(queries):
-        index.weights[k, at] = w
-    if rows:
-        starts = np.arange(0, len(rows), BLOCK)
-        index.most = np.maximum.reduceat(index.weights, starts, axis=0).T
-        votes = [(k, *index.nearest(at, w, NEIGHBOURS, without=k)) for k, (at, w) in enumerate(queries)]
-        votes = [(index.vote(f, s), index.y[k]) for k, f, s in votes if len(f)]
-        if votes:
-            index.curve = monotone(*map(np.array, zip(*votes, strict=True)))
+    rows = sample.mapInPandas(vectors, f"id {kind}, y int, at binary, n binary").toArrow().sort_by("id")
+    y = rows["y"].to_numpy().astype(float)
+    at, counts = (np.frombuffer(b"".join(rows[c].to_pylist()), np.int32) for c in ("at", "n"))
+    row = np.repeat(np.arange(len(y)), [len(a) // 4 for a in rows["at"].to_pylist()])
+    idf = (np.log((1 + total) / (1 + df)) + 1) * np.array(list(weighed.values()))
+    w = (1 + np.log(counts)) * idf[at]
+    w = np.rint(w / np.sqrt(np.bincount(row, w * w, len(y)))[row] * GRAIN) / GRAIN
+    known.destroy()
+    bare = y[np.bincount(row, minlength=len(y)) == 0]
+    index = Index(terms, idf, np.array(rows["id"].to_pylist()), y, Lists.of(row, at, w, len(y), len(terms)), None,
+                  float(bare.sum() / (len(bare) + 1)), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    shared = spread(index)
+
+    def votes(batches):
+        found = shared.value
+        place = {one: k for k, one in enumerate(found.ids.tolist())}
+        for frame in batches:
+            near = found.all_nearest((counted(t, found.terms) for t in frame["text"]), (place[one] for one in frame["id"]))
+            out = [(found.vote(*n), is_toxic) for n, is_toxic in zip(near, frame["y"], strict=True) if len(n[0])]
+            yield pd.DataFrame(out, columns=["vote", "y"])
+
+    left_out = sample.mapInPandas(votes, "vote double, y int").toArrow()
+    shared.destroy()
+    if left_out.num_rows:
+        index.curve = monotone(left_out["vote"].to_numpy(), left_out["y"].to_numpy().astype(float))
     return index
 
 
@@ -194,18 +243,10 @@ def score(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text"
     ids = ids or dict(docs.dtypes)[key]
 
     def run(batches):
-        found, memory = shared.value, {}
-        find = Finder(found.terms)
+        found = shared.value
         for frame in batches:
-            out = []
-            for value in frame["text"]:
-                counts = find(value)
-                signature = tuple(sorted(counts.items()))
-                if signature not in memory:
-                    if len(memory) > 50_000:
-                        memory.clear()
-                    memory[signature] = found.score(counts)
-                out.append(memory[signature])
+            near = found.all_nearest(counted(value, found.terms) for value in frame["text"])
+            out = [found.score(*n) for n in near]
             yield pd.DataFrame({"id": frame["id"], "score": [o[0] for o in out], "neighbours": [o[1] for o in out],
                                 "similarities": [o[2] for o in out]})
 

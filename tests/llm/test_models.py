@@ -71,6 +71,40 @@ def test_toxic_words_are_learnt_and_edges_defined(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_all_words_of_the_examples_count(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{int(j)}" for j in rng.zipf(1.5, 25) % 500) + (" vile" if k % 4 == 0 else "")) for k in range(120)]
+    rows += [(200 + k, "once upon a fixed phrase") for k in range(5)] + [(300, "upon a"), (301, "unheard of"), (302, None)]
+    label = {k: int(k % 4 == 0) for k, _ in rows if k < 300}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame(list(label.items()), "doc_id long, toxic int"))
+    known = {k: Counter((t or "").split()) for k, t in rows}
+    learnt = [k for k in label if held(k) != 0]
+    terms = sorted({w for k in learnt for w in known[k]})
+    assert list(index.terms) == terms
+    n, positive, weight = len(learnt), sum(label[k] for k in learnt), {}
+    for w in terms:
+        a, b = (min(len({k for k in learnt if w in known[k] and label[k] == y}),
+                    len({p for k in learnt if label[k] == y for ws in [dict(rows)[k].split()] for p, t in zip(["", *ws], ws) if t == w}))
+                for y in (1, 0))
+        cells = [(a, (a + b) * positive / n), (b, (a + b) * (n - positive) / n),
+                 (positive - a, (n - a - b) * positive / n), (n - positive - b, (n - a - b) * (n - positive) / n)]
+        ratio = 2 * sum(s * math.log(s / e) for s, e in cells if s) if a * (n - positive) > b * positive else 0.0
+        weight[w] = (1 + ratio) * (math.log((1 + len(rows)) / (1 + sum(w in c for c in known.values()))) + 1)
+
+    def vector(counts):
+        v = np.array([(1 + math.log(counts[w])) * weight[w] if counts[w] else 0.0 for w in terms])
+        return v / (np.linalg.norm(v) or 1)
+
+    matrix = np.array([vector(known[k]) for k in learnt])
+    for r in toxicity.score(docs, index).collect():
+        sims = np.round(matrix @ vector(known[r.doc_id]), 9)
+        expected = np.sort(sims[sims > 0])[::-1][:toxicity.NEIGHBOURS]
+        assert np.allclose(r.similarities, expected, atol=1e-6)
+        assert all(abs(sims[learnt.index(k)] - s) < 1e-6 for k, s in zip(r.neighbours, r.similarities, strict=True))
+        assert bool(r.neighbours) == (r.doc_id not in (301, 302))
+
+
 def test_marginals_match_all_labellings():
     rng = np.random.default_rng(4)
     counts, stay = np.array([3, 1, 5, 2]), rng.normal(size=(2, 2))
