@@ -58,27 +58,31 @@ def preview(cells: Column) -> Column:
     return F.transform(shown, lambda c: F.substring(V.trimmed(c), 1, PREVIEW_CHARS))
 
 
-def aggregate_label(cells: Column, numbers: Column) -> Column:
-    """The first cell that is neither missing nor a number, if it names a total."""
-    words = F.filter(
-        F.arrays_zip(cells.alias("c"), numbers.alias("n")), lambda z: ~V.is_missing(z.c, TEXT) & z.n.isNull())
-    first = V.trimmed(F.try_element_at(words, F.lit(1)).c)
+def aggregate_label(trimmed: Column, numbers: Column) -> Column:
+    """The first trimmed cell that is neither missing nor a number, if it names a total."""
+    words = F.filter(F.zip_with(trimmed, numbers, lambda t, n: F.when(n.isNull() & (t != ""), t)), lambda t: t.isNotNull())
+    first = F.try_element_at(words, F.lit(1))
     return F.when(first.rlike(AGGREGATE_LABEL), first)
 
 
 def read_rows(grid: DataFrame) -> DataFrame:
     """Each row with its numbers, span and the counts the later steps compare."""
-    numbers = F.transform("cells", lambda c: V.to_number(c, TEXT))
-    present = F.filter("cells", lambda c: ~V.is_missing(c, TEXT))
+    # One select per step: cells are trimmed once, and the later steps name what the earlier ones found.
     rows = grid.select(
         "file_id", "row_no", F.floor((F.col("row_no") - 1) / CHUNK_ROWS).alias("chunk"), "cells",
-        numbers.alias("numbers"), row_span(F.col("cells")).alias("span"),
-        F.transform(present, lambda c: F.lower(V.trimmed(c))).alias("words"))
+        F.transform("cells", V.trimmed).alias("t"))
+    reach = F.transform("t", lambda t, i: F.when(t != "", i + 1).otherwise(0))
+    rows = rows.select(
+        "file_id", "row_no", "chunk", "cells", "t",
+        F.transform("t", lambda t: F.when(t.rlike(V.NUMBER_START), V.number_from(t))).alias("numbers"),
+        F.coalesce(F.array_max(reach), F.lit(0)).alias("span"),
+        F.transform(F.filter("t", lambda t: t != ""), F.lower).alias("words"))
     filled = F.size("words")
     return rows.select(
         "file_id", "row_no", "chunk", "cells", "numbers", "span", filled.alias("present"),
-        (filled - F.size(F.filter("numbers", lambda n: n.isNotNull()))).alias("textual"),
-        F.size(F.array_distinct("words")).alias("distinct"), (filled == 0).alias("blank"))
+        (filled - F.size(F.array_compact("numbers"))).alias("textual"),
+        F.size(F.array_distinct("words")).alias("distinct"), (filled == 0).alias("blank"),
+        aggregate_label(F.col("t"), F.col("numbers")).alias("label"))
 
 
 def _same_start(a: Column, b: Column) -> Column:
@@ -149,49 +153,46 @@ def header_candidates(rows: DataFrame, widths: DataFrame) -> DataFrame:
     Only the first rows of a sheet matter: 25 candidates and ten rows under the last.
     """
     order = W.partitionBy("file_id").orderBy("row_no")
+    below = order.rowsBetween(1, CONTRAST_ROWS)
     top = rows.filter("NOT blank").select(
         "file_id", "row_no", "span", "present", "textual", "distinct", F.row_number().over(order).alias("nth"))
-    listed = top.filter(F.col("nth") <= HEADER_SCAN + CONTRAST_ROWS).groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct("row_no", "span", "present", "textual", "distinct"))).alias("rows"))
-    joined = listed.join(widths, "file_id")
-    width = F.col("width")
-
-    def total(items: Column, field: str) -> Column:
-        return F.aggregate(items, F.lit(0).cast("long"), lambda s, r: s + r[field])
-
-    def score(r: Column, i: Column) -> Column:
-        below = F.slice("rows", i + 2, CONTRAST_ROWS)
-        reach = F.least(F.lit(1.0), r.span / width)
-        distinct = _share(r.distinct, r.present)
-        contrast = F.greatest(
-            F.lit(0.0), _share(r.textual, r.present) - _share(total(below, "textual"), total(below, "present")))
-        agreement = _share(F.size(F.filter(below, lambda b: b.span == width)), F.size(below))
-        return F.struct(
-            r.row_no.alias("row_no"), (r.present < width).alias("sparse"), reach.alias("reach"),
-            distinct.alias("distinct"), contrast.alias("contrast"), agreement.alias("agreement"),
-            (reach + distinct + contrast + agreement).alias("score"))
-
-    scored = F.filter(F.transform("rows", score), lambda c: c.row_no <= HEADER_SCAN)
-    return joined.select("file_id", "width", scored.alias("candidates")).filter(F.size("candidates") > 0)
+    listed = top.filter(F.col("nth") <= HEADER_SCAN + CONTRAST_ROWS).join(widths, "file_id").select(
+        "*", F.sum("textual").over(below).alias("textual_below"), F.sum("present").over(below).alias("present_below"),
+        F.count_if(F.col("span") == F.col("width")).over(below).alias("agreeing"), F.count("span").over(below).alias("rows_below"))
+    scored = listed.filter(F.col("row_no") <= HEADER_SCAN).select(
+        "file_id", "width", "row_no", (F.col("present") < F.col("width")).alias("sparse"),
+        F.least(F.lit(1.0), F.col("span") / F.col("width")).alias("reach"),
+        _share(F.col("distinct"), F.col("present")).alias("distinct"),
+        F.greatest(F.lit(0.0), _share(F.col("textual"), F.col("present"))
+                   - _share(F.col("textual_below"), F.col("present_below"))).alias("contrast"),
+        _share(F.col("agreeing"), F.col("rows_below")).alias("agreement"))
+    parts = ["reach", "distinct", "contrast", "agreement"]
+    score = sum((F.col(c) for c in parts[1:]), F.col(parts[0]))
+    return scored.groupBy("file_id", "width").agg(
+        F.sort_array(F.collect_list(F.struct("row_no", "sparse", *parts, score.alias("score")))).alias("candidates"))
 
 
 def choose_header(candidates: DataFrame) -> DataFrame:
     """The header row of each sheet, whether it is certain, and the other plausible rows."""
-    viable = F.filter("candidates", lambda c: c.reach >= HEADER_REACH)
-    staged = candidates.withColumn("viable", viable).withColumn("first", F.try_element_at("viable", F.lit(1)))
-    later = F.filter(
-        "viable", lambda c: (c.row_no > F.col("first.row_no")) & (c.score > F.col("first.score")))
-    best = F.element_at(F.array_sort(F.transform(
-        "candidates", lambda c: F.struct((-c.score).alias("s"), c.row_no.alias("r"), c.alias("c")))), 1).c
-    staged = staged.withColumn("better", F.when(F.col("first.sparse"), F.try_element_at(later, F.lit(1))))
-    staged = staged.withColumn(
-        "chosen", F.when(F.size("viable") == 0, best).otherwise(F.coalesce("better", "first")))
-    stepped = F.col("chosen.row_no") > F.element_at("candidates", 1).row_no
-    certain = (F.size("viable") > 0) & (~stepped | (F.col("chosen.contrast") > 0)) & F.col("better").isNull()
-    pool = F.when(F.size("viable") == 0, F.col("candidates")).otherwise(F.col("viable"))
-    others = F.filter(F.transform(pool, lambda c: c.row_no), lambda r: r != F.col("chosen.row_no"))
+    viable, one = F.col("reach") >= HEADER_REACH, F.struct("row_no", "score", "sparse", "contrast")
+    rows = candidates.select("file_id", "width", F.inline("candidates")).withColumn("viable", viable)
+    rows = rows.withColumn("first", F.min(F.when(F.col("viable"), one)).over(W.partitionBy("file_id")))
+    later = F.col("viable") & (F.col("row_no") > F.col("first.row_no")) & (F.col("score") > F.col("first.score"))
+    staged = rows.groupBy("file_id", "width").agg(
+        F.min("first").alias("first"), F.min(F.when(later, one)).alias("later"),
+        F.min(F.struct((-F.col("score")).alias("s"), "row_no", "contrast")).alias("best"), F.min("row_no").alias("start"),
+        F.sort_array(F.collect_list(F.when(F.col("viable"), F.col("row_no")))).alias("viable_rows"),
+        F.sort_array(F.collect_list("row_no")).alias("all_rows"))
+    none = F.col("first").isNull()
+    staged = staged.withColumn("better", F.when(F.col("first.sparse"), F.col("later")))
+    picked = {c: F.when(none, F.col(f"best.{c}")).otherwise(F.coalesce(F.col(f"better.{c}"), F.col(f"first.{c}")))
+              for c in ("row_no", "contrast")}
+    staged = staged.select("*", *[v.alias(c) for c, v in picked.items()])
+    stepped = F.col("row_no") > F.col("start")
+    certain = ~none & (~stepped | (F.col("contrast") > 0)) & F.col("better").isNull()
+    others = F.array_remove(F.when(none, F.col("all_rows")).otherwise(F.col("viable_rows")), F.col("row_no"))
     return staged.select(
-        "file_id", "width", F.col("chosen.row_no").alias("header_row"), certain.alias("certain"),
+        "file_id", "width", F.col("row_no").alias("header_row"), certain.alias("certain"),
         F.when(~certain, others).otherwise(F.array().cast("array<long>")).alias("others"))
 
 
@@ -240,20 +241,40 @@ class Sheets:
         return self.headers.filter("header_row IS NOT NULL").select(
             "file_id", F.explode(stretches).alias("chunk"), *columns)
 
+    @cached_property
+    def _stretches(self) -> DataFrame:
+        """All stretches of the sheets that have more than one."""
+        return self._by_stretch("rows_total").filter(F.col("rows_total") > CHUNK_ROWS).select(*STRETCH)
+
+    @cached_property
+    def _deepest(self) -> int:
+        """The lowest header of all sheets: rows under it need not be looked at for headers and what stands above them."""
+        return self.headers.agg(F.max("header_row")).first()[0] or 0
+
     @cached_property
     def data(self) -> DataFrame:
-        """Non-blank rows under the header, flagged: label, second header."""
+        """Non-blank rows under the header, flagged: label, second header.
+
+        Rows meet the sheet's facts once; all windows follow that layout. What a stretch needs of the one before or after
+        it comes from the stretches of sheets that have several.
+        """
         inner = W.partitionBy(*STRETCH).orderBy("row_no")
-        across = W.partitionBy("file_id").orderBy("chunk")
-        rows = self.rows.join(self._by_stretch("header_row"), STRETCH)
-        ends = rows.groupBy(*STRETCH).agg(F.max_by("blank", "row_no").alias("ends_blank"))
-        before = ends.select(*STRETCH, F.lag("ends_blank").over(across).alias("_blank_before"))
-        rows = rows.withColumn("_lag", F.lag("blank").over(inner)).join(before, STRETCH).withColumn(
+        earlier = W.partitionBy("file_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+        later = W.partitionBy("file_id").orderBy(F.desc("chunk")).rowsBetween(W.unboundedPreceding, -1)
+        ends = self.rows.select(*STRETCH, "row_no", "blank").join(self._stretches, STRETCH).groupBy(*STRETCH).agg(
+            F.max_by("blank", "row_no").alias("ends_blank"))
+        before = self._stretches.join(ends, STRETCH, "left").select(
+            *STRETCH, F.last("ends_blank", True).over(earlier).alias("_blank_before"))
+        heads = self._by_stretch("header_row", "width")
+        starts = self.rows.filter("chunk > 0 AND NOT blank").join(heads, STRETCH).filter("row_no > header_row").groupBy(*STRETCH).agg(
+            F.min_by("numbers", "row_no").alias("starts"))
+        following = self._stretches.join(starts, STRETCH, "left").select(
+            *STRETCH, F.last("starts", True).over(later).alias("_next_stretch"))
+        rows = self.rows.join(heads, STRETCH)
+        rows = rows.withColumn("_lag", F.lag("blank").over(inner)).join(before, STRETCH, "left").withColumn(
             "after_blank", F.coalesce("_lag", "_blank_before", F.lit(False)))
         data = rows.filter("NOT blank AND row_no > header_row")
-        starts = data.groupBy(*STRETCH).agg(F.min_by("numbers", "row_no").alias("starts"))
-        following = starts.select(*STRETCH, F.lead("starts").over(across).alias("_next_stretch"))
-        data = data.withColumn("_lead", F.lead("numbers").over(inner)).join(following, STRETCH)
+        data = data.withColumn("_lead", F.lead("numbers").over(inner)).join(following, STRETCH, "left")
         below = F.coalesce("_lead", "_next_stretch")
         words_over_numbers = F.exists(
             F.arrays_zip(F.col("cells").alias("c"), F.col("numbers").alias("n"), below.alias("b")),
@@ -262,8 +283,7 @@ class Sheets:
             F.col("after_blank") & below.isNotNull() & (F.col("present") >= 2)
             & (F.col("textual") == F.col("present")) & words_over_numbers)
         return durable(data.select(
-            *STRETCH, "row_no", "cells", "numbers", F.coalesce(second, F.lit(False)).alias("second_header"),
-            aggregate_label(F.col("cells"), F.col("numbers")).alias("label")))
+            *STRETCH, "row_no", "cells", "numbers", F.coalesce(second, F.lit(False)).alias("second_header"), "label", "width"))
 
     def second_headers(self) -> DataFrame:
         return self.data.filter("second_header").select("file_id", "row_no", preview(F.col("cells")).alias("cells"))
@@ -273,24 +293,17 @@ class Sheets:
 
     # -- rows that restate the rows above them ------------------------------
 
-    def _carried(self, kept: DataFrame) -> DataFrame:
+    def _carried(self, kept: DataFrame, sheets: DataFrame) -> DataFrame:
         """``file_id, chunk, entry``: what the rows kept in earlier stretches add up to, for stretches after the first."""
         across = W.partitionBy("file_id", "col").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
         by_column = kept.select(*STRETCH, F.inline("kept")).groupBy(*STRETCH, "col").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         # Every later stretch of a sheet, also one where the column has no number itself.
-        later = self._later.join(by_column.select("file_id", "col").distinct(), "file_id")
+        later = sheets.join(by_column.select("file_id", "col").distinct(), "file_id")
         begun = later.join(by_column, ["file_id", "chunk", "col"], "left").select(
             *STRETCH, "col", F.coalesce(F.sum("s").over(across), F.lit(0.0)).alias("s"), F.coalesce(F.sum("n").over(across), F.lit(0)).alias("n"))
         return begun.filter("n > 0").groupBy(*STRETCH).agg(
             F.array_sort(F.collect_list(F.struct("col", "s", "n"))).alias("entry"))
 
-    @cached_property
-    def _later(self) -> DataFrame:
-        """The stretches of sheets that have more than one."""
-        own = self.data.select(*STRETCH).distinct()
-        several = own.groupBy("file_id").agg(F.count(F.lit(1)).alias("stretches")).filter("stretches > 1").select("file_id")
-        return durable(own.join(several, "file_id", "left_semi"))
-
     def _folded(self, rows: DataFrame, entries: DataFrame) -> DataFrame:
         """One row a stretch: the rows in it that restate the rows above, and what its kept rows add up to."""
         ordered = rows.join(entries, STRETCH, "left").select(
@@ -300,9 +313,41 @@ class Sheets:
                "kept array<struct<col:int,s:double,n:long>>")
         return ordered.mapInArrow(_fold, out)
 
+    def _running(self) -> DataFrame:
+        """``file_id, chunk, row_no, comparable, matched_columns, hit, labelled``: each row with a number against the sums of
+        all unlabelled rows above it in its stretch, which are the kept ones up to the first unlabelled hit."""
+        cells = self.data.filter("NOT second_header").select(
+            *STRETCH, "row_no", F.col("label").isNotNull().alias("labelled"), F.posexplode("numbers").alias("col", "v")).filter("v IS NOT NULL")
+        w = W.partitionBy(*STRETCH, "col").orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
+        counted = F.when(~F.col("labelled"), F.col("v"))
+        cells = cells.repartition(*STRETCH).select("*", F.coalesce(F.sum(counted).over(w), F.lit(0.0)).alias("above"), F.count(counted).over(w).alias("n"))
+        enough = F.col("n") >= MIN_CONTRIBUTORS
+        equal = enough & (F.abs(F.col("v") - F.col("above")) <= SUM_TOLERANCE * F.greatest(F.lit(1.0), F.abs("v"), F.abs("above")))
+        rows = cells.groupBy(*STRETCH, "row_no", "labelled").agg(
+            F.count_if(enough).alias("comparable"), F.sort_array(F.collect_list(F.when(equal, F.col("col")))).alias("matched_columns"))
+        hit = (F.size("matched_columns") > 0) & (2 * F.size("matched_columns") >= F.col("comparable"))
+        return rows.withColumn("hit", hit)
+
     @cached_property
     def arithmetic(self) -> DataFrame:
-        """Rows that restate the rows above: a fold over the rows of a sheet, in stretches side by side.
+        """Rows that restate the rows above.
+
+        In a sheet of one stretch all is said by running sums, unless numbers stand below an unlabelled total: it was
+        summed up too. Those sheets, and sheets of several stretches, are folded.
+        """
+        run = self._running()
+        last = W.partitionBy(*STRETCH)
+        early = F.bool_or(F.col("hit") & ~F.col("labelled") & (F.col("row_no") < F.col("last"))).over(last)
+        run = run.withColumn("last", F.max("row_no").over(last)).withColumn("early", early)
+        found = durable(run.filter("hit OR early").select(
+            *STRETCH, "row_no", "comparable", F.size("matched_columns").cast("long").alias("matched"), "matched_columns", "early"))
+        sheets = durable(found.filter("early").select("file_id").unionByName(self._stretches.select("file_id")).distinct())
+        if sheets.isEmpty():
+            return found.drop("early")
+        return durable(found.drop("early").join(sheets, "file_id", "left_anti").unionByName(self._fold_sheets(sheets).select(*found.drop("early").columns)))
+
+    def _fold_sheets(self, sheets: DataFrame) -> DataFrame:
+        """The rows of ``sheets`` that restate the rows above them: a fold over a sheet's rows, in stretches side by side.
 
         What a stretch does depends on the rows before it only through a summary: for each column the sum of the kept
         values and whether there are enough of them. Each stretch is first folded as if all unlabelled rows before it
@@ -311,15 +356,18 @@ class Sheets:
         folded again. A sheet of one stretch takes one pass; a later pass settles at least the first stretch that was
         wrong, so there are never more passes than stretches, and for rows that add up to nothing one is enough.
         """
-        rows = self.data
-        plain = rows.filter("label IS NULL AND NOT second_header").join(self._later.select("file_id").distinct(), "file_id", "left_semi")
+        rows = durable(self.data.join(sheets, "file_id", "left_semi").select(*STRETCH, "row_no", "numbers", "second_header", "label"))
+        own = rows.select(*STRETCH).distinct()
+        several = durable(own.groupBy("file_id").agg(F.count(F.lit(1)).alias("stretches")).filter("stretches > 1"))
+        later = durable(own.join(several.select("file_id"), "file_id", "left_semi"))
+        plain = rows.filter("label IS NULL AND NOT second_header").join(several.select("file_id"), "file_id", "left_semi")
         assumed = plain.select(*STRETCH, F.posexplode("numbers").alias("col", "v")).filter("v IS NOT NULL").groupBy(*STRETCH, "col").agg(
             F.sum("v").alias("s"), F.count("v").alias("n"))
-        entries = durable(self._carried(assumed.groupBy(*STRETCH).agg(F.collect_list(F.struct("col", "s", "n")).alias("kept"))))
+        entries = durable(self._carried(assumed.groupBy(*STRETCH).agg(F.collect_list(F.struct("col", "s", "n")).alias("kept")), later))
         done = durable(self._folded(rows, entries))
-        most = self._later.groupBy("file_id").count().agg(F.max("count")).first()[0] or 0
+        most = several.agg(F.max("stretches")).first()[0] or 0
         for _ in range(most):
-            now = durable(self._carried(done.join(self._later, STRETCH, "left_semi")))
+            now = durable(self._carried(done.join(later, STRETCH, "left_semi"), later))
             old = entries.withColumnRenamed("entry", "before")
             same = F.coalesce(F.forall(F.zip_with("entry", "before", _same_start), lambda x: x), F.lit(False))
             changed = durable(now.join(old, STRETCH, "full").filter(~same).select(*STRETCH))
@@ -327,7 +375,7 @@ class Sheets:
                 break
             again = self._folded(rows.join(changed, STRETCH, "left_semi"), now)
             entries, done = now, durable(done.join(changed, STRETCH, "left_anti").unionByName(again))
-        return durable(done.select(*STRETCH, F.inline("found")))
+        return done.select(*STRETCH, F.inline("found"))
 
     def arithmetic_match(self) -> DataFrame:
         return self.arithmetic.select("file_id", "row_no", "comparable", "matched", "matched_columns")
@@ -337,31 +385,40 @@ class Sheets:
     @cached_property
     def classified(self) -> DataFrame:
         """The data rows that are not observations, with reason and confidence."""
-        matched = self.arithmetic.select(*STRETCH, "row_no", "matched_columns")
-        flagged = self.data.join(matched, [*STRETCH, "row_no"], "left")
-        across = W.partitionBy("file_id").orderBy("chunk")
-        # The last data row of a sheet, told to each stretch.
-        last = self.data.groupBy("file_id").agg(F.max("row_no").alias("last_row"))
-        last = self._by_stretch().join(last, "file_id")
+        nothing = F.lit(None)
+        rows = self.data.select(*STRETCH, "row_no", F.lit(False).alias("match"), "cells", "label", "second_header",
+                                nothing.cast("array<int>").alias("matched_columns"))
+        matches = self.arithmetic.select(
+            *STRETCH, "row_no", F.lit(True).alias("match"), nothing.cast("array<string>").alias("cells"),
+            nothing.cast("string").alias("label"), F.lit(False).alias("second_header"), "matched_columns")
+        # A row's match is laid right after it, so that all steps share one layout by stretch.
+        after = W.partitionBy(*STRETCH).orderBy("row_no", "match")
+        flagged = rows.unionByName(matches).repartition(*STRETCH).withColumn("matched_columns", F.lead("matched_columns").over(after)).filter("NOT match")
+        # The last data row of a sheet of several stretches, told to each of them.
+        last = self.data.select("file_id", "chunk", "row_no").filter("chunk > 0").groupBy("file_id").agg(F.max("row_no").alias("last_row"))
+        last = self._stretches.join(last, "file_id")
         arithmetic, label = F.col("matched_columns").isNotNull(), F.col("label").isNotNull()
-        flagged = flagged.join(last, STRETCH)
-        trailing = F.col("row_no") == F.col("last_row")
+        flagged = flagged.join(last, STRETCH, "left")
+        trailing = F.col("row_no") == F.coalesce("last_row", F.max("row_no").over(W.partitionBy(*STRETCH)))
         confidence = (
             F.when(F.col("second_header"), "uncertain").when(label & arithmetic, "certain")
-            .when(arithmetic & trailing, "confident").when(arithmetic | label, "uncertain"))
-        flagged = flagged.withColumn("confidence", confidence).withColumn("trailing", trailing)
+            .when(arithmetic & F.col("trailing"), "confident").when(arithmetic | label, "uncertain"))
+        flagged = flagged.withColumn("trailing", trailing).withColumn("confidence", confidence)
         kept = F.when(F.col("confidence").isNull(), F.col("row_no"))
         inner = W.partitionBy(*STRETCH).orderBy("row_no").rowsBetween(W.unboundedPreceding, -1)
-        ends = flagged.groupBy(*STRETCH).agg(F.min(kept).alias("lo"), F.max(kept).alias("hi"))
-        earlier = across.rowsBetween(W.unboundedPreceding, -1)
-        carried = ends.select(*STRETCH, F.min("lo").over(earlier).alias("lo0"), F.max("hi").over(earlier).alias("hi0"))
-        flagged = flagged.select(
-            "*", F.min(kept).over(inner).alias("lo1"), F.max(kept).over(inner).alias("hi1")).join(carried, STRETCH)
         reason = F.when(F.col("second_header"), "second header").when(F.col("confidence").isNotNull(), "aggregate")
-        return durable(flagged.select(
+        whole = W.partitionBy(*STRETCH)
+        found = durable(flagged.select(
             *STRETCH, "row_no", "cells", "label", "matched_columns", "trailing", "confidence", reason.alias("reason"),
-            F.least("lo0", "lo1").alias("first_above"), F.greatest("hi0", "hi1").alias("last_above")
-        ).filter("reason IS NOT NULL"))
+            F.min(kept).over(inner).alias("lo1"), F.max(kept).over(inner).alias("hi1"), F.min(kept).over(whole).alias("lo"),
+            F.max(kept).over(whole).alias("hi"), (F.row_number().over(W.partitionBy(*STRETCH).orderBy("row_no")) == 1).alias("starts"),
+            (F.col("last_row").isNotNull()).alias("several")).filter("reason IS NOT NULL OR (starts AND several)"))
+        earlier = W.partitionBy("file_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+        carried = found.filter("starts AND several").select(
+            *STRETCH, F.min("lo").over(earlier).alias("lo0"), F.max("hi").over(earlier).alias("hi0"))
+        return durable(found.filter("reason IS NOT NULL").join(carried, STRETCH, "left").select(
+            *STRETCH, "row_no", "cells", "label", "matched_columns", "trailing", "confidence", "reason",
+            F.least("lo0", "lo1").alias("first_above"), F.greatest("hi0", "hi1").alias("last_above")))
 
     def classify_rows(self) -> DataFrame:
         return self.classified.select("file_id", "row_no", "reason", "confidence", "label")
@@ -369,13 +426,13 @@ class Sheets:
     @cached_property
     def header_names(self) -> DataFrame:
         """Trimmed header cells per sheet, blanks as empty text."""
-        heads = self.rows.join(self._by_stretch("header_row"), STRETCH).filter("row_no = header_row")
+        heads = self.rows.filter(F.col("row_no") <= self._deepest).join(self._by_stretch("header_row"), STRETCH).filter("row_no = header_row")
         return heads.select("file_id", F.transform(
             "cells", lambda c: F.when(V.is_missing(c, TEXT), "").otherwise(V.trimmed(c))).alias("names"))
 
     def preamble_rows(self) -> DataFrame:
-        rows = self.rows.join(self._by_stretch("header_row", "certain"), STRETCH)
-        return rows.filter("NOT blank AND row_no < header_row").select(
+        rows = self.rows.filter(~F.col("blank") & (F.col("row_no") < self._deepest)).join(self._by_stretch("header_row", "certain"), STRETCH)
+        return rows.filter("row_no < header_row").select(
             "file_id", "row_no", F.lit("preamble").alias("reason"),
             F.when(F.col("certain"), "confident").otherwise("uncertain").alias("confidence"),
             F.lit("above the header row").alias("detail"), F.lit(None).cast("string").alias("label"),
@@ -425,7 +482,7 @@ class Sheets:
 
     def detect_transpose(self) -> DataFrame:
         """Sheets whose columns mix magnitudes while their rows agree; medians are compared by counting."""
-        data = self.data.join(self._by_stretch("width"), STRETCH).filter(F.col("width") >= TRANSPOSE_COLUMNS + 1)
+        data = self.data.filter(F.col("width") >= TRANSPOSE_COLUMNS + 1)
         head = F.try_element_at("cells", F.lit(1))
         text = ~V.is_missing(head, TEXT) & V.to_number(head, TEXT).isNull()
         block = F.slice("numbers", F.lit(2), F.col("width") - 1)

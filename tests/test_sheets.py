@@ -4,6 +4,7 @@ import random
 import pytest
 
 from tallymark.operators import sheets as G
+from tallymark.plans import inputs as N
 from tallymark.sources import files as X
 from tallymark.sources.store import AnalysisStore, retention_cutoff
 
@@ -316,3 +317,21 @@ def test_stretches_fold_like_a_plain_fold(spark, monkeypatch, stretch):
         found.setdefault(r.file_id, []).append((r.row_no, r.comparable, r.matched, list(r.matched_columns)))
     expected = {k: plain_fold(rows) for k, rows in data.items()}
     assert found == {k: f for k, f in expected.items() if f} and len(found) > 100
+
+
+def test_sheets_of_one_stretch_are_not_folded(spark, monkeypatch):
+    """Running sums settle them; only a sheet with numbers below an unlabelled total is folded."""
+    folded = []
+    monkeypatch.setattr(G.Sheets, "_fold_sheets", lambda self, sheets: folded.append(sorted(r.file_id for r in sheets.collect())) or
+                        self.data.limit(0).selectExpr(*["file_id", "chunk", "row_no", "0L comparable", "0L matched", "array(0) matched_columns"]))
+    plain = {"last": [["x", "y"], ["1", "2"], ["3", "4"], ["4", "6"]], "named": [["x", "y"], ["1", "2"], ["3", "4"], ["Total", "6"], ["5", "1"]]}
+    found = G.Sheets(grid_of(spark, plain)).classify_rows().collect()
+    assert {(r.file_id, r.row_no) for r in found} == {("last", 4), ("named", 4)} and not folded
+    early = {"early": [["x", "y"], ["1", "2"], ["3", "4"], ["4", "6"], ["5", "1"]]}
+    G.Sheets(grid_of(spark, plain | early)).classify_rows().collect()
+    assert folded == [["early"]]
+
+
+def test_order_sheets_read_orders_once(spark):
+    plan = N.order_sheets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
