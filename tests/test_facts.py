@@ -244,3 +244,36 @@ def test_the_query_of_saved_results_asks_for_every_tenth(spark, tmp_path):
     ).write.parquet(f"{tmp_path}/orders.parquet")
     found = QUERIES["get_analysis"](spark, str(tmp_path)).collect()
     assert sorted(r.id for r in found) == sorted(f"a{k}" for k in range(200) if k % 10 == 3)
+
+
+def test_few_columns_meet_their_ranks_in_place(spark, monkeypatch):
+    """No cell is dealt out by itself, and the coefficients are those of the cells; gaps, ties, hot values, text."""
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else float(rng.integers(0, 4)), None if i % 5 == 0 else float(rng.normal()),
+             None if i % 3 == 0 else (0.0 if i % 2 else float(i)), f" ${i * i % 101:,}.5 ") for i in range(600)]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d string")
+    columns = ["a", "b", "c", "d"]
+
+    def found():
+        return {(r.a, r.b): (r.n, r.pearson, r.spearman) for r in C.coefficients(Table(frame), C.column_pairs(columns)).collect()}
+
+    monkeypatch.setattr(C, "FEW_COLUMNS", 0)
+    cells = found()
+    monkeypatch.setattr(C, "FEW_COLUMNS", 6)
+    monkeypatch.setattr(C, "attach_ranks", lambda *a: pytest.fail("cells are dealt out"))
+    for few in (10_000, 1):
+        monkeypatch.setattr(C, "FEW_VALUES", few)
+        for pair, (n, p, s) in found().items():
+            assert (n, pytest.approx(p, abs=1e-12), pytest.approx(s, abs=1e-12)) == cells[pair]
+
+
+def test_products_take_a_batch_in_pieces(spark):
+    """Memory follows the piece, not the batch: 6,000 rows of 300 keys."""
+    from tallymark.operators import comoments as M
+    rows = spark.range(6000, numPartitions=1).selectExpr("transform(sequence(0, 299), k -> struct(int(k) as key, double((id + k) % 7) as z)) as cells")
+    x = np.array([[(i + k) % 7 for k in range(300)] for i in range(6000)], float)
+    batch = rows.limit(1200).toArrow().combine_chunks().to_batches()[0]
+    assert np.array_equal(M.dense_of(batch.slice(700, 500), 300), x[700:1200])
+    t = M.product_sums(rows, [0, 1], [5, 299], 300)
+    assert np.allclose(t["ab"], [(x[:, 0] * x[:, 5]).sum(), (x[:, 1] * x[:, 299]).sum()])
+    assert M.PIECE_ROWS <= 500
