@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallymark.operators import correlate as C, infer as I, quality as Q, ranks as R, shifts as H, timeline as L
 from tallymark.operators.evidence import Evidence
-from tallymark.operators.profile import Profile
+from tallymark.operators.profile import Profile, level_counts
 from tallymark.operators.provenance import Provenance
 from tallymark.operators.quality import Quality
 from tallymark.operators.sample import representative_sample
@@ -277,3 +277,20 @@ def test_products_take_a_batch_in_pieces(spark):
     t = M.product_sums(rows, [0, 1], [5, 299], 300)
     assert np.allclose(t["ab"], [(x[:, 0] * x[:, 5]).sum(), (x[:, 1] * x[:, 299]).sum()])
     assert M.PIECE_ROWS <= 500
+
+
+def test_numbers_are_counted_before_they_become_text(spark):
+    """The levels are those of the texts, and no text is made of a row's number before its value is counted."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(0.0, "a"), (-0.0, "a"), (1.5, ""), (1.5, None), (nan, "b"), (inf, "b"), (2.0e-17, "1.5"), (2.0, "a"), (None, "a")]
+    table = Table(spark.createDataFrame(rows, "x double, t string"))
+    counts = level_counts(table, ["x", "t"])
+    direct = {}
+    for c in ("x", "t"):
+        for r in table.df.select(table.level(c).alias("v")).collect():
+            if r.v is not None:
+                direct[c, r.v] = direct.get((c, r.v), 0) + 1
+    assert {(r.column, r.level): r.n for r in counts.collect()} == direct
+    plan = counts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    texts = [k for k, line in enumerate(plan) if "decimal(38,16)" in line]
+    assert texts and max(texts) < min(k for k, line in enumerate(plan) if "Generate inline" in line)
