@@ -6,6 +6,7 @@ by strength, size and claim.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import values as V
 from .correlate import MIN_PAIRS, MIN_REPORTED, METHOD_GAP, SMALL_SAMPLE, correlate, pearson_of
-from .ranks import attach_ranks
+from .ranks import average_ranks
 from .infer import categorical_association, welch
 from .profile import Profile
 from .shifts import level_shift, ordered_series
@@ -339,9 +340,15 @@ class Evidence:
             return self.none()
         place, value = F.col("position"), F.col("value")
         pairs = self.series.select("position", "value")
-        ranked = attach_ranks(pairs, [], "value").select("position", F.col("rank").alias("value"))
-        found = pairs.agg(F.count(F.lit(1)).alias("n"), pearson_of(place.cast("double"), value).alias("p")).join(
-            F.broadcast(ranked.agg(pearson_of(place.cast("double"), value).alias("s"))))
+        found = pairs.agg(F.count(F.lit(1)).alias("n"), pearson_of(place.cast("double"), value).alias("p")).first()
+        # Rows of one value share its rank, so the sum of their places is all that their products need.
+        middle = (found.n - 1) / 2
+        ranked = average_ranks(pairs.groupBy("value").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(place - F.lit(middle)).alias("places")), [], "value", "n")
+        rank = F.col("rank") - F.lit((found.n + 1) / 2)
+        spread = F.sqrt(F.sum(F.col("n") * rank * rank)) * math.sqrt(found.n * (found.n ** 2 - 1) / 12)
+        found = ranked.agg(V.clamp(F.try_divide(F.sum(rank * F.col("places")), spread), -1.0, 1.0).alias("s")).select(
+            F.lit(found.n).alias("n"), F.lit(found.p).cast("double").alias("p"), "s")
         p, s = F.col("p"), F.col("s")
         by_rank = p.isNull() | (s.isNotNull() & (F.abs(s) - F.abs(p) >= METHOD_GAP))
         r = F.when(by_rank, s).otherwise(p)

@@ -31,6 +31,8 @@ MAD_TO_STD = 1.4826
 # ----------------------------------------------------------------------------
 # The grid that returns to the driver has at most this many cells, at any scale.
 BOUNDARIES, EDGES, STRETCHES = 2048, 1024, 512
+# A task of the grid adds up its cells after so many rows, as each addition passes over the whole grid.
+TALLIED_ROWS = 1_000_000
 
 
 def ordered_series(table: Table, date_column: str, target: str) -> DataFrame:
@@ -83,11 +85,18 @@ def _count_grid(series: DataFrame, bounds: np.ndarray, edges: np.ndarray, ends:
 
     def tally(batches):
         total = np.zeros((segments + 1) * slots, dtype=np.int64)
+        held, rows = [], 0
         for batch in batches:
             value, position = batch["value"].to_numpy(), batch["position"].to_numpy()
-            slot = np.searchsorted(edges, value, "left") + np.searchsorted(edges, value, "right")
-            segment = np.searchsorted(bounds, position, "right")
-            total += np.bincount(segment * slots + slot, minlength=len(total))
+            left = np.searchsorted(edges, value, "left")
+            slot = 2 * left + (edges[np.minimum(left, len(edges) - 1)] == value)
+            held.append(np.searchsorted(bounds, position, "right") * slots + slot)
+            rows += len(value)
+            if rows >= TALLIED_ROWS:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held, rows = [], 0
+        if rows:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
         filled = np.flatnonzero(total)
         yield pd.DataFrame({"cell": filled, "n": total[filled]})
 
@@ -138,12 +147,15 @@ def _certain(ranges: np.ndarray, at: np.ndarray, n: int, scale: float) -> np.nda
     return apart / scale * np.sqrt(np.minimum(at, n - at) / n)
 
 
-def _highest(ranges: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, scale: float) -> np.ndarray:
+def _widest(ranges: np.ndarray) -> np.ndarray:
     b_low, b_high, a_low, a_high = _medians(ranges)
-    widest = np.maximum(np.maximum(a_high - b_low, b_high - a_low), 0)
+    return np.maximum(np.maximum(a_high - b_low, b_high - a_low), 0)
+
+
+def _highest(ranges: np.ndarray, a: np.ndarray, b: np.ndarray, n: int, scale: float) -> np.ndarray:
     ends = np.maximum(np.minimum(a, n - a), np.minimum(b, n - b))
     balance = np.where((a <= n // 2) & (n // 2 <= b), n // 2, ends)
-    return widest / scale * np.sqrt(balance / n)
+    return _widest(ranges) / scale * np.sqrt(balance / n)
 
 
 def _cut(blocks: np.ndarray, known: np.ndarray, pieces: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,8 +220,15 @@ def _edges(series: DataFrame, stretches: np.ndarray, turn: int) -> np.ndarray:
     return np.unique(np.concatenate([sample["value"].to_numpy(dtype=np.float64), stretches.ravel()]))
 
 
-def find_split(series: DataFrame, n: int, scale: float, ends: tuple[float, float], segment: int = MIN_SEGMENT) -> int:
-    """The earliest split with the highest score, certain among all splits."""
+def find_split(
+    series: DataFrame, n: int, scale: float, ends: tuple[float, float], segment: int = MIN_SEGMENT,
+    least_effect: float = 0.0,
+) -> int | None:
+    """The earliest split with the highest score, certain among all splits.
+
+    None as soon as that split is certain to lie in a block whose medians are less than ``least_effect`` scales apart.
+    """
+    enough = least_effect * scale * (1 - 1e-9)
     blocks = _first_blocks(n, segment)
     # What is known of a block only ever narrows: its pieces inherit its median ranges.
     ends = (np.nextafter(ends[0], -np.inf), np.nextafter(ends[1], np.inf))
@@ -229,18 +248,20 @@ def find_split(series: DataFrame, n: int, scale: float, ends: tuple[float, float
             certain = np.maximum(certain, _certain(_ranges(grid, at, at, n, ends[1]), at, n, scale))
         best = max(best, certain.max())
         exact = (a == b) & np.all(known[:, 0::2] == known[:, 1::2], axis=1)
-        settled += list(zip(_certain(known[exact], a[exact], n, scale), a[exact]))
+        settled += list(zip(_certain(known[exact], a[exact], n, scale), a[exact], _widest(known[exact])))
         blocks = np.concatenate([blocks[~exact], waiting])
         known = np.concatenate([known[~exact], waiting_known])
         upper = _highest(known, blocks[:, 0], blocks[:, 1], n, scale)
         kept = np.flatnonzero(upper >= best)
         kept = kept[np.lexsort((blocks[kept, 0], -upper[kept]))]
         blocks, known = blocks[kept], known[kept]
+        if enough and np.all(_widest(known) < enough) and all(apart < enough for score, _, apart in settled if score >= best):
+            return None
         budget = BOUNDARIES // 4
         waiting, waiting_known = blocks[budget:], known[budget:]
         blocks, known = _cut(blocks[:budget], known[:budget], max(2, budget // max(1, min(len(blocks), budget))))
-    top = max(score for score, _ in settled)
-    return int(min(at for score, at in settled if score == top))
+    top = max(score for score, *_ in settled)
+    return int(min(at for score, at, _ in settled if score == top))
 
 
 def level_shift(series: DataFrame, segment: int = MIN_SEGMENT) -> DataFrame:
@@ -257,7 +278,10 @@ def level_shift(series: DataFrame, segment: int = MIN_SEGMENT) -> DataFrame:
     scale = facts["mad"] * MAD_TO_STD if n and facts["mad"] else facts["std"]
     record = []
     if n >= max(MIN_SERIES, 2 * segment) and scale and np.isfinite(scale):
-        split = find_split(series, n, scale, (facts["min"], facts["max"]), segment)
+        split = find_split(series, n, scale, (facts["min"], facts["max"]), segment, MIN_EFFECT)
+    else:
+        split = None
+    if split is not None:
         first = F.col("position") < split
         sides = series.select(
             F.when(first, F.col("value")).alias("before"), F.when(~first, F.col("value")).alias("after"),

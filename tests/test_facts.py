@@ -294,3 +294,51 @@ def test_numbers_are_counted_before_they_become_text(spark):
     plan = counts._jdf.queryExecution().optimizedPlan().toString().splitlines()
     texts = [k for k, line in enumerate(plan) if "decimal(38,16)" in line]
     assert texts and max(texts) < min(k for k, line in enumerate(plan) if "Generate inline" in line)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2, 3, 4, 5])
+def test_split_search_ends_once_no_split_can_be_reported(spark, monkeypatch, seed):
+    """None only where the best split's effect is too small; grids are added up the same in many parts."""
+    rng = np.random.default_rng(seed)
+    n = 6000 if seed < 3 else 40
+    v = rng.normal(size=n) + (np.arange(n) > n // 2) * [0.0, 0.2, 1.0][seed % 3]
+    df = durable(spark.createDataFrame([(i, i, float(x)) for i, x in enumerate(v)], "position long, at long, value double"))
+    expected, scale = brute_split(v)
+    monkeypatch.setattr(H, "TALLIED_ROWS", 100)
+    rounds, count = [], H._count_grid
+    monkeypatch.setattr(H, "_count_grid", lambda *a: rounds.append(1) or count(*a))
+    effect = abs(np.median(v[expected:]) - np.median(v[:expected])) / scale
+    whole = H.find_split(df, n, scale, (v.min(), v.max()))
+    full, rounds[:] = len(rounds), []
+    cut = H.find_split(df, n, scale, (v.min(), v.max()), least_effect=H.MIN_EFFECT)
+    assert whole == expected and cut == (expected if effect >= H.MIN_EFFECT else None)
+    assert len(rounds) < full if n == 6000 and cut is None else len(rounds) == full or cut is None
+    assert H.level_shift(df).count() == (effect >= H.MIN_EFFECT)
+
+
+def test_texts_are_read_once_with_the_same_facts(spark, monkeypatch):
+    """Counted texts and single cells give the same facts, and a constant has no spread."""
+    from tallymark.operators import table as T
+    rows = [(["1,200", " 7.5", "$3", "", None, "n/a", "(12)"][i % 7], "0.1", ["2024-01-02", "x", None][i % 3]) for i in range(300)]
+    frame = spark.createDataFrame([*rows, (None, "0.1", "1")], "a string, b string, c string").repartition(3)
+    read, parse = [], T.read_text
+    monkeypatch.setattr(T, "read_text", lambda cells: read.append(cells) or parse(cells))
+    few = Table(frame).facts
+    assert read[0].count() == 7 + 1 + 4
+    monkeypatch.setattr(T, "FEW_TEXTS", 0)
+    each = Table(frame).facts
+    for c in "abc":
+        for x, y in zip(few[c], each[c]):
+            assert x == (pytest.approx(y, rel=1e-12) if isinstance(y, float) else y), c
+    assert few["b"].std_pop == 0 and few["b"].mean == 0.1
+
+
+def test_few_columns_are_correlated_without_python_workers(spark, monkeypatch):
+    monkeypatch.setattr(C, "pearson_matrix", lambda *a: pytest.fail("matrices"))
+    monkeypatch.setattr(C, "product_sums", lambda *a: pytest.fail("matrices"))
+    x = np.random.default_rng(1).normal(size=(200, 3)).round(1)
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    for r in C.coefficients(Table(frame), C.column_pairs(["a", "b", "c"])).collect():
+        a, b = x[:, "abc".index(r.a)], x[:, "abc".index(r.b)]
+        ra, rb = (np.array([(v < u).sum() + (v == u).sum() / 2 for u in v]) for v in (a, b))
+        assert (r.n, r.pearson, r.spearman) == (200, pytest.approx(np.corrcoef(a, b)[0, 1]), pytest.approx(np.corrcoef(ra, rb)[0, 1]))
