@@ -342,3 +342,25 @@ def test_few_columns_are_correlated_without_python_workers(spark, monkeypatch):
         a, b = x[:, "abc".index(r.a)], x[:, "abc".index(r.b)]
         ra, rb = (np.array([(v < u).sum() + (v == u).sum() / 2 for u in v]) for v in (a, b))
         assert (r.n, r.pearson, r.spearman) == (200, pytest.approx(np.corrcoef(a, b)[0, 1]), pytest.approx(np.corrcoef(ra, rb)[0, 1]))
+
+
+def test_cells_make_rows_across_batches(spark, monkeypatch):
+    """Rows of single cells are whole wherever a batch ends, and the ranks of many columns are sent as single cells."""
+    import pyarrow as pa
+    from tallymark.operators import comoments as M
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(57, 30)) * (rng.random((57, 30)) < 0.6)
+    x[:, 4] = 1.0
+    at, key = np.nonzero(x)
+    cells = pa.record_batch([pa.array(at * 11), pa.array(key.astype(np.int32)), pa.array(x[at, key])], names=["id", "key", "z"])
+    monkeypatch.setattr(M, "PIECE_ROWS", 5)
+    for held in (1, 40, 10_000):
+        monkeypatch.setattr(M, "HELD_CELLS", held)
+        got = list(M.dense_rows((cells.slice(k, 7) for k in range(0, len(cells), 7)), 30))
+        assert np.array_equal(np.concatenate(got), x) and max(map(len, got)) <= 5
+    seen, sums = [], C.product_sums
+    monkeypatch.setattr(C, "product_sums", lambda rows, *a: seen.append(rows.columns) or sums(rows, *a))
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{k} double" for k in range(30))).repartition(3)
+    found = {(r.a, r.b): r.spearman for r in C.coefficients(Table(frame), C.column_pairs(["c0", "c1", "c2", "c3", "c5", "c6", "c7"])).collect()}
+    rank = [[(v < u).sum() + (v == u).sum() / 2 for u in v] for v in x.T]
+    assert seen == [["id", "key", "z"]] and found["c0", "c7"] == pytest.approx(np.corrcoef(rank[0], rank[7])[0, 1])
