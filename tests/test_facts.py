@@ -246,6 +246,48 @@ def test_the_query_of_saved_results_asks_for_every_tenth(spark, tmp_path):
     assert sorted(r.id for r in found) == sorted(f"a{k}" for k in range(200) if k % 10 == 3)
 
 
+def test_saved_results_are_deleted_by_a_table_of_ids(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    saved = [(f"a{k}", start + dt.timedelta(days=k), f"s{k % 2}", "F" if k % 3 else "O", None, None, None, None, "{}") for k in range(90)]
+    saved += [("a4", start, "s0", "F", None, None, None, None, "again"), ("a4", start, "s1", "F", None, None, None, None, "other"),
+              ("a4", start, None, "F", None, None, None, None, "nobody"), (None, start, "s0", "F", None, None, None, None, "no id")]
+    saved += [(f"m{k}", dt.datetime(2024, 6, 1), "s0", "F", None, None, None, None, "{}") for k in range(5)]  # a month of its own
+    keeper = B.AnalysisStore(spark, str(tmp_path), "month")
+    keeper.append(spark.createDataFrame(saved, B.FIELDS))
+    left = [r for r in saved if not (r[0] and r[2] == "s0" and r[3] == "F")]
+    key = lambda r: tuple(str(x) for x in r[:9])
+
+    def stored():
+        return sorted(key(r) for r in keeper.saved().select(*[c.split()[0] for c in B.FIELDS.split(", ")]).collect())
+
+    asked = keeper.saved().filter("kind = 'F'").select("kind", "id")  # read from the rows that go, with ids of other sessions
+    asked = asked.unionByName(spark.createDataFrame([("F", "never"), ("F", "a4"), ("F", None)], "kind string, id string"))
+    assert keeper.delete(asked.filter("false"), "s0") == 0 and keeper.delete(asked, "never") == 0
+    assert stored() == sorted(map(key, saved))
+    assert keeper.delete(asked, "s0") == len(saved) - len(left)
+    assert stored() == sorted(map(key, left)) and not [p for p in tmp_path.rglob("*") if p.name == "created_date=2024-06-01"]
+
+
+def test_the_query_of_deletions_brings_no_ids_to_the_driver(spark, tmp_path, monkeypatch):
+    orders = [(k, k % 100, "FOP"[k % 3], dt.datetime(1998, 7 + k % 2, 1), 1.0) for k in range(6000)]
+    spark.createDataFrame(
+        orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_totalprice double"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    kind, sizes = type(spark.range(1)), []
+    collect = kind.collect
+
+    def counted(df):
+        rows = collect(df)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", counted)
+    left = QUERIES["delete_analysis"](spark, str(tmp_path))
+    assert sizes and max(sizes) <= 2  # one row a month at most
+    found = collect(left)
+    assert sorted(r.id for r in found) == sorted(f"a{k}" for k, c, s, *_ in orders if c % 50 != 7 or s != "F")
+
+
 def test_few_columns_meet_their_ranks_in_place(spark, monkeypatch):
     """No cell is dealt out by itself, and the coefficients are those of the cells; gaps, ties, hot values, text."""
     rng = np.random.default_rng(5)
